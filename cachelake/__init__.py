@@ -1 +1 @@
-
+"""Content-addressed cache analytics as Spark DataFrame operators."""
