@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cachelake.llm.language_model import score_documents
 from cachelake.llm.license_scan import license_scan
 from cachelake.llm.media import media_columns
 from cachelake.llm.mixing import MIX_SQL, mix_sources
@@ -23,6 +24,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_topk_search,
+        op2_language_model,
         op3_media_columns,
         op4_mixing,
         op5_packing,
