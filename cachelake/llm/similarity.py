@@ -3,16 +3,19 @@
 1. Each set gets keys such that two sets that are alike share one (segments of
    the token space for exact joins, MinHash bands for recall-tuned ones).  Keys
    go to shards as packed 8-byte words, not as rows.
-2. Sets that share keys form candidate blocks (connected components).
-3. Only the sets of blocks are fetched, each once, and every block is joined
-   exactly by signature trees.  Large blocks are cut into salted parts that
-   share some pivots; what the pivots leave unjoined is compared with all
-   other parts in a second pass.
+2. Only the sets that share a key with another are fetched, each once.  Among
+   them, prefixes of each set in order of token frequency (by a sketch of
+   bounded size; any order is exact) give blocks, as connected components,
+   without the sets whose rare tokens nobody shares.
+3. Every block is joined exactly by signature trees.  Large blocks are cut
+   into salted parts that share some pivots; what the pivots leave unjoined is
+   compared with all other parts in a second pass.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +30,8 @@ from cachelake.llm.signature_tree import Forest, linked_pairs
 BLOCK_PART = 512
 PIVOTS = 16
 FILTER_BITS = 24
+SKETCH_BITS = 22
+SKETCH_PARTS = 64
 
 
 @dataclass
@@ -182,7 +187,7 @@ def find_links(
     spark = docs.sparkSession
     shards = shuffle_partitions(spark)
     names = [c.strip().split()[0] for c in columns.split(",")]
-    schema = f"{columns}, n long, fp binary, head long, uid long, other long, key_shard int, packed binary, short long"
+    schema = f"{columns}, n long, fp binary, met long, key_shard int, packed binary, short long"
     fields = pa.schema([f for f in _arrow_schema(schema)])
 
     def rows(count: int, /, **given: object) -> pa.RecordBatch:
@@ -193,9 +198,8 @@ def find_links(
             units = read(batch)
             n = np.diff(units.offsets)
             fps = fingerprints(units.tokens, units.offsets)
-            uid = (chunk << 24) + np.arange(len(n))
             yield rows(
-                len(n), **units.columns, n=pa.array(n), fp=_binary(fps), head=pa.array(fps[:, 0].view(np.int64)), uid=pa.array(uid),
+                len(n), **units.columns, n=pa.array(n), fp=_binary(fps),
                 key_shard=pa.array(((chunk + np.arange(len(n))) % shards).astype(np.int32)),
             )
             # Of equal sets in a chunk, one makes keys.
@@ -208,40 +212,42 @@ def find_links(
             k, own, short = keys(units.tokens[np.repeat(once, n)], np.concatenate([[0], np.cumsum(n[took])]))
             order = np.argsort(k)
             k, own = k[order], own[order]
-            word = (k << np.uint64(24)) | took[own].astype(np.uint64)
-            to = shard_of(k, shards)
-            cut = np.searchsorted(to, np.arange(shards + 1))
-            blobs = [np.concatenate([[np.uint64(chunk)], word[a:b]]).tobytes() if b > a else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            cut = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
+            blobs = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                # The heads of the shard's sets, then keys with the number of their head.
+                refs, at = np.unique(own[a:b], return_inverse=True)
+                heads = fps[took[refs], 0]
+                blobs.append(np.concatenate([[np.uint64(len(refs))], heads, (k[a:b] << np.uint64(24)) | at.astype(np.uint64)]).tobytes() if b > a else None)
             yield rows(shards, key_shard=pa.array(np.arange(shards, dtype=np.int32)), packed=pa.array(blobs, pa.binary()))
             if len(short):
                 yield rows(len(short), key_shard=pa.array(np.zeros(len(short), np.int32)), short=pa.array(short))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, uid = [], []
+        key, head = [], []
         for batch in batches:
             packed = batch.column(batch.schema.get_field_index("packed"))
-            is_unit = np.asarray(packed.is_null())
-            if is_unit.any():
-                plain = batch.filter(pa.array(is_unit))
-                keep = np.asarray(plain.column(plain.schema.get_field_index("uid")).is_valid()) | np.asarray(plain.column(plain.schema.get_field_index("short")).is_valid())
+            plain = batch.filter(packed.is_null())
+            keep = np.asarray(plain.column(plain.schema.get_field_index("fp")).is_valid()) | np.asarray(plain.column(plain.schema.get_field_index("short")).is_valid())
+            if keep.any():
                 yield plain.filter(pa.array(keep))
             for blob in packed.drop_null():
                 x = np.frombuffer(blob.as_buffer(), np.uint64)
-                word.append(x[1:] >> np.uint64(24))
-                uid.append((x[0] << np.uint64(24)) + (x[1:] & np.uint64(0xFFFFFF)))
-        if not word:
+                n = int(x[0]) + 1
+                key.append(x[n:] >> np.uint64(24))
+                head.append(x[1:n][(x[n:] & np.uint64(0xFFFFFF)).astype(np.int64)])
+        if not key:
             return
-        w, u = np.concatenate(word), np.concatenate(uid)
-        del word, uid
-        order = np.argsort(w, kind="stable")
-        w, u = w[order], u[order]
-        start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        least = np.minimum.reduceat(u, start)
-        pivot = np.repeat(least, np.diff(np.append(start, len(w))))
-        pair = np.unique(np.stack([u, pivot], 1)[u != pivot], axis=0)
-        for lo in range(0, len(pair), 1 << 16):
-            part = pair[lo : lo + (1 << 16)].astype(np.int64)
-            yield rows(len(part), uid=pa.array(part[:, 0]), other=pa.array(part[:, 1]))
+        k, h = np.concatenate(key), np.concatenate(head)
+        del key, head
+        order = np.argsort(k, kind="stable")
+        k, h = k[order], h[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        differ = np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start)
+        found = np.unique(h[np.repeat(differ, np.diff(np.append(start, len(k))))]).view(np.int64)
+        for lo in range(0, len(found), 1 << 16):
+            part = found[lo : lo + (1 << 16)]
+            yield rows(len(part), met=pa.array(part))
 
     met = docs.mapInArrow(deal, schema).repartitionById(shards, F.col("key_shard")).mapInArrow(meet, schema)
     met = stage(met.drop("packed", "key_shard"), "similar-keys")
@@ -249,16 +255,10 @@ def find_links(
         again = frozenset(r[0] for r in met.where("short is not null").select("short").distinct().collect())  # classes: a few dozen at most
         if again:
             return find_links(docs, text, read, columns, SegmentKeys(keys.num, keys.den, keys.every | again), num, den)
-    units = met.where("other is null and uid is not null").select(*names, "n", "fp", "head", "uid")
-    ends = units.select("uid", "head")
-    pairs = (
-        met.where("other is not null").select("uid", "other")
-        .join(ends, "uid").select(F.col("head").alias("src"), F.col("other").alias("uid"))
-        .join(ends, "uid").select("src", F.col("head").alias("dst"))
-    )
-    blocks = connected_components(pairs, "similar-blocks").select(F.col("node").alias("head"), F.col("component").alias("block"))
-    # Fetch the blocks' sets.  A bitmap of bounded size spares the others.
-    mask = _filter(blocks)
+    units = met.where("fp is not null").select(*names, "n", "fp")
+    wanted = stage(met.where("met is not null").select(F.col("met").alias("head")).distinct(), "similar-heads")
+    # Fetch the sets that met another.  A bitmap of bounded size spares the rest.
+    mask = _filter(wanted)
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, batch in chunks(batches, text):
@@ -278,14 +278,95 @@ def find_links(
                 names=["fp", "head", "member", "tokens"],
             )
 
-    sets = docs.mapInArrow(fetch, "fp binary, head long, member long, tokens binary").join(blocks, "head")
-    sets = stage(sets.groupBy("fp").agg(F.first("block").alias("block"), F.min("member").alias("member"), F.first("tokens").alias("tokens")), "similar-sets")
-    edges = _block_edges(sets, num, den)
+    sets = docs.mapInArrow(fetch, "fp binary, head long, member long, tokens binary").join(wanted, "head", "left_semi")
+    sets = stage(sets.groupBy("fp").agg(F.min("member").alias("member"), F.first("tokens").alias("tokens")), "similar-sets")
+    edges = _block_edges(sets.join(_blocks(sets, num, den), "member"), num, den)
     found = connected_components(edges, "similar-links")
     names_of = sets.select("fp", F.col("member").alias("node"))
     return units.select(*names, "n", "fp"), names_of.join(found, "node").select("fp", "component")
 
 
+def _blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``member, block``: components of the sets that share a prefix token.
+
+    Two linked sets share one of each other's n - ceil(n num / den) + 1 first
+    tokens in any common order.  Rare tokens come first here, so a set with
+    enough tokens of its own meets nobody.
+    """
+    spark = sets.sparkSession
+    part = (1 << SKETCH_BITS) // SKETCH_PARTS
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for tokens in batch.column(0):
+                np.add.at(total, (np.frombuffer(tokens.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        if total.any():
+            small = np.minimum(total, 65535).astype(np.uint16).reshape(SKETCH_PARTS, part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS)), pa.array([zlib.compress(x.tobytes(), 1) for x in small], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    ddl = "part long, counts binary"
+    table = sets.select("tokens").mapInArrow(count, ddl).repartition("part").mapInArrow(add, ddl).toArrow()  # 2^SKETCH_BITS counters
+    sketch = np.zeros((SKETCH_PARTS, part), np.uint16)
+    for k, counts in zip(table["part"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        sketch[k] = np.frombuffer(counts, np.uint16)
+    shared = spark.sparkContext.broadcast(sketch.ravel())
+    shards = shuffle_partitions(spark)
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = shared.value
+        for batch in batches:
+            keys, owners = [], []
+            for member, tokens in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                t = np.frombuffer(tokens, np.uint64)
+                n = len(t) + (-len(t) * num // den) + 1
+                order = np.lexsort((t, frequency[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:n]
+                keys.append(mix(t[order]))
+                owners.append(np.full(len(order), member, np.int64))
+            if not keys:
+                continue
+            k, own = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(k)
+            k, own = k[order], own[order]
+            cut = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), *(pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (k, own))], names=["key_shard", "keys", "owners"]
+            )
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners = [], []
+        for batch in batches:
+            keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            owners += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+        if not keys:
+            return
+        pair = star_pairs(np.concatenate(keys), np.concatenate(owners))
+        for lo in range(0, len(pair), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pair[lo : lo + (1 << 16), j]) for j in (0, 1)], names=["src", "dst"])
+
+    dealt = sets.select("member", "tokens").mapInArrow(prefixes, "key_shard int, keys binary, owners binary")
+    pairs = dealt.repartitionById(shards, F.col("key_shard")).mapInArrow(meet, "src long, dst long")
+    return connected_components(pairs, "similar-refined").select(F.col("node").alias("member"), F.col("component").alias("block"))
+
+
+def star_pairs(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Distinct pairs of each key's owners with the least of them."""
+    order = np.argsort(keys, kind="stable")
+    k, own = keys[order], owners[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    pivot = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(k))))
+    return np.unique(np.stack([own, pivot], 1)[own != pivot], axis=0)
+
+
 def _block_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links ``(src, dst)`` between members that span each block's components."""
     size = sets.groupBy("block").agg(F.count("*").alias("members")).where("members > 1")
@@ -338,10 +419,10 @@ def _binary(fps: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(fps), [None, pa.py_buffer(np.ascontiguousarray(fps).tobytes())]).cast(pa.binary())
 
 
-def _filter(blocks: DataFrame) -> np.ndarray:
-    """A bitmap of ``2^FILTER_BITS`` bits of the blocks' fingerprint heads."""
+def _filter(heads: DataFrame) -> np.ndarray:
+    """A bitmap of ``2^FILTER_BITS`` bits of fingerprint heads."""
     slot = F.shiftrightunsigned("head", 64 - FILTER_BITS)
-    words = blocks.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    words = heads.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     mask = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     mask[np.asarray(words["word"])] = np.asarray(words["bits"])
     return mask.view(np.uint64)
