@@ -8,6 +8,7 @@ word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 14
+HASH_WINDOW = 1 << 20
 
 
 # ---------------------------------------------------------------- staging
@@ -74,7 +76,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, HASH_WINDOW + 1)
         for k, base in enumerate((_BASE, _INV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -125,7 +127,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + HASH_WINDOW, "right")))
         at = int(starts[lo])
         part = data[at : int(ends[hi - 1])]
         power, inverse = _powers(len(part) + 1)
@@ -193,6 +195,17 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[int,
             yield base + n, batch.slice(lo, hi - lo)
             n += 1
             lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers stay between tasks, and share an
+    executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -249,6 +262,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         .distinct(),
         name,
     )
+    # One table is written per round; edges become few within two or three.
     digest = [F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))]
     before = now.agg(*digest).first()
     while before[0]:
@@ -256,7 +270,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        large = stage(large, name)
         # Small star: a node and its smaller neighbours go to the smallest of them.
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         least = down.groupBy("src").agg(F.min("dst").alias("m"))
