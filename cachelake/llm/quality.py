@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cachelake.llm.common import _SPACE, chunks, hash_words, mix, text_buffer
-from cachelake.llm.toxicity import FtrlProximal
+from cachelake.llm.toxicity import FtrlProximal, calibrate
 
 BITS = 18
 META = ["lang", "source", "n_chars"]
@@ -66,20 +66,6 @@ def _margins(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return np.array([weights[r].sum() for r in rows])
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic calibration of both views' margins together (ridge Newton)."""
-    a = np.column_stack([np.ones(len(x)), np.clip(x, -30, 30)])
-    w = np.zeros(a.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(hessian, a.T @ (y - p) - 1e-2 * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
-
-
 def co_train(content: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, rounds: int, share: float, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of both views and the combination.  ``labels`` is -1 where
     unknown.  Each round, each view gives the other the unlabelled rows that

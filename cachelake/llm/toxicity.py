@@ -46,6 +46,21 @@ class FtrlProximal:
         self.n[at] += g * g
 
 
+def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Logistic calibration of margins (a column each): intercept and slopes, by
+    Newton steps with a small ridge."""
+    a = np.column_stack([np.ones(len(x)), np.clip(x, -30, 30)])
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+        hessian = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(hessian, a.T @ (y - p) - 1e-2 * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, held: str) -> DataFrame:
     """A bounded sample ``text, label``: the labelled rows outside ``held``
     with the ``most`` smallest id hashes.  Of several labels the largest counts."""
@@ -59,24 +74,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, hel
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16_384, epochs: int = 4, bits: int = BITS, held: str = "crc32(cast(doc_id as string)) % 5 = 0") -> tuple[np.ndarray, np.ndarray]:
     """Nonzero slots and weights, learned in one task from a bounded sample.
 
-    At most ``most`` labelled rows are used.  The weights are at most 2^bits
+    At most ``most`` labelled rows are used, a fifth of them for calibration.  The weights are at most 2^bits
     numbers; L1 leaves a small part of them.  Without labelled rows there are
     none.
     """
 
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, docs = FtrlProximal(bits), []
+        model, docs, bias = FtrlProximal(bits), [], np.zeros(1, np.int32)
         for _, batch in chunks(batches, "text"):
             words, rows = hash_words(batch.column(0))
             slots, owners = features(words, rows, bits)
             pair = np.unique(owners * (1 << bits) + slots)
             cut = np.searchsorted(pair, np.arange(len(rows)) * (1 << bits))
             slot = (pair & ((1 << bits) - 1)).astype(np.int32)
-            docs += [(np.concatenate([[0], slot[a:b]]), y) for a, b, y in zip(cut[:-1], cut[1:], batch.column(1).to_pylist(), strict=True)]
+            docs += [(np.concatenate([bias, slot[a:b]]), y) for a, b, y in zip(cut[:-1], cut[1:], batch.column(1).to_pylist(), strict=True)]
         for epoch in range(epochs):
             for i in np.random.default_rng(epoch).permutation(len(docs)):
-                model.learn(*docs[i])
+                if i % 5:
+                    model.learn(*docs[i])
         w = model.weights(np.arange(1 << bits))
+        # The rest calibrates the margin; the weights take in slope and intercept.
+        y = np.array([label for _, label in docs[::5]], float)
+        if 0 < y.sum() < len(y):
+            a, b = calibrate(np.array([[w[at].sum()] for at, _ in docs[::5]]), y)
+            if b > 0:
+                w = w * b
+                w[0] += a
         at = np.flatnonzero(w)
         if docs and not len(at):
             at = np.array([0])
