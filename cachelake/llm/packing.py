@@ -11,8 +11,10 @@ rank among those of their length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -191,32 +193,67 @@ def places(groups: list[tuple[int, list[int], int]], most: int) -> dict[int, tup
 class WordIds(dict):
     """Token ids of white-space-separated words, as little-endian bytes.
 
-    The vocabulary's rules never join tokens across white space, so words can
-    be looked up one by one.  The memory is bounded: it is emptied when full.
+    The vocabulary's rules never join tokens across white space, nor letters
+    or digits with the punctuation behind them, so words and such endings can
+    be looked up one by one.  A worker keeps what it has learned from task to
+    task; the memory is bounded: it is emptied when full.
     """
 
-    MOST = 400_000
+    MOST = 900_000
+    TOGETHER = 4096
+    KEPT: ClassVar[dict[str, WordIds]] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
 
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls.KEPT:
+            cls.KEPT[path] = cls(path)
+        return cls.KEPT[path]
+
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self))
-        if len(self) + len(new) > self.MOST:
+        new = [w for w in words if w not in self]
+        if len(self) + 2 * len(new) > self.MOST:
             self.clear()
             new = list(words)
-        texts = [w.decode("utf-8", "replace") for w in new]
-        for w, e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in new:
+            stem = w.rstrip(b".,;:!?")
+            if w.isascii():
+                stem = stem.lower()
+            if not stem or len(stem) == len(w) and stem == w:
+                continue
+            if not (stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode("utf-8", "replace")[-1].isalnum()):
+                continue
+            parts[w] = stem, w[len(stem) :]
+        self._encode({x for w in new for x in parts.get(w, (w,)) if x and x not in self})
+        for w, (stem, tail) in parts.items():
+            self[w] = self[stem] + (self[tail] if tail else b"")
+
+    def _encode(self, words: set[bytes]) -> None:
+        rest = list(words)
+        for lo in range(0, len(rest), self.TOGETHER):
+            # One text of many words; tokens find their words by where they begin.
+            some = rest[lo : lo + self.TOGETHER]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            cut = np.searchsorted(begin, np.concatenate([[0], ends]))
+            for w, a, b in zip(some, cut[:-1], cut[1:], strict=True):
+                self[w] = ids[a:b].tobytes()
 
 
 def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words = WordIds.of(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for _, batch in chunks(batches, "text"):
