@@ -111,7 +111,10 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
     some = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(most))  # at most `most` pairs of numbers
     order = F.xxhash64("doc_id", "text").alias("_order")
     told = source.join(some, F.col("doc_id") == F.col("_id")).select("text", *META, "label", order).orderBy("_order", "label").limit(most)
-    other = source.select("text", *META, F.lit(-1).alias("label"), F.xxhash64("doc_id", F.lit("pool")).alias("_order")).orderBy("_order").limit(pool)
+    # The pool's largest hash is found from hashes alone, so few texts are moved.
+    mark = F.xxhash64("doc_id", F.lit("pool"))
+    last = source.select(mark.alias("_order")).orderBy("_order").limit(pool).agg(F.max("_order")).first()[0]
+    other = source.where(mark <= F.lit(last)).select("text", *META, F.lit(-1).alias("label"), mark.alias("_order")).orderBy("_order").limit(pool)
 
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, meta, y = [], [], []
