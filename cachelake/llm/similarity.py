@@ -30,7 +30,7 @@ from cachelake.llm.signature_tree import Forest, linked_pairs
 BLOCK_PART = 512
 PIVOTS = 16
 FILTER_BITS = 24
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 SKETCH_PARTS = 64
 
 
