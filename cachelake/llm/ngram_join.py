@@ -27,7 +27,8 @@ def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, te
 
 
 def class_rows(docs: DataFrame, shingle: int, num: int, den: int, text: str, doc_id: str) -> DataFrame:
-    """``doc_id, rk, n, component_id`` per row; ``rk`` hashes id and text."""
+    """``doc_id, rk, n, component_id, class`` per row; ``rk`` hashes id and
+    text, ``class`` is the class itself: its links' component, or its only set."""
 
     def read(batch: pa.RecordBatch) -> Units:
         words, rows = hash_words(batch.column(batch.schema.get_field_index("text")))
@@ -40,20 +41,22 @@ def class_rows(docs: DataFrame, shingle: int, num: int, den: int, text: str, doc
     same = units.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = same.join(found, "fp", "left")
     reach = named.where("component is not null").groupBy("component").agg(F.min("least").alias("reached"))
-    classes = named.join(reach, "component", "left").select("fp", F.coalesce("reached", "least").alias("reached"))
-    full = units.where("n > 0").join(classes, "fp", "left").select("doc_id", "rk", "n", F.col("reached").alias("component_id"))
-    return full.unionByName(units.where("n = 0").select("doc_id", "rk", "n", F.col("doc_id").alias("component_id")))
+    own = F.struct("component", F.when(F.col("component").isNull(), F.col("fp")).alias("fp"))
+    classes = named.join(reach, "component", "left").select("fp", F.coalesce("reached", "least").alias("reached"), own.alias("class"))
+    full = units.where("n > 0").join(classes, "fp", "left").select("doc_id", "rk", "n", F.col("reached").alias("component_id"), "class")
+    return full.unionByName(units.where("n = 0").select("doc_id", "rk", "n", F.col("doc_id").alias("component_id")), allowMissingColumns=True)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id.
 
-    Rows whose ``doc_id`` is the class's smallest stay; of repeated rows with
-    that id, one stays.  Documents without shingles all stay.  A class of null
-    ids only keeps its row with the smallest row hash.
+    Of a class, the row with the smallest ``doc_id`` and row hash stays, once;
+    null ids come last.  Unlinked texts are classes of their own, also if they
+    have the same id or none.  Documents without shingles all stay.
     """
     rows = class_rows(docs, shingle, num, den, "text", "doc_id")
-    keys = rows.where("n > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("rk").alias("_rk"))
+    place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rk")
+    keys = rows.where("n > 0").groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.rk").alias("_rk"))
     void = rows.where("n = 0").select("rk").distinct().select(F.col("rk").alias("_rk"), F.lit(True).alias("_void"))
     stay = keys.select("_rk", F.lit(False).alias("_void")).unionByName(void)
     own = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))

@@ -63,6 +63,15 @@ def test_awkward_rows(spark):
     assert ids == [(False, i) for i in (1, 4, 5, 6, 7, 8, 10, 11)] + [(True, 0)]
 
 
+def test_unrelated_texts_without_ids_or_with_one_id_all_stay(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    near = text["a"] + " tail"
+    docs = [(None, text["a"]), (None, text["b"]), (None, text["c"]), (None, text["c"]), (7, text["d"]), (7, text["e"]), (7, text["e"]), (8, text["f"]), (8, text["g"]), (9, text["g"]), (None, near)]
+    kept = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sum(t in (text["a"], near) for _, t in kept) == 1
+    assert sorted((i or 0, t) for i, t in kept if t not in (text["a"], near)) == [(0, text["b"]), (0, text["c"]), (7, text["d"]), (7, text["e"]), (8, text["f"]), (8, text["g"])]
+
+
 def test_keys_meet_for_all_linked_sets():
     rng = np.random.default_rng(5)
     for num, den in ((9, 10), (4, 5)):
