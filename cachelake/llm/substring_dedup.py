@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs that repeat across documents leave all but one."""
+"""Substring dedup: passages that repeat across documents leave all but one."""
 
 from __future__ import annotations
 
@@ -7,21 +7,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import hash_spans, shingle_hashes, text_buffer, word_spans
+from cachelake.llm.common import hash_spans, shingle_hashes, stage, text_buffer, word_spans
+from cachelake.llm.repeated_runs import SPANS, cut_runs, join_few, repeated_runs
 from cachelake.llm.similarity import BandKeys, Units, distinct_sets, find_links
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 50, shingle: int = 5, num: int = 4, den: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
-    """Remove near-duplicate paragraphs (lines) of at least ``min_words`` words.
+    """Remove near-duplicate paragraphs (lines) and, of what they leave, exactly
+    repeated runs of words, each of at least ``min_words`` words.
 
     Paragraphs collide by MinHash banding (24 bands of 4: a recall of 0.99999
     at the threshold), colliding ones are verified by exact Jaccard similarity
     of their ``shingle``-word shingles (>= ``num / den``), and of each
     component the first occurrence stays, by (doc_id, row hash, position).
+    Runs don't hang on lines: any ``min_words`` words that occur before, in the
+    same order, go from the later text, however they are broken into lines.
 
     Returns ``docs`` with ``text`` rewritten and ``removed``, an array of
-    (paragraph, kept_doc_id), in front of which all columns are as they came,
-    but for ``n_chars`` if it is there.  Null texts stay null, empty ones
+    (paragraph, kept_doc_id), and ``passages``, an array of (word, words,
+    kept_doc_id) that counts the words of the text as it came.  In front of
+    them all columns are as they came, but for ``n_chars`` if it is there.  Null texts stay null, empty ones
     empty; repeated rows are one occurrence and are rewritten alike; null ids
     sort first; texts that repeat nothing are returned unchanged.
     """
@@ -56,12 +61,22 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, shingle: int = 5, num:
         .groupBy("rk").agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("paragraph"), "kept_doc_id"))).alias("removed"))
         .select(F.col("rk").alias("_rk"), "removed")
     )
-    kept = docs.drop("removed").withColumn("_key", key).join(dropped, F.col("_key") == F.col("_rk"), "left")
+    # Exact runs, across and within lines, among what the lines left.
+    dropped = stage(dropped.withColumnRenamed("_rk", "rk"), "repeated-lines")
     gone = F.transform("removed", lambda r: r["paragraph"])
+    left = join_few(source, dropped, "rk").select("rk", "doc_id", "text", gone.alias("gone"))
+    edits = dropped.join(repeated_runs(left, min_words), "rk", "full").withColumnRenamed("rk", "_key").withColumnRenamed("removed", "_removed").withColumnRenamed("passages", "_passages")
+    kept = join_few(docs.withColumn("_key", key), stage(edits, "repeated-edits"), "_key")
+    gone = F.transform("_removed", lambda r: r["paragraph"])
     lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i.cast("long")))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    has = F.col("_passages").isNotNull()
+    # Only texts with passages go to Python.
+    cut = F.arrow_udf(cut_runs, "string")(F.when(has, F.col("text").cast("string")), F.when(has, gone), F.when(has, F.col("_passages")))
+    text = F.when(has, cut).when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = kept.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    none = F.array().cast("array<struct<paragraph:bigint,kept_doc_id:bigint>>")
-    return out.select(*[c for c in docs.columns if c != "removed"], F.coalesce("removed", none).alias("removed"))
+        same = F.col("_removed").isNull() & ~has
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    none = [F.array().cast(t) for t in ("array<struct<paragraph:bigint,kept_doc_id:bigint>>", SPANS)]
+    own = [c for c in docs.columns if c not in ("removed", "passages")]
+    return out.select(*own, F.coalesce("_removed", none[0]).alias("removed"), F.coalesce("_passages", none[1]).alias("passages"))

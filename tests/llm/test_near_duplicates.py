@@ -115,3 +115,49 @@ def test_repeated_passages_leave_all_but_one(spark):
     assert substring_dedup(empty(spark)).count() == 0
     again = substring_dedup(awkward(spark))
     assert again.count() == len(AWKWARD) and set(awkward(spark).columns) - {"removed"} <= set(again.columns)
+
+
+def test_passages_inside_longer_lines_and_over_line_ends(spark):
+    own = {k: [f"{k}{i}" for i in range(90)] for k in "abcdefgh"}
+    passage = [f"p{i}" for i in range(52)]
+    wrapped = " ".join(passage[:20]) + "\n" + " ".join(passage[20:41]) + "\n" + " ".join(passage[41:])
+    short = " ".join(passage[:49])
+    line = " ".join(f"l{i}" for i in range(60))
+    docs = [
+        (1, " ".join(own["a"][:20] + passage + own["a"][20:40])), (2, " ".join(own["b"] + passage)), (3, f"head\n{wrapped}\nfoot"),
+        (4, " ".join(own["c"][:5]) + f" {wrapped} " + " ".join(own["c"][5:9])), (5, " ".join(own["d"]) + f" {short} tail"),
+        (6, f"{line}\n{' '.join(own['e'])} ä {line} ö"), (7, f"x\n{line}\n{wrapped}\ny"), (8, "long " * 120 + "end"),
+    ]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got[1].text == docs[0][1] and got[5].text == docs[4][1]
+    assert got[2].text == " ".join(own["b"]) and [tuple(p) for p in got[2].passages] == [(90, 52, 1)]
+    assert got[3].text == "head\nfoot" and got[4].text == " ".join(own["c"][:9])
+    assert got[6].text == f"{line}\n{' '.join(own['e'])} ä ö" and got[7].text == "x\ny" and len(got[7].removed) == 1
+    assert got[8].text == "long " * 50 + "end"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_equal_all_windows(spark, seed):
+    rng, m = random.Random(seed), 50
+    pool = [[f"s{k}_{i}" for i in range(rng.randrange(45, 120))] for k in range(6)]
+    docs = []
+    for d in range(40):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(pool)
+            a = rng.randrange(max(1, len(p) - 50))
+            words += [f"d{d}_{rng.randrange(10**6)}" for _ in range(rng.randrange(60))] + p[a : a + rng.randrange(40, 120)]
+        docs.append((d, words))
+    first, want = {}, {}
+    for d, words in docs:
+        lost = set()
+        for i in range(len(words) - m + 1):
+            where = first.setdefault(tuple(words[i : i + m]), (d, i))
+            if where[0] != d or where[1] + m <= i:
+                lost.update(range(i, i + m))
+        want[d] = [w for i, w in enumerate(words) if i not in lost]
+    # Lines of 7 to 40 words, so that no line is a paragraph.
+    rows = [(d, "".join(w + (rng.choice("\n ") if i % 7 == 6 else " ") if i % 40 != 39 else w + "\n" for i, w in enumerate(words))) for d, words in docs]
+    assert all(len(x.split()) < m for _, t in rows for x in t.split("\n"))
+    got = {r.doc_id: r.text.split() for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len(w) for _, w in docs)
