@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 14
 HASH_WINDOW = 1 << 20
+LEAST_BITMAP, MOST_BITMAP = 20, 28
 
 
 # ---------------------------------------------------------------- staging
@@ -245,6 +246,50 @@ def grouped_arrow(df: DataFrame, keys: list[str], work: Callable[[dict], pa.Reco
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def bitmap(df: DataFrame, key: str) -> tuple:
+    """A broadcast bitmap of the top bits of the keys, and how many bits those
+    are: about a sixteenth of it is set, until it is as large as it may get."""
+    bits = min(max((16 * df.count()).bit_length(), LEAST_BITMAP), MOST_BITMAP)
+    slot = F.shiftrightunsigned(key, 64 - bits)
+    words = df.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    mask = np.zeros(1 << (bits - 6), np.int64)
+    mask[np.asarray(words["word"])] = np.asarray(words["bits"])
+    return df.sparkSession.sparkContext.broadcast(mask.view(np.uint64)), bits
+
+
+def in_bitmap(mask: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - bits)
+    return ((mask[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to differ
+    from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``df`` left joined with the staged ``few`` on ``key``; rows that a bitmap
+    of its keys rules out stay where they are, without a shuffle."""
+    shared, bits = bitmap(few, key)
+
+    def may(x: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, bits, np.asarray(x).view(np.uint64)))
+
+    # Keys that aren't null, as hashes never are.
+    maybe = F.arrow_udf(may, "boolean")(F.col(key))
+    other = few.drop(key).schema
+    away = df.where(~maybe).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
+    return away.union(df.where(maybe).join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names))
+
+
 # ---------------------------------------------------------------- graphs
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import hash_words, shingle_hashes
-from cachelake.llm.similarity import SegmentKeys, Units, distinct_sets, find_links
+from cachelake.llm.common import hash_words, join_few, shingle_hashes, stage, unused
+from cachelake.llm.similarity import PrefixKeys, Units, distinct_sets, find_links
 
 
 def ngram_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -36,7 +36,7 @@ def class_rows(docs: DataFrame, shingle: int, num: int, den: int, text: str, doc
         return Units(tokens, offsets, {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "rk")})
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
-    units, found = find_links(source, "text", read, "doc_id long, rk long", SegmentKeys(num, den), num, den)
+    units, found = find_links(source, "text", read, "doc_id long, rk long", PrefixKeys(num, den))
     # Equal sets are one class from the start; classes then go by components.
     same = units.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = same.join(found, "fp", "left")
@@ -52,16 +52,22 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> D
 
     Of a class, the row with the smallest ``doc_id`` and row hash stays, once;
     null ids come last.  Unlinked texts are classes of their own, also if they
-    have the same id or none.  Documents without shingles all stay.
+    have the same id or none.  Documents without words (null, empty or blank
+    texts) all stay.  Of rows that repeat an id and its text, one stays, as its
+    other columns are.  Columns of any names are kept as they are; an empty
+    table stays empty.
     """
-    rows = class_rows(docs, shingle, num, den, "text", "doc_id")
+    rows = class_rows(docs, shingle, num, den, "text", "doc_id").where("n > 0")
     place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rk")
-    keys = rows.where("n > 0").groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.rk").alias("_rk"))
-    void = rows.where("n = 0").select("rk").distinct().select(F.col("rk").alias("_rk"), F.lit(True).alias("_void"))
-    stay = keys.select("_rk", F.lit(False).alias("_void")).unionByName(void)
-    own = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    kept = own.join(stay, F.col("_key") == F.col("_rk"))
-    # Repeated rows share a key; those without words all stay.
-    kept = kept.withColumn("_salt", F.when(F.col("_void"), F.monotonically_increasing_id()).otherwise(0))
-    order = Window.partitionBy("_key", "_salt").orderBy("_key")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n <= 1").select(*docs.columns)
+    firsts = rows.groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.rk").alias("rk"), F.lit(True).alias("first"))
+    copies = rows.groupBy("rk").agg(F.count("*").alias("copies")).join(firsts, "rk", "left")
+    # Only rows that go, or of which there are several, are looked up.
+    key, first, many = unused(docs, "key", "first", "copies")
+    few = copies.where("first is null or copies > 1").select(F.col("rk").alias(key), F.coalesce("first", F.lit(False)).alias(first), F.col("copies").alias(many))
+    text = F.col("text").cast("string")
+    wordless = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(~wordless).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
+    looked = join_few(own, stage(few, "near-copies"), key).where(F.coalesce(first, F.lit(True)))
+    again = F.coalesce(many, F.lit(1)) > 1
+    kept = looked.where(~again).union(looked.where(again).dropDuplicates([key]))
+    return kept.drop(key, first, many).union(docs.where(wordless))

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import chunks, hash_spans, mix, shard_of, shuffle_partitions, stage, text_buffer, word_spans
+from cachelake.llm.common import bitmap, chunks, hash_spans, in_bitmap, mix, shard_of, shuffle_partitions, stage, text_buffer, word_spans
 
-LEAST_BITS, MOST_BITS = 20, 28
 SPANS = "array<struct<word:bigint,words:bigint,kept_doc_id:bigint>>"
 
 
@@ -98,12 +97,12 @@ def repeated_runs(docs: DataFrame, m: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[lo : lo + (1 << 16)])], names=["anchor"])
 
     wanted = stage(docs.mapInArrow(anchors, "key_shard int, keys binary").repartitionById(shards, F.col("key_shard")).mapInArrow(repeated, "anchor long"), "run-anchors")
-    shared, bits = _bitmap(wanted, "anchor")
+    shared, bits = bitmap(wanted, "anchor")
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in chunks(batches, "text"):
             row, word, anchor, hashes = _windows(batch, m)
-            hit = _has(shared.value, bits, anchor)
+            hit = in_bitmap(shared.value, bits, anchor)
             if not hit.any():
                 continue
             row, word, hashes = row[hit], word[hit], hashes[hit]
@@ -207,34 +206,3 @@ def cut_runs(text: pa.Array, gone: pa.Array, passages: pa.Array) -> pa.Array:
             lo = hi + 1
         out.append(b"".join(built).decode())
     return pa.array(out, pa.string())
-
-
-def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """``df`` left joined with the staged ``few`` on ``key``; rows that a bitmap
-    of its keys rules out stay where they are, without a shuffle."""
-    shared, bits = _bitmap(few, key)
-
-    def may(x: pa.Array) -> pa.Array:
-        return pa.array(_has(shared.value, bits, np.asarray(x).view(np.uint64)))
-
-    # Keys that aren't null, as hashes never are.
-    maybe = F.arrow_udf(may, "boolean")(F.col(key))
-    other = few.drop(key).schema
-    away = df.where(~maybe).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
-    return away.unionByName(df.where(maybe).join(few, key, "left").select(*df.columns, *other.names))
-
-
-def _bitmap(df: DataFrame, key: str) -> tuple:
-    """A broadcast bitmap of the top bits of the keys, and how many bits those
-    are: about a sixteenth of it is set, until it is as large as it may get."""
-    bits = min(max((16 * df.count()).bit_length(), LEAST_BITS), MOST_BITS)
-    slot = F.shiftrightunsigned(key, 64 - bits)
-    words = df.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    mask = np.zeros(1 << (bits - 6), np.int64)
-    mask[np.asarray(words["word"])] = np.asarray(words["bits"])
-    return df.sparkSession.sparkContext.broadcast(mask.view(np.uint64)), bits
-
-
-def _has(mask: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - bits)
-    return ((mask[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)

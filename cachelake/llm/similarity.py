@@ -1,37 +1,39 @@
 """Links between similar token sets, at scale and without losing any.
 
-1. Each set gets keys such that two sets that are alike share one (segments of
-   the token space for exact joins, MinHash bands for recall-tuned ones).  Keys
-   go to shards as packed 8-byte words, not as rows.
-2. Only the sets that share a key with another are fetched, each once.  Among
-   them, prefixes of each set in order of token frequency (by a sketch of
-   bounded size; any order is exact) give blocks, as connected components,
-   without the sets whose rare tokens nobody shares.
-3. Every block is joined exactly by signature trees.  Large blocks are cut
-   into salted parts that share some pivots; what the pivots leave unjoined is
-   compared with all other parts in a second pass.
+1. The texts are read once to describe their sets and to count, in a sketch
+   sized from the texts' bytes, how often each token (or band key) occurs.
+2. Each set gets keys such that two sets that are alike share one: its rarest
+   tokens for exact joins, MinHash bands for recall-tuned ones.  Keys travel to
+   shards as packed words; those that the sketch counts often travel as rows,
+   which Spark aggregates before and after the shuffle, so that no task holds
+   a hot key.  Of each key, the least set is the pivot of all others.
+3. Only sets that share a key with another are fetched, each once.  A pivot's
+   group is joined as a whole; a large one is cut into parts that all hold the
+   pivot.  What isn't joined with its group's main component by then goes to
+   the group's other parts in a second pass.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import chunks, connected_components, grouped_arrow, mix, shard_of, shuffle_partitions, stage
-from cachelake.llm.signature_tree import Forest, linked_pairs
+from cachelake.llm.common import bitmap, chunks, connected_components, grouped_arrow, in_bitmap, mix, shard_of, shuffle_partitions, stage
+from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
 
-BLOCK_PART = 512
-PIVOTS = 16
-FILTER_BITS = 24
-SKETCH_BITS = 20
-SKETCH_PARTS = 64
+GROUP_PART = 512
+SHARD_KEYS = 1 << 21
+LEAST_BITS, MOST_BITS, SKETCH_PARTS = 16, 23, 64
+#: Bits of a packed key that number its set; no chunk has more.
+REF = np.uint64(22)
+#: Counts are kept as 16 times their binary logarithm.
+HOT = 16 * 12
 
 
 @dataclass
@@ -67,117 +69,93 @@ def fingerprints(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-# ---------------------------------------------------------------- exact keys
+# ---------------------------------------------------------------- keys
 
 
 @dataclass
-class SegmentKeys:
-    """Keys for all pairs with Jaccard similarity of ``num / den`` or more.
-
-    Such sets a, b with |a| <= |b| differ in at most d = |a| (den - num) / num
-    tokens.  Cut the token space into m segments: if a has tokens in more than
-    d of them, one of these is the same in b, so its content is a key.  m
-    depends on a size class of a; b makes keys for each class that a partner
-    no larger than itself may have.  Classes of small sets, and classes in
-    which some set was found to fill too few segments, use every token as key.
-    """
+class PrefixKeys:
+    """A set's n - ceil(n num / den) + 1 first tokens in an order that all sets
+    share.  Sets with Jaccard similarity of ``num / den`` or more have one of
+    them in common.  Tokens that the sketch counts least come first, so a set
+    with enough tokens of its own meets nobody; any order is exact."""
 
     num: int
     den: int
-    every: frozenset[int] = frozenset()
-    bounds: np.ndarray = field(init=False)
-    segments: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        bounds = [0, 17]
-        while bounds[-1] < 1 << 31:
-            bounds.append(math.ceil(bounds[-1] * 1.5))
-        self.bounds = np.array(bounds)
-        part = (self.den - self.num) / self.num
-        self.segments = np.zeros(len(bounds), np.int64)  # 0: every token is a key
-        for c in range(1, len(bounds) - 1):
-            lo, hi = bounds[c], bounds[c + 1] - 1
-            m = part * hi + 3 * math.sqrt(part * hi) + 4
-
-            def filled(n: int, m: float) -> float:
-                return m * (1 - math.exp(-n / m)) - 6 * math.sqrt(m * math.exp(-n / m))
-
-            while m < hi and min(filled(lo, m) - part * lo, filled(hi, m) - part * hi) < 1:
-                m *= 1.05
-            if m < hi and c not in self.every:
-                self.segments[c] = int(m)
-
-    def __call__(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, their sets, and the classes that need another run."""
+
+    def counted(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return tokens
+
+    def number(self, sets: int, tokens: int) -> int:
+        return sets + tokens * (self.den - self.num) // self.den
+
+    def __call__(self, tokens: np.ndarray, offsets: np.ndarray, often: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, the positions of their sets, and the keys' counts."""
         n = np.diff(offsets)
-        top = np.searchsorted(self.bounds, n, "right") - 1
-        low = np.searchsorted(self.bounds, -(-n * self.num // self.den), "right") - 1
-        keys, owners, short = [], [], []
-        for back in range(int((top - low).max(initial=0)) + 1):
-            c = top - back
-            use = (n > 0) & (c >= low)
-            if not use.any():
-                continue
-            owner = np.repeat(np.flatnonzero(use), n[use])
-            t = tokens[np.repeat(use, n)]
-            m = self.segments[c][owner].astype(np.uint64)
-            segment = np.where(m > 0, ((t >> np.uint64(32)) * m) >> np.uint64(32), np.arange(len(t), dtype=np.uint64))
-            new = np.ones(len(t), bool)
-            new[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])
-            at = np.flatnonzero(new)
-            own = owner[at]
-            content = np.add.reduceat(mix(t ^ np.uint64(0xA4093822299F31D0)), at)
-            where = np.where(m[at] > 0, segment[at], 0).astype(np.uint64)
-            keys.append(mix(content + (c[own].astype(np.uint64) << np.uint64(40)) + where * np.uint64(0x9FB21C651E98DF25)))
-            owners.append(own)
-            if back == 0:
-                filled = np.bincount(own, minlength=len(n))
-                bad = use & (self.segments[c] > 0) & (filled * self.num <= n * (self.den - self.num))
-                short = np.unique(c[bad]).tolist()
-        if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(keys), np.concatenate(owners), np.array(short, np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        count = often(tokens)
+        order = np.lexsort((tokens, count, owner))
+        first = np.arange(len(tokens)) - np.repeat(offsets[:-1], n) < np.repeat(n - -(-n * self.num // self.den) + 1, n)
+        at = order[first]
+        return tokens[at], owner[at], count[at]
+
+    def join(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, forest: Forest) -> list[tuple[int, int]]:
+        return linked_pairs(sets, left, right, self.num, self.den, forest)
 
 
 @dataclass
 class BandKeys:
     """MinHash band keys: sets with similarity s share one of ``bands`` keys
-    of ``rows`` hashes with probability 1 - (1 - s^rows)^bands."""
+    of ``rows`` hashes with probability 1 - (1 - s^rows)^bands.  Only sets
+    that share a band are compared."""
 
     bands: int
     rows: int
+    num: int
+    den: int
 
-    def __call__(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.diff(offsets)
-        own = np.flatnonzero(n > 0)
-        none = np.zeros(0, np.int64)
-        if not len(own):
-            return np.zeros(0, np.uint64), none, none
-        at = offsets[:-1][own]
+    def counted(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self.table(tokens, offsets).ravel()
+
+    def number(self, sets: int, tokens: int) -> int:
+        return sets * self.bands
+
+    def table(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """``bands`` keys of each set; none may be empty."""
+        if len(offsets) < 2:
+            return np.zeros((self.bands, 0), np.uint64)
         rng = np.random.Generator(np.random.PCG64(104729))
         keys = []
         for band in range(self.bands):
-            key = np.full(len(own), band, np.uint64)
+            key = np.full(len(offsets) - 1, band, np.uint64)
             for _ in range(self.rows):
                 a, b = (np.uint64(int(x) | 1) for x in rng.integers(1, 1 << 63, 2))
                 x = tokens * a + b
-                key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(x ^ (x >> np.uint64(29)), at))
+                key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(x ^ (x >> np.uint64(29)), offsets[:-1]))
             keys.append(key)
-        return np.concatenate(keys), np.tile(own, self.bands), none
+        return np.array(keys)
+
+    def __call__(self, tokens: np.ndarray, offsets: np.ndarray, often: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = self.table(tokens, offsets).ravel()
+        return keys, np.tile(np.arange(len(offsets) - 1), self.bands), often(keys)
+
+    def join(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, forest: Forest) -> list[tuple[int, int]]:
+        bands = self.table(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+        size = np.array([len(s) for s in sets])
+        to = left if right is None else right
+        found = []
+        for i in left.tolist():
+            near = (bands[:, [i]] == bands[:, to]).any(0) & (np.minimum(size[i], size[to]) * self.den >= self.num * np.maximum(size[i], size[to]))
+            for j in to[near].tolist():
+                if forest.find(i) != forest.find(j) and overlap(sets[i], sets[j]) * (self.num + self.den) >= self.num * (size[i] + size[j]):
+                    forest.union(i, j)
+                    found.append((i, j))
+        return found
 
 
 # ---------------------------------------------------------------- the join
 
 
-def find_links(
-    docs: DataFrame,
-    text: str,
-    read: Callable[[pa.RecordBatch], Units],
-    columns: str,
-    keys: SegmentKeys | BandKeys,
-    num: int,
-    den: int,
-) -> tuple[DataFrame, DataFrame]:
+def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Units], columns: str, keys: PrefixKeys | BandKeys) -> tuple[DataFrame, DataFrame]:
     """All units with their fingerprints, and the components of their links.
 
     ``read`` makes a chunk's sets; ``columns`` is the DDL of its columns.  The
@@ -185,177 +163,133 @@ def find_links(
     for the fingerprints that are linked with another (equal sets are one).
     """
     spark = docs.sparkSession
-    shards = shuffle_partitions(spark)
     names = [c.strip().split()[0] for c in columns.split(",")]
-    schema = f"{columns}, n long, fp binary, met long, key_shard int, packed binary, short long"
-    fields = pa.schema([f for f in _arrow_schema(schema)])
+    volume = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    bits = min(max(volume.bit_length() - 2, LEAST_BITS), MOST_BITS)
+    described = f"{columns}, n long, fp binary, part int, counts binary"
+
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        for _, batch in chunks(batches, text):
+            units = read(batch)
+            fps = fingerprints(units.tokens, units.offsets)
+            yield _rows(described, len(fps), **units.columns, n=pa.array(np.diff(units.offsets)), fp=_binary(fps))
+            tokens, offsets, _ = _once(units, fps)
+            np.add.at(total, (keys.counted(tokens, offsets) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        if total.any():
+            parts = np.minimum(total, 65535).astype(np.uint16).reshape(SKETCH_PARTS, -1)
+            yield _rows(described, SKETCH_PARTS, part=pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), counts=pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()))
 
-    def rows(count: int, /, **given: object) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(count, f.type) for f in fields], schema=fields)
+    seen = stage(docs.mapInArrow(describe, described), "similar-units")
+    units = seen.where("fp is not null").select(*names, "n", "fp")
+    sketch = spark.sparkContext.broadcast(_sketch(seen.where("part is not null").select("part", "counts"), bits))
+    sets, tokens = units.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = max(shuffle_partitions(spark), -(-keys.number(sets, tokens) // SHARD_KEYS))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
         for chunk, batch in chunks(batches, text):
             units = read(batch)
-            n = np.diff(units.offsets)
             fps = fingerprints(units.tokens, units.offsets)
-            yield rows(
-                len(n), **units.columns, n=pa.array(n), fp=_binary(fps),
-                key_shard=pa.array(((chunk + np.arange(len(n))) % shards).astype(np.int32)),
-            )
-            # Of equal sets in a chunk, one makes keys.
-            _, first = np.unique(fps, axis=0, return_index=True)
-            once = np.zeros(len(n), bool)
-            once[first] = True
-            took = np.flatnonzero(once & (n > 0))
+            tokens, offsets, took = _once(units, fps)
             if not len(took):
                 continue
-            k, own, short = keys(units.tokens[np.repeat(once, n)], np.concatenate([[0], np.cumsum(n[took])]))
+            k, own, count = keys(tokens, offsets, lambda x: counts[(x >> np.uint64(64 - bits)).astype(np.int64)])
+            hot = count >= HOT
+            if hot.any():
+                n = int(hot.sum())
+                yield _rows(_KEYS, n, shard=pa.array(np.full(n, chunk % shards, np.int32)), hot=pa.array(k[hot].view(np.int64)), head=pa.array(fps[took[own[hot]], 0].view(np.int64)))
+            k, own = mix(k[~hot]), own[~hot]
             order = np.argsort(k)
             k, own = k[order], own[order]
             cut = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
+            some = np.flatnonzero(np.diff(cut))
             blobs = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
+            for a, b in zip(cut[some], cut[some + 1], strict=True):
                 # The heads of the shard's sets, then keys with the number of their head.
                 refs, at = np.unique(own[a:b], return_inverse=True)
-                heads = fps[took[refs], 0]
-                blobs.append(np.concatenate([[np.uint64(len(refs))], heads, (k[a:b] << np.uint64(24)) | at.astype(np.uint64)]).tobytes() if b > a else None)
-            yield rows(shards, key_shard=pa.array(np.arange(shards, dtype=np.int32)), packed=pa.array(blobs, pa.binary()))
-            if len(short):
-                yield rows(len(short), key_shard=pa.array(np.zeros(len(short), np.int32)), short=pa.array(short))
+                blobs.append(np.concatenate([[np.uint64(len(refs))], fps[took[refs], 0], ((k[a:b] >> REF) << REF) | at.astype(np.uint64)]).tobytes())
+            yield _rows(_KEYS, len(some), shard=pa.array(some.astype(np.int32)), packed=pa.array(blobs, pa.binary()))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = [], []
         for batch in batches:
-            packed = batch.column(batch.schema.get_field_index("packed"))
-            plain = batch.filter(packed.is_null())
-            keep = np.asarray(plain.column(plain.schema.get_field_index("fp")).is_valid()) | np.asarray(plain.column(plain.schema.get_field_index("short")).is_valid())
-            if keep.any():
-                yield plain.filter(pa.array(keep))
-            for blob in packed.drop_null():
+            hot = batch.filter(batch.column(2).is_valid())
+            if hot.num_rows:
+                yield _rows(_MET, hot.num_rows, hot=hot.column(2), head=hot.column(3))
+            for blob in batch.column(1).drop_null():
                 x = np.frombuffer(blob.as_buffer(), np.uint64)
                 n = int(x[0]) + 1
-                key.append(x[n:] >> np.uint64(24))
-                head.append(x[1:n][(x[n:] & np.uint64(0xFFFFFF)).astype(np.int64)])
+                key.append(x[n:] >> REF)
+                head.append(x[1:n][(x[n:] & ((np.uint64(1) << REF) - np.uint64(1))).astype(np.int64)])
         if not key:
             return
-        k, h = np.concatenate(key), np.concatenate(head)
-        del key, head
-        order = np.argsort(k, kind="stable")
-        k, h = k[order], h[order]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        differ = np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start)
-        found = np.unique(h[np.repeat(differ, np.diff(np.append(start, len(k))))]).view(np.int64)
-        for lo in range(0, len(found), 1 << 16):
-            part = found[lo : lo + (1 << 16)]
-            yield rows(len(part), met=pa.array(part))
-
-    met = docs.mapInArrow(deal, schema).repartitionById(shards, F.col("key_shard")).mapInArrow(meet, schema)
-    met = stage(met.drop("packed", "key_shard"), "similar-keys")
-    if isinstance(keys, SegmentKeys):
-        again = frozenset(r[0] for r in met.where("short is not null").select("short").distinct().collect())  # classes: a few dozen at most
-        if again:
-            return find_links(docs, text, read, columns, SegmentKeys(keys.num, keys.den, keys.every | again), num, den)
-    units = met.where("fp is not null").select(*names, "n", "fp")
-    wanted = stage(met.where("met is not null").select(F.col("met").alias("head")).distinct(), "similar-heads")
-    # Fetch the sets that met another.  A bitmap of bounded size spares the rest.
-    mask = _filter(wanted)
+        pair = star_pairs(np.concatenate(key), np.concatenate(head))
+        for lo in range(0, len(pair), 1 << 16):
+            part = np.ascontiguousarray(pair[lo : lo + (1 << 16)].T).view(np.int64)
+            yield _rows(_MET, part.shape[1], head=pa.array(part[0]), pivot=pa.array(part[1]))
+
+    met = stage(docs.mapInArrow(deal, _KEYS).repartitionById(shards, F.col("shard")).mapInArrow(meet, _MET), "similar-keys")
+    hot = met.where("hot is not null").select("hot", "head").distinct()
+    pivots = hot.groupBy("hot").agg(F.min("head").alias("pivot"))
+    hot_pairs = hot.join(pivots, "hot").where("head <> pivot").select("head", "pivot")
+    pairs = stage(met.where("pivot is not null").select("head", "pivot").unionByName(hot_pairs).distinct(), "similar-pairs")
+    wanted, slots = bitmap(pairs.select("head").unionByName(pairs.select(F.col("pivot").alias("head"))).distinct(), "head")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, batch in chunks(batches, text):
             units = read(batch)
             fps = fingerprints(units.tokens, units.offsets)
-            slot = fps[:, 0] >> np.uint64(64 - FILTER_BITS)
-            wanted = (np.diff(units.offsets) > 0) & ((mask[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
-            if not wanted.any():
-                continue
+            asked = (np.diff(units.offsets) > 0) & in_bitmap(wanted.value, slots, fps[:, 0])
             _, first = np.unique(fps, axis=0, return_index=True)
-            at = np.intersect1d(first, np.flatnonzero(wanted))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _binary(fps[at]), pa.array(fps[at, 0].view(np.int64)), pa.array((chunk << 24) + at),
-                    pa.array([units.tokens[units.offsets[i] : units.offsets[i + 1]].tobytes() for i in at], pa.binary()),
-                ],
-                names=["fp", "head", "member", "tokens"],
-            )
-
-    sets = docs.mapInArrow(fetch, "fp binary, head long, member long, tokens binary").join(wanted, "head", "left_semi")
-    sets = stage(sets.groupBy("fp").agg(F.min("member").alias("member"), F.first("tokens").alias("tokens")), "similar-sets")
-    edges = _block_edges(sets.join(_blocks(sets, num, den), "member"), num, den)
-    found = connected_components(edges, "similar-links")
-    names_of = sets.select("fp", F.col("member").alias("node"))
-    return units.select(*names, "n", "fp"), names_of.join(found, "node").select("fp", "component")
-
-
-def _blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``member, block``: components of the sets that share a prefix token.
-
-    Two linked sets share one of each other's n - ceil(n num / den) + 1 first
-    tokens in any common order.  Rare tokens come first here, so a set with
-    enough tokens of its own meets nobody.
-    """
-    spark = sets.sparkSession
-    part = (1 << SKETCH_BITS) // SKETCH_PARTS
+            at = np.intersect1d(first, np.flatnonzero(asked))
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _binary(fps[at]), pa.array(fps[at, 0].view(np.int64)), pa.array((chunk << 24) + at),
+                        pa.array([units.tokens[units.offsets[i] : units.offsets[i + 1]].tobytes() for i in at], pa.binary()),
+                    ],
+                    names=["fp", "head", "member", "tokens"],
+                )
+
+    sets = docs.mapInArrow(fetch, "fp binary, head long, member long, tokens binary")
+    sets = stage(sets.groupBy("fp").agg(F.first("head").alias("head"), F.min("member").alias("member"), F.first("tokens").alias("tokens")), "similar-sets")
+    found = connected_components(_group_edges(sets, pairs, keys), "similar-links")
+    return units, sets.select("fp", F.col("member").alias("node")).join(found, "node").select("fp", "component")
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for tokens in batch.column(0):
-                np.add.at(total, (np.frombuffer(tokens.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        if total.any():
-            small = np.minimum(total, 65535).astype(np.uint16).reshape(SKETCH_PARTS, part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS)), pa.array([zlib.compress(x.tobytes(), 1) for x in small], pa.binary())], names=["part", "counts"])
+
+_KEYS = "shard int, packed binary, hot long, head long"
+_MET = "hot long, head long, pivot long"
+
+
+def _once(units: Units, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal sets in a chunk one, without empty ones: tokens, offsets and
+    the sets' positions."""
+    n = np.diff(units.offsets)
+    once = np.zeros(len(n), bool)
+    once[np.unique(fps, axis=0, return_index=True)[1]] = True
+    once &= n > 0
+    return units.tokens[np.repeat(once, n)], np.concatenate([[0], np.cumsum(n[once])]), np.flatnonzero(once)
+
+
+def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """The tasks' counters added up, as 16 times their binary logarithms."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                one = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint16)
+                sums[k] = sums[k] + one if k in sums else one.astype(np.uint32)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+            logs = [np.minimum(16 * np.log2(1.0 + x), 255).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["part", "counts"])
 
-    ddl = "part long, counts binary"
-    table = sets.select("tokens").mapInArrow(count, ddl).repartition("part").mapInArrow(add, ddl).toArrow()  # 2^SKETCH_BITS counters
-    sketch = np.zeros((SKETCH_PARTS, part), np.uint16)
+    out = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint8)
+    table = parts.repartition("part").mapInArrow(add, "part int, counts binary").toArrow()  # 2^MOST_BITS bytes at most
     for k, counts in zip(table["part"].to_pylist(), table["counts"].to_pylist(), strict=True):
-        sketch[k] = np.frombuffer(counts, np.uint16)
-    shared = spark.sparkContext.broadcast(sketch.ravel())
-    shards = shuffle_partitions(spark)
-
-    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = shared.value
-        for batch in batches:
-            keys, owners = [], []
-            for member, tokens in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                t = np.frombuffer(tokens, np.uint64)
-                n = len(t) + (-len(t) * num // den) + 1
-                order = np.lexsort((t, frequency[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:n]
-                keys.append(mix(t[order]))
-                owners.append(np.full(len(order), member, np.int64))
-            if not keys:
-                continue
-            k, own = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(k)
-            k, own = k[order], own[order]
-            cut = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
-            some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), *(pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (k, own))], names=["key_shard", "keys", "owners"]
-            )
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = [], []
-        for batch in batches:
-            keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            owners += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-        if not keys:
-            return
-        pair = star_pairs(np.concatenate(keys), np.concatenate(owners))
-        for lo in range(0, len(pair), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[lo : lo + (1 << 16), j]) for j in (0, 1)], names=["src", "dst"])
-
-    dealt = sets.select("member", "tokens").mapInArrow(prefixes, "key_shard int, keys binary, owners binary")
-    pairs = dealt.repartitionById(shards, F.col("key_shard")).mapInArrow(meet, "src long, dst long")
-    return connected_components(pairs, "similar-refined").select(F.col("node").alias("member"), F.col("component").alias("block"))
+        out[k] = np.frombuffer(counts, np.uint8)
+    return out.ravel()
 
 
 def star_pairs(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
@@ -367,47 +301,47 @@ def star_pairs(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([own, pivot], 1)[own != pivot], axis=0)
 
 
-def _block_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``(src, dst)`` between members that span each block's components."""
-    size = sets.groupBy("block").agg(F.count("*").alias("members")).where("members > 1")
-    parts = F.ceil(F.col("members") / BLOCK_PART).cast("int")
-    dealt = sets.join(size, "block").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+def _group_edges(sets: DataFrame, pairs: DataFrame, keys: PrefixKeys | BandKeys) -> DataFrame:
+    """Links ``(src, dst)`` between members that span the components of all
+    links between sets that share a pivot."""
+    size = pairs.groupBy("pivot").agg(F.ceil((F.count("*") + 1) / GROUP_PART).cast("int").alias("parts"))
+    dealt = pairs.join(size, "pivot").withColumn("part", F.pmod(F.xxhash64("head"), "parts").cast("int"))
+    # The pivot is in all parts of its group, and so joins these parts' components.
+    every = size.select("pivot", F.col("pivot").alias("head"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    groups = dealt.select("pivot", "head", "parts", "part").unionByName(every)
 
     def within(rows: dict) -> pa.RecordBatch | None:
         if len(rows["member"]) < 2:
             return None
         tokens = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
-        pairs = linked_pairs(tokens, np.arange(len(tokens)), None, num, den, Forest(len(tokens)))
-        return _pairs(rows["member"], pairs)
-
-    # Pivots are in all parts of their block, and so join these parts' components.
-    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("fp", F.lit(7)), "members") < PIVOTS)
-    spread = dealt.withColumn("part", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
-    first = stage(grouped_arrow(spread.select("block", "part", "member", "tokens"), ["block", "part"], within, "src long, dst long"), "similar-within")
-    large = dealt.where("parts > 1")
-    if not large.select("block").take(1):
+        return _pairs(rows["member"], keys.join(tokens, np.arange(len(tokens)), None, Forest(len(tokens))))
+
+    full = groups.join(sets.select("head", "member", "tokens"), "head")
+    first = stage(grouped_arrow(full.select("pivot", "part", "member", "tokens"), ["pivot", "part"], within, "src long, dst long"), "similar-within")
+    split = groups.where("parts > 1")
+    if not split.take(1):
         return first
-    # What isn't in its block's largest component yet is compared with the other parts.
+    # What isn't in its group's largest component yet goes to all other parts.
     joined = connected_components(first, "similar-parts").withColumnRenamed("node", "member")
-    now = large.join(joined, "member", "left").withColumn("component", F.coalesce("component", "member"))
-    counts = now.groupBy("block", "component").agg(F.count("*").alias("c"))
-    main = counts.groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"))
-    now = stage(now.join(main.where("components > 1"), "block").select("block", "parts", "part", "member", "tokens", "component", "main"), "similar-rest")
-    rest = now.where("component <> main")
+    own = split.join(sets.select("head", "member"), "head").join(joined, "member", "left").withColumn("component", F.coalesce("component", "member"))
+    counts = own.groupBy("pivot", "component").agg(F.count("*").alias("c"))
+    main = counts.groupBy("pivot").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"))
+    own = stage(own.join(main.where("components > 1"), "pivot").select("pivot", "parts", "part", "member", "component", "main"), "similar-split")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = rest.select("block", F.col("part").alias("from"), other.alias("part"), "member", "tokens", "component", F.lit(True).alias("moves")).where("from <> part")
-    origins = rest.select("block", F.col("part").alias("from")).distinct()
-    right = now.join(origins, "block").where("from <> part").select("block", "from", "part", "member", "tokens", "component", F.lit(False).alias("moves"))
+    rest = own.where("component <> main").select("pivot", F.col("part").alias("home"), other.alias("part"), "member", "component", F.lit(True).alias("moves"))
+    both = rest.where("home <> part").drop("home").unionByName(own.select("pivot", "part", "member", "component", F.lit(False).alias("moves")))
 
     def across(rows: dict) -> pa.RecordBatch | None:
-        tokens = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
         moves = np.array(rows["moves"])
+        if not moves.any() or moves.all():
+            return None
+        tokens = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
         forest, seen = Forest(len(tokens)), {}
         for i, c in enumerate(rows["component"]):
             forest.union(i, seen.setdefault(c, i))
-        return _pairs(rows["member"], linked_pairs(tokens, np.flatnonzero(moves), np.flatnonzero(~moves), num, den, forest))
+        return _pairs(rows["member"], keys.join(tokens, np.flatnonzero(moves), np.flatnonzero(~moves), forest))
 
-    second = grouped_arrow(left.unionByName(right), ["block", "from", "part"], across, "src long, dst long")
+    second = grouped_arrow(both.join(sets.select("member", "tokens"), "member"), ["pivot", "part"], across, "src long, dst long")
     return first.unionByName(stage(second, "similar-across"))
 
 
@@ -419,15 +353,8 @@ def _binary(fps: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(fps), [None, pa.py_buffer(np.ascontiguousarray(fps).tobytes())]).cast(pa.binary())
 
 
-def _filter(heads: DataFrame) -> np.ndarray:
-    """A bitmap of ``2^FILTER_BITS`` bits of fingerprint heads."""
-    slot = F.shiftrightunsigned("head", 64 - FILTER_BITS)
-    words = heads.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    mask = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    mask[np.asarray(words["word"])] = np.asarray(words["bits"])
-    return mask.view(np.uint64)
-
-
-def _arrow_schema(ddl: str) -> list[pa.Field]:
+def _rows(ddl: str, count: int, /, **given: pa.Array) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-    return [pa.field(*(lambda n, k: (n, kinds[k]))(*c.split())) for c in ddl.split(",")]
+    fields = [c.split() for c in ddl.split(",")]
+    arrays = [given[n].cast(kinds[k]) if n in given else pa.nulls(count, kinds[k]) for n, k in fields]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])

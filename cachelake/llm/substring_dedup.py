@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import hash_spans, shingle_hashes, stage, text_buffer, word_spans
-from cachelake.llm.repeated_runs import SPANS, cut_runs, join_few, repeated_runs
+from cachelake.llm.common import hash_spans, join_few, shingle_hashes, stage, text_buffer, word_spans
+from cachelake.llm.repeated_runs import SPANS, cut_runs, repeated_runs
 from cachelake.llm.similarity import BandKeys, Units, distinct_sets, find_links
 
 
@@ -49,7 +49,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, shingle: int = 5, num:
 
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("rk"))
-    units, found = find_links(source, "text", read, "doc_id long, rk long, ordinal long", BandKeys(bands, rows), num, den)
+    units, found = find_links(source, "text", read, "doc_id long, rk long, ordinal long", BandKeys(bands, rows, num, den))
     place = F.struct("doc_id", "rk", "ordinal")
     same = units.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     named = same.join(found, "fp", "left").where("component is not null or first <> last")

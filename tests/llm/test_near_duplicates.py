@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cachelake.llm.common import connected_components
 from cachelake.llm.ngram_join import keep_one, ngram_join
 from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
-from cachelake.llm.similarity import BandKeys, SegmentKeys, distinct_sets
+from cachelake.llm.similarity import BandKeys, PrefixKeys, distinct_sets
 from cachelake.llm.substring_dedup import substring_dedup
 
 from .cases import AWKWARD, awkward, components, empty, shingles
@@ -36,11 +36,13 @@ def test_join_equals_all_pairs(spark, k, num, den):
     assert len({c for _, c in want.values()}) < len(texts)
 
 
-def test_large_blocks_are_cut_without_losing_links(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_groups_and_hot_keys_lose_no_links(spark, monkeypatch, hot):
     import cachelake.llm.similarity as similarity
 
-    monkeypatch.setattr(similarity, "BLOCK_PART", 8)
-    monkeypatch.setattr(similarity, "PIVOTS", 2)
+    monkeypatch.setattr(similarity, "GROUP_PART", 8)
+    if hot:
+        monkeypatch.setattr(similarity, "HOT", 16)
     texts = mutants(77, families=2, each=60)
     sets = [shingles(t, 3) for t in texts]
     want = dict(enumerate(components(sets, 4, 5)))
@@ -75,19 +77,27 @@ def test_unrelated_texts_without_ids_or_with_one_id_all_stay(spark):
 def test_keys_meet_for_all_linked_sets():
     rng = np.random.default_rng(5)
     for num, den in ((9, 10), (4, 5)):
-        keys = SegmentKeys(num, den)
         for n in (3, 16, 17, 40, 150, 900):
             base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
             drop = len(base) * (den - num) // den
             other = np.unique(np.concatenate([rng.permutation(base)[drop:]]))
             assert overlap(base, other) * den >= num * len(np.union1d(base, other))
             flat, offsets = np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)])
-            k, own, short = keys(flat, offsets)
-            assert not len(short) and set(k[own == 0].tolist()) & set(k[own == 1].tolist())
+            k, own, count = PrefixKeys(num, den)(flat, offsets, lambda x: (x >> np.uint64(60)).astype(np.uint8))
+            assert len(k) == len(own) == len(count) and set(k[own == 0].tolist()) & set(k[own == 1].tolist())
     sets, at = distinct_sets(np.array([5, 3, 5, 1], np.uint64), np.array([0, 3, 3, 4]))
     assert sets.tolist() == [3, 5, 1] and at.tolist() == [0, 2, 2, 3]
-    k, own, _ = BandKeys(24, 4)(sets, at)
-    assert len(k) == 48 and set(own.tolist()) == {0, 2}
+
+
+def test_recall_of_the_bands():
+    rng, keys = np.random.default_rng(6), BandKeys(9, 3, 4, 5)
+    met = 0
+    for _ in range(1500):
+        base = rng.integers(0, 1 << 63, 66, dtype=np.uint64)
+        flat = np.concatenate([base[:63], base[7:]])  # 56 of 66 in common
+        table = keys.table(flat, np.array([0, 63, len(flat)]))
+        met += bool((table[:, 0] == table[:, 1]).any())
+    assert met >= 0.99 * 1500
 
 
 def test_trees_find_what_all_pairs_find():
