@@ -36,7 +36,7 @@ def class_rows(docs: DataFrame, shingle: int, num: int, den: int, text: str, doc
         return Units(tokens, offsets, {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "rk")})
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
-    units, found = find_links(source, "text", read, "doc_id long, rk long", PrefixKeys(num, den))
+    units, found, _ = find_links(source, "text", read, "doc_id long, rk long", PrefixKeys(num, den))
     # Equal sets are one class from the start; classes then go by components.
     same = units.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = same.join(found, "fp", "left")

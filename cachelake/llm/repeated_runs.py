@@ -3,8 +3,8 @@
 1. Every window of ``min_words`` words has an anchor: the least hash of the
    half-length shingles in it.  It depends on the window's words only, so equal
    windows have equal anchors, of which there are few (winnowing).
-2. Windows whose anchor was chosen twice send their own hash.  The first place
-   of each hash stays; a text loses all words of its windows that aren't first.
+2. Windows whose anchor was chosen twice send their own hash.  The text in
+   which a hash is first keeps it; later ones lose all words of such windows.
 """
 
 from __future__ import annotations
@@ -16,22 +16,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import bitmap, chunks, hash_spans, in_bitmap, mix, shard_of, shuffle_partitions, stage, text_buffer, word_spans
+from cachelake.llm.common import bitmap, chunks, hash_words, in_bitmap, mix, shard_of, shuffle_partitions, stage, word_spans
 
 SPANS = "array<struct<word:bigint,words:bigint,kept_doc_id:bigint>>"
 
 
 def _windows(batch: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of ``m`` words of a chunk, but for those that touch lines in
-    ``gone``: their rows, first words (within the row), anchors and hashes."""
-    data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
-    starts, ends, rows = word_spans(data, offsets)
-    n = len(starts) - m + 1
+    """All windows of ``m`` words of what ``gone`` leaves of a chunk's texts:
+    their rows, first words (within what is left), anchors and hashes."""
+    words, rows = hash_words(batch.column(batch.schema.get_field_index("text")))
+    gone = batch.column(batch.schema.get_field_index("gone"))
+    if gone.null_count < len(gone):
+        left = np.ones(len(words), bool)
+        for r in np.flatnonzero(np.asarray(gone.is_valid())):
+            for span in gone[int(r)].as_py():
+                left[rows[r] + span["word"] : rows[r] + span["word"] + span["words"]] = False
+        words, rows = words[left], np.concatenate([[0], np.cumsum(left)])[rows]
+    n = len(words) - m + 1
     if n < 1:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     k = (m + 1) // 2
-    words = hash_spans(data, starts, ends)
     rolled = np.zeros(len(words) - k + 1, np.uint64)
     for j in range(k):
         rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + words[j : j + len(rolled)]
@@ -42,18 +47,8 @@ def _windows(batch: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray, np.
         span *= 2
     least = np.minimum(least[:n], least[m - k + 1 - span :][:n])
     hashes = mix(rolled[:n] * np.uint64(0x9FB21C651E98DF25) + mix(rolled[m - k :]))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     whole = row[:n] == row[m - 1 :]
-    gone = batch.column(batch.schema.get_field_index("gone"))
-    if gone.null_count < len(gone):
-        newline = np.flatnonzero(data == 10)
-        lost = np.zeros(len(starts) + 1, np.int64)
-        for r in np.flatnonzero(np.asarray(gone.is_valid())):
-            a, b = rows[r], rows[r + 1]
-            line = np.searchsorted(newline, starts[a:b]) - np.searchsorted(newline, offsets[r])
-            lost[a + 1 : b + 1] = np.isin(line, np.asarray(gone[int(r)].values))
-        lost = np.cumsum(lost)
-        whole &= lost[m:] == lost[:-m]
     at = np.flatnonzero(whole)
     return row[at], at - rows[row[at]], least[at], hashes[at]
 
@@ -61,10 +56,10 @@ def _windows(batch: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray, np.
 def repeated_runs(docs: DataFrame, m: int) -> DataFrame:
     """``rk, passages`` of the texts that repeat ``m`` words or more of another.
 
-    ``docs`` has ``rk, doc_id, text`` and ``gone``, the ordinals of the lines
-    that don't count.  Places are ordered by (doc_id, rk, word), null ids
-    first; rows of one ``rk`` are alike.  Within a text, only runs that don't
-    overlap repeat.  ``passages`` are the words that go.
+    ``docs`` has ``rk, doc_id, text`` and ``gone``, passages that have gone
+    already; words are counted without them.  Places are ordered by (doc_id, rk, word), null ids
+    first; rows of one ``rk`` are alike.  What a
+    text repeats of itself stays.  ``passages`` are the words that go.
     """
     spark = docs.sparkSession
     shards = shuffle_partitions(spark)
@@ -142,7 +137,7 @@ def repeated_runs(docs: DataFrame, m: int) -> DataFrame:
         h, at = h[order], at[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         first = np.repeat(at[start], np.diff(np.append(start, len(h))))
-        again = (at >> 32 != first >> 32) | (at >= first + m)
+        again = at >> 32 != first >> 32
         pair, word = np.stack([at[again] >> 32, first[again] >> 32]), at[again] & 0xFFFFFFFF
         if not len(word):
             return
@@ -179,30 +174,36 @@ def repeated_runs(docs: DataFrame, m: int) -> DataFrame:
     return stage(met.mapInArrow(spans, f"rk long, passages {SPANS}"), "run-spans")
 
 
-def cut_runs(text: pa.Array, gone: pa.Array, passages: pa.Array) -> pa.Array:
-    """Texts without the lines ``gone`` and the words of ``passages``; a line
-    end next to a passage stays, unless both sides of it go."""
-    out = []
-    for value, lines, runs in zip(text.to_pylist(), gone.to_pylist(), passages.to_pylist(), strict=True):
-        if value is None or not runs:
-            out.append(value)
+def cut_runs(text: pa.Array, near: pa.Array, exact: pa.Array) -> pa.Array:
+    """Texts without their passages, and all passages in words of the texts as
+    they came.  ``exact`` counts words without ``near``.  A passage takes the
+    space in front of it along, or, at the start of a line, the one behind it."""
+    texts, spans = [], []
+    for value, first, then in zip(text.to_pylist(), near.to_pylist(), exact.to_pylist(), strict=True):
+        first, then = first or [], then or []
+        if value is None or not first and not then:
+            texts.append(value)
+            spans.append([])
             continue
-        raw = value.encode()
-        data = np.frombuffer(raw, np.uint8)
+        data = np.frombuffer(value.encode(), np.uint8)
         starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+        gone = np.zeros(len(starts) + 1, bool)
+        for run in first:
+            gone[run["word"] : run["word"] + run["words"]] = True
+        left = np.flatnonzero(~gone[:-1])
+        for run in then:
+            own = left[run["word"] : run["word"] + run["words"]]
+            gone[own] = True
+            # A passage around one that has gone is told as its parts.
+            for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                first = [*first, {"word": int(part[0]), "words": len(part), "kept_doc_id": run["kept_doc_id"]}]
+        edge = np.flatnonzero(np.diff(gone, prepend=False))
         keep = np.ones(len(data), bool)
-        for run in runs:
-            a, b = run["word"], run["word"] + run["words"]
+        for a, b in edge.reshape(-1, 2).tolist():
             fresh = a == 0 or b < len(starts) and 10 in data[ends[a - 1] : starts[a]]
-            keep[starts[a] if fresh else ends[a - 1] : starts[b] if fresh and b < len(starts) else ends[b - 1]] = False
-        newline = np.append(np.flatnonzero(data == 10), len(data))
-        lost, built, last, lo = set(lines or ()), [], None, 0
-        for i, hi in enumerate(newline.tolist()):
-            if i not in lost:
-                if last is not None and (last + 1 < i or keep[lo - 1]):
-                    built.append(b"\n")
-                built.append(data[lo:hi][keep[lo:hi]].tobytes())
-                last = i
-            lo = hi + 1
-        out.append(b"".join(built).decode())
-    return pa.array(out, pa.string())
+            lo, hi = (starts[a] if fresh else ends[a - 1]), (starts[b] if fresh and b < len(starts) else ends[b - 1])
+            keep[lo : len(data) if a == 0 and b == len(starts) else hi] = False
+        texts.append(data[keep].tobytes().decode())
+        spans.append(sorted(first, key=lambda run: run["word"]))
+    kind = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("kept_doc_id", pa.int64())]))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, kind)], names=["text", "passages"])

@@ -39,11 +39,13 @@ HOT = 16 * 12
 @dataclass
 class Units:
     """The sets of one chunk: ``tokens`` is flat, sorted and without repeats
-    within each of the ``offsets``' ranges; ``columns`` describe the sets."""
+    within each of the ``offsets``' ranges; ``columns`` describe the sets.
+    ``ordered`` are the sets' tokens as they came, with offsets, if wanted."""
 
     tokens: np.ndarray
     offsets: np.ndarray
     columns: dict[str, pa.Array]
+    ordered: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def distinct_sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +157,14 @@ class BandKeys:
 # ---------------------------------------------------------------- the join
 
 
-def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Units], columns: str, keys: PrefixKeys | BandKeys) -> tuple[DataFrame, DataFrame]:
-    """All units with their fingerprints, and the components of their links.
+def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Units], columns: str, keys: PrefixKeys | BandKeys) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All units with their fingerprints, the components of their links, and the
+    sets that were compared.
 
     ``read`` makes a chunk's sets; ``columns`` is the DDL of its columns.  The
     first result has those and ``n``, ``fp``; the second ``fp``, ``component``
-    for the fingerprints that are linked with another (equal sets are one).
+    for the fingerprints that are linked with another (equal sets are one); the
+    third ``fp``, ``tokens``, ``ordered``.
     """
     spark = docs.sparkSession
     names = [c.strip().split()[0] for c in columns.split(",")]
@@ -243,22 +247,23 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
             asked = (np.diff(units.offsets) > 0) & in_bitmap(wanted.value, slots, fps[:, 0])
             _, first = np.unique(fps, axis=0, return_index=True)
             at = np.intersect1d(first, np.flatnonzero(asked))
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _binary(fps[at]), pa.array(fps[at, 0].view(np.int64)), pa.array((chunk << 24) + at),
-                        pa.array([units.tokens[units.offsets[i] : units.offsets[i + 1]].tobytes() for i in at], pa.binary()),
-                    ],
-                    names=["fp", "head", "member", "tokens"],
-                )
-
-    sets = docs.mapInArrow(fetch, "fp binary, head long, member long, tokens binary")
-    sets = stage(sets.groupBy("fp").agg(F.first("head").alias("head"), F.min("member").alias("member"), F.first("tokens").alias("tokens")), "similar-sets")
+            for lo in range(0, len(at), 256):
+                own = at[lo : lo + 256]
+                blobs = {
+                    name: pa.array([flat[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())
+                    for name, (flat, bounds) in {"tokens": (units.tokens, units.offsets), "ordered": units.ordered or (None, None)}.items()
+                    if flat is not None
+                }
+                yield _rows(_SETS, len(own), fp=_binary(fps[own]), head=pa.array(fps[own, 0].view(np.int64)), member=pa.array((chunk << 24) + own), **blobs)
+
+    first = [F.first(c).alias(c) for c in ("head", "tokens", "ordered")]
+    sets = stage(docs.mapInArrow(fetch, _SETS).groupBy("fp").agg(F.min("member").alias("member"), *first), "similar-sets")
     found = connected_components(_group_edges(sets, pairs, keys), "similar-links")
-    return units, sets.select("fp", F.col("member").alias("node")).join(found, "node").select("fp", "component")
+    return units, sets.select("fp", F.col("member").alias("node")).join(found, "node").select("fp", "component"), sets.select("fp", "tokens", "ordered")
 
 
 _KEYS = "shard int, packed binary, hot long, head long"
+_SETS = "fp binary, head long, member long, tokens binary, ordered binary"
 _MET = "hot long, head long, pivot long"
 
 

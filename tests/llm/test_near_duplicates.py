@@ -1,16 +1,19 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cachelake.llm.common import connected_components
 from cachelake.llm.ngram_join import keep_one, ngram_join
+from cachelake.llm.repeated_runs import repeated_runs
 from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
 from cachelake.llm.similarity import BandKeys, PrefixKeys, distinct_sets
-from cachelake.llm.substring_dedup import substring_dedup
+from cachelake.llm.substring_dedup import near_passages, read_paragraphs, substring_dedup
 
-from .cases import AWKWARD, awkward, components, empty, shingles
+from .cases import AWKWARD, awkward, components, empty, shingles, words
 
 
 def mutants(seed, families=12, each=8):
@@ -117,14 +120,83 @@ def test_components(spark):
 
 def test_repeated_passages_leave_all_but_one(spark):
     passage = " ".join(f"p{i}" for i in range(60))
-    close = passage.replace("p59", "q59")
-    docs = [(1, f"intro one\n{passage}\nend"), (2, f"{close}\nother text"), (3, "clean\n" + " ".join(f"c{i}" for i in range(70))), (4, f"a\n\n{passage}\n"), (4, f"a\n\n{passage}\n"), (5, None), (None, passage), (6, "")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).withColumn("rk", F.lit(1))
-    got = sorted((r.doc_id or 0, r.text, r.n_chars, len(r.removed)) for r in substring_dedup(df).collect() if r.text is not None)
-    assert got == sorted([(0, passage, len(passage), 0), (1, "intro one\nend", 13, 1), (2, "other text", 10, 1), (3, docs[2][1], len(docs[2][1]), 0), (4, "a\n\n", 3, 1), (4, "a\n\n", 3, 1), (6, "", 0, 0)])
+    docs = [(1, f"intro one\n{passage}\nend"), (2, f"{passage}\nother text"), (3, "clean\n" + " ".join(f"c{i}" for i in range(70))), (4, f"a\n\n{passage}\n"), (4, f"a\n\n{passage}\n"), (5, None), (None, passage), (6, ""), (7, "a short text"), (8, "a short text"), (9, "a short text and more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).withColumn("at", F.lit(1)).withColumn("near", F.lit(2))
+    got = sorted((r.doc_id or 0, r.text, r.n_chars, len(r.passages)) for r in substring_dedup(df).collect() if r.text is not None)
+    assert got == sorted([(0, passage, len(passage), 0), (1, "intro one\nend", 13, 1), (2, "other text", 10, 1), (3, docs[2][1], len(docs[2][1]), 0), (4, "a\n", 2, 1), (4, "a\n", 2, 1), (6, "", 0, 0), (7, "a short text", 12, 0), (8, "", 0, 1), (9, "a short text and more", 21, 0)])
+    out = substring_dedup(df)
+    assert out.columns == [*df.columns, "passages"] and out.select("at", "near").distinct().collect() == [(1, 2)]
     assert substring_dedup(empty(spark)).count() == 0
     again = substring_dedup(awkward(spark))
-    assert again.count() == len(AWKWARD) and set(awkward(spark).columns) - {"removed"} <= set(again.columns)
+    assert again.count() == len(AWKWARD) and set(awkward(spark).columns) <= set(again.columns)
+    assert all(r[c] == "own" for r in again.collect() for c in ("rk", "fp", "score", "removed", "_key"))
+
+
+def near_texts(seed):
+    """Texts of which later ones hold long passages of earlier ones, a few words changed."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared = [[word() for _ in range(rng.randrange(240, 400))] for _ in range(4)]
+    out = []
+    for _ in range(16):
+        passage = list(rng.choice(shared))
+        for at in range(rng.randrange(20, 60), len(passage), 70):
+            passage[at] = word()
+        words = [word() for _ in range(rng.randrange(80))] + passage + [word() for _ in range(rng.randrange(80))]
+        out.append("".join(w + ("\n" if rng.random() < 0.05 else " ") for w in words))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_near_passages_equal_all_pairs(spark, seed):
+    texts = near_texts(seed)
+    units = read_paragraphs(5, pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts))), pa.array(range(len(texts)))], names=["text", "doc_id", "rk"]))
+    sets = [frozenset(units.tokens[a:b].tolist()) for a, b in zip(units.offsets[:-1], units.offsets[1:], strict=True)]
+    ids, word, n, total = (units.columns[c].to_pylist() for c in ("doc_id", "word", "words", "total"))
+    assert all(sum(b for a, b in zip(ids, n, strict=True) if a == i) == len(words(t)) for i, t in enumerate(texts))
+    order, bounds = units.ordered
+    known, want = {}, {}
+    for i, f in enumerate(components(sets, 4, 5)):
+        if ids[f] != ids[i]:
+            x = order[bounds[i] : bounds[i + 1]].tolist()
+            at = [k for k, t in enumerate(x) if t in sets[f]]
+            a, b = (at[0], at[-1] + 5) if at and sets[i] != sets[f] and sets[i] not in known else (0, n[i])
+            spans = want.setdefault(ids[i], [])
+            if spans and sum(spans[-1]) + 10 >= word[i] + a:
+                spans[-1][1] = word[i] + b - spans[-1][0]
+            else:
+                spans.append([word[i] + a, b - a])
+        known[sets[i]] = i
+    want = {i: kept for i, spans in want.items() if (kept := [s for s in spans if s[1] >= 50 or s[1] == total[ids.index(i)]])}
+    got = substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    exact = {r.doc_id: [[p.word, p.words] for p in r.passages] for r in got if r.passages}
+    source = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, rk long").repartition(3)
+    near = {r.rk: [[p.word, p.words] for p in r.passages] for r in near_passages(source, 50, 5, BandKeys(9, 3, 4, 5)).collect()}
+    assert near == want and len(near) > 1
+    assert all(s in exact[i] for i, spans in near.items() for s in spans)
+
+
+def test_no_run_is_left_in_the_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in substring_dedup(docs).collect()}
+    repeats, seen, clean = Counter(), set(), Counter(w for t in before.values() for w in {tuple(x) for x in windows(t, 50)})
+    for i in sorted(after):
+        own = {tuple(x) for x in windows(after[i].text, 50)}
+        repeats[i] = len(own & seen)
+        seen |= own
+    assert len(after) == len(before) and not sum(repeats.values())
+    # A text none of whose runs of 20 words occurs elsewhere is left alone, as is one no earlier text shares anything with.
+    short = Counter(w for t in before.values() for w in {tuple(x) for x in windows(t, 20)})
+    alone = [i for i, t in before.items() if len(words(t)) >= 20 and all(short[tuple(x)] == 1 for x in windows(t, 20))]
+    assert len(alone) > 300 and all(after[i].text == before[i] and after[i].n_chars == len(before[i]) for i in alone)
+    copies = [i for i, t in before.items() if t and any(j < i and before[j] == t for j in before)]
+    assert copies and all(not words(after[i].text) for i in copies) and clean
+
+
+def windows(text, m):
+    w = words(text)
+    return [w[i : i + m] for i in range(len(w) - m + 1)]
 
 
 def test_passages_inside_longer_lines_and_over_line_ends(spark):
@@ -142,8 +214,8 @@ def test_passages_inside_longer_lines_and_over_line_ends(spark):
     assert got[1].text == docs[0][1] and got[5].text == docs[4][1]
     assert got[2].text == " ".join(own["b"]) and [tuple(p) for p in got[2].passages] == [(90, 52, 1)]
     assert got[3].text == "head\nfoot" and got[4].text == " ".join(own["c"][:9])
-    assert got[6].text == f"{line}\n{' '.join(own['e'])} ä ö" and got[7].text == "x\ny" and len(got[7].removed) == 1
-    assert got[8].text == "long " * 50 + "end"
+    assert got[6].text == docs[5][1] and got[7].text == "x\ny"
+    assert got[8].text == docs[7][1]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -163,11 +235,11 @@ def test_runs_equal_all_windows(spark, seed):
         lost = set()
         for i in range(len(words) - m + 1):
             where = first.setdefault(tuple(words[i : i + m]), (d, i))
-            if where[0] != d or where[1] + m <= i:
+            if where[0] != d:
                 lost.update(range(i, i + m))
         want[d] = [w for i, w in enumerate(words) if i not in lost]
-    # Lines of 7 to 40 words, so that no line is a paragraph.
     rows = [(d, "".join(w + (rng.choice("\n ") if i % 7 == 6 else " ") if i % 40 != 39 else w + "\n" for i, w in enumerate(words))) for d, words in docs]
-    assert all(len(x.split()) < m for _, t in rows for x in t.split("\n"))
-    got = {r.doc_id: r.text.split() for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    source = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, rk long").selectExpr("*", "cast(null as array<struct<word: long, words: long>>) gone")
+    spans = {r.rk: r.passages for r in repeated_runs(source.repartition(5), m).collect()}
+    got = {d: [w for i, w in enumerate(words) if not any(p.word <= i < p.word + p.words for p in spans.get(d, ()))] for d, words in docs}
     assert got == want and sum(map(len, want.values())) < sum(len(w) for _, w in docs)
