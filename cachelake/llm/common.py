@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 1 << 14
 HASH_WINDOW = 1 << 20
 LEAST_BITMAP, MOST_BITMAP = 20, 28
@@ -179,9 +179,25 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndar
     return out, offsets
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+#: What an operator's tasks leave in a worker for the next one, by name.
+KEPT: dict[str, object] = {}
+
+
+def keep(name: str, make: Callable[[], object]) -> object:
+    """What ``name`` stands for in this worker, which holds one such thing."""
+    if name not in KEPT:
+        KEPT.clear()
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def chunks(batches: Iterable[pa.RecordBatch], text: str, size: int = CHUNK_BYTES, keeps: str = "") -> Iterator[tuple[int, pa.RecordBatch]]:
     """Batches cut to a bounded number of bytes and rows, each with an id that
-    no other task or chunk of the same job has."""
+    no other task or chunk of the same job has.  Whatever other operators have
+    left in this worker (but ``keeps``) goes."""
+    if KEPT.keys() - {keeps}:
+        KEPT.clear()
+        release()
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 16
     n = 0
@@ -191,7 +207,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[int,
         _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
         lo = 0
         while lo < batch.num_rows:
-            hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1
+            hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
             hi = min(max(hi, lo + 1), lo + CHUNK_ROWS, batch.num_rows)
             yield base + n, batch.slice(lo, hi - lo)
             n += 1
@@ -199,6 +215,13 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[int,
     release()
 
 
+def chunks_of_rows(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a bounded number of rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def release() -> None:
     """Give freed memory back: workers stay between tasks, and share an
     executor's memory with the JVM."""

@@ -14,14 +14,13 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import chunks, shuffle_partitions, stage, text_buffer
+from cachelake.llm.common import chunks, keep, shuffle_partitions, stage, text_buffer
 
 GRID = 64
 MOST_PARTS = 5
@@ -201,7 +200,6 @@ class WordIds(dict):
 
     MOST = 900_000
     TOGETHER = 4096
-    KEPT: ClassVar[dict[str, WordIds]] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -209,12 +207,6 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
 
-    @classmethod
-    def of(cls, path: str) -> WordIds:
-        if path not in cls.KEPT:
-            cls.KEPT[path] = cls(path)
-        return cls.KEPT[path]
-
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + 2 * len(new) > self.MOST:
@@ -253,10 +245,10 @@ def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int) -> Da
     """``doc_id, piece, start, length, ids_crc32`` of every document."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds.of(vocabulary)
+        words = keep(vocabulary, lambda: WordIds(vocabulary))
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for _, batch in chunks(batches, "text"):
+        for _, batch in chunks(batches, "text", 4 << 20, vocabulary):
             data, offsets = text_buffer(batch.column(1))
             raw = data.tobytes()
             out: list[list[int | None]] = [[] for _ in names]

@@ -57,7 +57,7 @@ def read_paragraphs(shingle: int, batch: pa.RecordBatch) -> Units:
     return Units(tokens, offsets, {**of, "word": pa.array(starts - rows[row]), "words": pa.array(np.diff(bounds)), "total": pa.array(np.diff(rows)[row])}, ordered)
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 50, shingle: int = 5, num: int = 4, den: int = 5, bands: int = 9, rows: int = 3) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 50, shingle: int = 5, num: int = 4, den: int = 5, bands: int = 9, rows: int = 3, passages: str = "passages") -> DataFrame:
     """Remove passages of at least ``min_words`` words that repeat, nearly or
     exactly, and repeated texts of any length.
 
@@ -92,12 +92,12 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, shingle: int = 5, num:
     # Only texts with passages go to Python.
     rewrite = F.arrow_udf(cut_runs, f"text string, passages {SPANS}")
     kept = kept.withColumn(cut, rewrite(F.when(has, F.col("text").cast("string")), F.col(near), F.col(exact)))
-    out = {c: F.col(f"`{c}`") for c in docs.columns if c.lower() != "passages"}
+    out = {c: F.col(f"`{c}`") for c in docs.columns if c.lower() != passages.lower()}
     text = F.when(has, F.col(f"{cut}.text")).otherwise(F.col("text").cast("string"))
     out["text"] = text.alias("text")
     if "n_chars" in out:
         out["n_chars"] = F.when(has, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return kept.select(*out.values(), F.when(has, F.col(f"{cut}.passages")).otherwise(F.array().cast(SPANS)).alias("passages"))
+    return kept.select(*out.values(), F.when(has, F.col(f"{cut}.passages")).otherwise(F.array().cast(SPANS)).alias(passages))
 
 
 def near_passages(source: DataFrame, min_words: int, shingle: int, keys: BandKeys) -> DataFrame:

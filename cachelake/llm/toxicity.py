@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import chunks, hash_words, mix
+from cachelake.llm.common import chunks, hash_words, mix, unused
 
 BITS = 20
 
@@ -64,11 +64,13 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, held: str) -> DataFrame:
     """A bounded sample ``text, label``: the labelled rows outside ``held``
     with the ``most`` smallest id hashes.  Of several labels the largest counts."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~F.expr(held)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    own, order = unused(docs, "own", "order")
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~F.expr(held)).groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.max(F.col(label).cast("int")).alias("label"))
+    some = known.orderBy(F.xxhash64(own), own).limit(most)
     # At most `most` rows of two numbers, so the broadcast is bounded.
-    rows = docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "label", F.xxhash64("_id", "text").alias("_order"))
-    return rows.orderBy("_order", "label").limit(most).select("text", "label")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col(own))
+    rows = rows.select("text", "label", F.xxhash64(own, "text").alias(order))
+    return rows.orderBy(order, "label").limit(most).select("text", "label")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16_384, epochs: int = 4, bits: int = BITS, held: str = "crc32(cast(doc_id as string)) % 5 = 0") -> tuple[np.ndarray, np.ndarray]:
@@ -109,31 +111,33 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     return np.asarray(got["slot"]), np.asarray(got["weight"])
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1; higher: likelier toxic).
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, name: str = "score") -> DataFrame:
+    """``docs`` with ``name`` (0 to 1; higher: likelier toxic) in place of a
+    column that has that name.
 
     Only ``text`` is looked at.  Null and empty texts get the bias's score;
     with no model every score is 0.  Each feature counts once in a text.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by 2^bits slots
-    kept = [c for c in docs.columns if c not in ("score", "_text")]
+    kept = [f"`{c}`" for c in docs.columns if c.lower() != name.lower()]
+    (text,) = unused(docs, "words")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, weights = shared.value
         table = np.zeros(1 << bits)
         table[slots] = weights
-        for _, batch in chunks(batches, "_text"):
+        for _, batch in chunks(batches, text):
             words, rows = hash_words(batch.column(len(kept)))
             slot, owner = features(words, rows, bits)
             hit = table[slot] != 0
             pair = np.unique(owner[hit] * (1 << bits) + slot[hit])
             total = np.bincount(pair >> bits, table[pair & ((1 << bits) - 1)], len(rows) - 1) + table[0]
             out = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(slots) else np.zeros(len(rows) - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out)], names=[*batch.schema.names[: len(kept)], name])
 
-    source = docs.select(*kept, F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*kept).schema.add("score", "double")
+    source = docs.select(*kept, F.col("text").cast("string").alias(text))
+    schema = docs.select(*kept).schema.add(name, "double")
     return source.mapInArrow(score, schema)
 
 
@@ -150,6 +154,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, held: str = "crc32(cast(doc_id
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic; all columns as they came."""
+    """``docs`` without the rows predicted toxic; all columns as they came,
+    whatever their names.  Null and empty texts have no words and stay, as do
+    null ids; repeated rows go or stay together; without labels all stay; an
+    empty table stays empty."""
     model = train_toxicity(docs, labels)
-    return score_toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model).where("score < 0.5").drop("score").toDF(*docs.columns)
+    (score,) = unused(docs, "score")
+    text = F.col("text").cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return score_toxicity(docs, model, name=score).where((F.col(score) < 0.5) | ~worded).drop(score)

@@ -2,6 +2,7 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cachelake.llm.mixing import MIX_SQL, mix_sources
@@ -22,12 +23,42 @@ def test_rates_follow_weights(spark):
     weights = spark.createDataFrame([("big", 1.0), ("small", 1.0)], "source string, weight double")
     n = {r[0]: r[1] for r in mix_sources(docs, weights).groupBy("source").count().collect()}
     assert abs(n["big"] - 3000) < 250 and abs(n["small"] - 3000) < 250
+    one = mix_sources(docs.where("source = 'small'"), weights, epochs=700.0).groupBy("doc_id").count().agg({"count": "variance"}).first()[0]
+    assert abs(one - 700) < 120  # a Poisson count's variance is its mean
     far = mix_sources(docs.where("source = 'small'"), weights, epochs=700.0).groupBy("doc_id").count().agg({"count": "avg"}).first()[0]
     assert abs(far - 700) < 10
     assert mix_sources(empty(spark)).count() == 0
     some = mix_sources(awkward(spark), epochs=20.0)
     assert some.count() > len(AWKWARD) and set(awkward(spark).columns) <= set(some.columns)
     assert some.where("source is null").count() > 0
+    clash = awkward(spark).selectExpr("*", "1 rate", "2 origin", "3 times", "4 nth", "5 _rate", "6 order", "7 own", "8 words")
+    out = mix_sources(clash, epochs=20.0)
+    assert out.select("rate", "origin", "times", "nth", "_rate", "rk").distinct().collect() == [(1, 2, 3, 4, 5, "own")]
+
+
+def test_large_rates_equal_sql(spark):
+    # A tiny source beside a large one: its rate is beyond one draw's reach.
+    con = duckdb.connect()
+    con.execute("create table documents as select range::bigint doc_id, 't' as text, 'en' lang, if(range < 600000, 'big', 'one') source, 1 n_chars from range(600001)")
+    want = con.execute(f"select doc_id, max(copy), count(*) from ({MIX_SQL}) where source = 'one' group by doc_id").fetchall()
+    docs = spark.range(600001).selectExpr("id doc_id", "'t' text", "'en' lang", "if(id < 600000, 'big', 'one') source", "1 n_chars")
+    got = mix_sources(docs).where("source = 'one'").groupBy("doc_id").agg(F.max("copy"), F.count("*")).collect()
+    assert [tuple(r) for r in got] == want and want[0][2] > 600
+
+
+def test_stages_take_awkward_tables(spark, sf_dir, tmp_path, monkeypatch):
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (out.count() > 0) == (name == "awkward")
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            after = stage(spark, docs, f"{tmp_path}/{name}")
+            assert after.columns == docs.columns
+            kept = {tuple(r) for r in after.select("rk", "fp", "score", "removed", "copy", "weight", "_key", "component_id").distinct().collect()} if name == "awkward" else set()
+            assert kept <= {("own",) * 8}
 
 
 def best_fit_decreasing(h, most):

@@ -27,14 +27,31 @@ def test_trees_are_exact():
     rng = np.random.default_rng(3)
     points = np.round(rng.normal(0, 8, (3000, 6)))
     points[::5] = points[0]  # ties
-    ids = rng.permutation(3000)
-    queries = np.round(rng.normal(0, 8, (40, 6)))
-    own = ids[:40]
-    score, found = search(KDTree(points, 16), points, ids, queries, own, np.full(40, -(2**62)), 10)
+    ids = rng.permutation(3000) // 2
+    queries = np.concatenate([points[:20], np.round(rng.normal(0, 8, (20, 6)))])
+    tree = KDTree(points, 16)
+    own = np.concatenate([np.arange(20), np.full(20, -1)])
+    asker, score, found = search(tree, ids[tree.order], tree.order, queries, own, np.full(40, -(2**63) + 1), 10)
     for q in range(40):
         s = points @ queries[q]
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != own[q]][:10]
-        assert found[q].tolist() == ids[order].tolist() and score[q].tolist() == s[order].tolist()
+        order = [i for i in np.lexsort((ids, -s)) if i != own[q]][:10]
+        assert found[asker == q].tolist() == ids[order].tolist() and score[asker == q].tolist() == s[order].tolist()
+    leaf = tree.leaf_of(points)
+    assert leaf.max() < sum(n[2] < 0 for n in tree.nodes) and len(np.unique(leaf)) > 100
+
+
+def test_clustered_shards_are_ruled_out_before_the_shuffle(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(0, 4, (16, 8))
+    rows = [(i, (centre[i % 16] + rng.normal(0, 0.1, 8)).tolist()) for i in range(1600)] + [(40, centre[0].tolist()), (40, centre[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df, "vec_id % 20 = 0", k=5, shard_rows=100).collect()))
+    v, ids = np.floor(64 * np.array([r[1] for r in rows])), np.array([r[0] for r in rows])
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[q]
+        want += [(ids[q], n + 1, ids[i], int(s[i])) for n, i in enumerate([i for i in np.lexsort((ids, -s)) if i != q][:5])]
+    assert got == sorted(want)
 
 
 def test_vectors_that_take_no_part(spark):
