@@ -269,14 +269,20 @@ def grouped_arrow(df: DataFrame, keys: list[str], work: Callable[[dict], pa.Reco
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def bitmap(df: DataFrame, key: str) -> tuple:
-    """A broadcast bitmap of the top bits of the keys, and how many bits those
-    are: about a sixteenth of it is set, until it is as large as it may get."""
+def key_mask(df: DataFrame, key: str) -> tuple[np.ndarray, int]:
+    """A bitmap of the top bits of the keys, and how many bits those are: about
+    a sixteenth of it is set, until it is as large as it may get."""
     bits = min(max((16 * df.count()).bit_length(), LEAST_BITMAP), MOST_BITMAP)
     slot = F.shiftrightunsigned(key, 64 - bits)
     words = df.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     mask = np.zeros(1 << (bits - 6), np.int64)
     mask[np.asarray(words["word"])] = np.asarray(words["bits"])
+    return mask, bits
+
+
+def bitmap(df: DataFrame, key: str) -> tuple:
+    """A broadcast ``key_mask``, for tasks in Python."""
+    mask, bits = key_mask(df, key)
     return df.sparkSession.sparkContext.broadcast(mask.view(np.uint64)), bits
 
 
@@ -299,18 +305,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """``df`` left joined with the staged ``few`` on ``key``; rows that a bitmap
-    of its keys rules out stay where they are, without a shuffle."""
-    shared, bits = bitmap(few, key)
-
-    def may(x: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(shared.value, bits, np.asarray(x).view(np.uint64)))
-
-    # Keys that aren't null, as hashes never are.
-    maybe = F.arrow_udf(may, "boolean")(F.col(key))
+    """``df`` left joined with the staged ``few`` on ``key``, a hash; rows that
+    a bitmap of its keys rules out stay where they are, without a shuffle."""
+    mask, bits = key_mask(few, key)
+    (name,) = unused(df, "bits")
+    # One row, whose size is bounded by MOST_BITMAP.
+    one = F.broadcast(df.sparkSession.createDataFrame(pa.table({name: pa.array([mask], pa.list_(pa.int64()))})))
+    slot = F.shiftrightunsigned(key, 64 - bits)
+    word = F.element_at(name, F.shiftright(slot, 6).cast("int") + 1)
+    may = F.expr(f"shiftrightunsigned(`{key}`, {64 - bits}) & 63").cast("int")
+    may = F.call_function("shiftrightunsigned", word, may).bitwiseAND(F.lit(1)) == 1
     other = few.drop(key).schema
-    away = df.where(~maybe).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
-    return away.union(df.where(maybe).join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names))
+    away = df.join(one, ~may, "left_semi").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
+    return away.union(df.join(one, may, "left_semi").join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names))
 
 
 # ---------------------------------------------------------------- graphs

@@ -189,8 +189,15 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, scale: int = 64, shard
             shard = top_tree.value.leaf_of(_padded(batch.column(1), dim)) if top_tree.value else np.zeros(batch.num_rows, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], names=["vec_id", "v", "asks", "row", "shard"])
 
-    dealt = stage(base.mapInArrow(deal, "vec_id long, v array<long>, asks boolean, row long, shard int"), "dealt-vectors")
-    shards = sum(n[2] < 0 for n in top.nodes) if top else 1
+    dealt = base.mapInArrow(deal, "vec_id long, v array<long>, asks boolean, row long, shard int")
+    # Splits can't part equal vectors: shards of too many rows are cut by row.
+    per = dealt.groupBy("shard").agg(F.count("*").alias("n"))
+    sizes = {r.shard: max(1, -(-r.n // (2 * max(1, -(-count // shards))))) for r in per.collect()}  # at most MOST_BOXES
+    starts = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist(), strict=False))
+    shards = max(1, sum(sizes.values()))
+    parts = spark.createDataFrame([(s, starts[s], sizes[s]) for s in sizes], "shard int, start int, parts int")
+    dealt = dealt.join(F.broadcast(parts), "shard").withColumn("shard", (F.col("start") + F.pmod(F.xxhash64("row"), "parts")).cast("int")).drop("start", "parts")
+    dealt = stage(dealt.select("vec_id", "v", "asks", "row", "shard"), "dealt-vectors")
     least = F.lit(LOW + 1).cast("long")
     candidates = dealt.select("shard", F.lit(0).alias("kind"), "row", "vec_id", "v", least.alias("least"))
     asked = dealt.where("asks").select("shard", "row", "vec_id", "v")
