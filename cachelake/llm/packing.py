@@ -198,18 +198,18 @@ class WordIds(dict):
     task; the memory is bounded: it is emptied when full.
     """
 
-    MOST = 900_000
     TOGETHER = 4096
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + 2 * len(new) > self.MOST:
+        if len(self) + 2 * len(new) > self.most:
             self.clear()
             new = list(words)
         parts: dict[bytes, tuple[bytes, bytes]] = {}
@@ -241,11 +241,11 @@ class WordIds(dict):
                 self[w] = ids[a:b].tobytes()
 
 
-def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int, kept_words: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = keep(vocabulary, lambda: WordIds(vocabulary))
+        words = keep(vocabulary, lambda: WordIds(vocabulary, kept_words))
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for _, batch in chunks(batches, "text", 4 << 20, vocabulary):
@@ -266,16 +266,17 @@ def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int) -> Da
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, most: int = 4096, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, most: int = 4096, vocabulary: str | None = None, end_id: int = 1, kept_words: int = 900_000) -> DataFrame:
     """Pack all documents into few sequences of at most ``most`` tokens.
 
     Returns per piece ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset``.  Only documents longer than ``most`` tokens are cut.  Null and
     empty texts are the end token alone; repeated rows and null ids are packed
-    like others; other columns are ignored; an empty table gives no rows.
+    like others; other columns are ignored; an empty table gives no rows.  ``kept_words`` bounds the words whose
+    ids a worker remembers (about 250 bytes each): it trades time for memory only.
     """
     spark = docs.sparkSession
-    pieces = stage(token_pieces(docs, most, vocabulary or default_vocabulary(), end_id), "pack-pieces")
+    pieces = stage(token_pieces(docs, most, vocabulary or default_vocabulary(), end_id, kept_words), "pack-pieces")
     # A frequent length is ranked in parts, whose first ranks come from their counts.
     parts = shuffle_partitions(spark)
     salted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))

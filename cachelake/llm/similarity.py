@@ -189,6 +189,7 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
     sketch = spark.sparkContext.broadcast(_sketch(seen.where("part is not null").select("part", "counts"), bits))
     sets, tokens = units.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(shuffle_partitions(spark), -(-keys.number(sets, tokens) // SHARD_KEYS))
+    steps = size_steps(keys.num, keys.den)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -200,9 +201,11 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
                 continue
             k, own, count = keys(tokens, offsets, lambda x: counts[(x >> np.uint64(64 - bits)).astype(np.int64)])
             hot = count >= HOT
+            size = np.diff(offsets).astype(np.uint64)
             if hot.any():
-                n = int(hot.sum())
-                yield _rows(_KEYS, n, shard=pa.array(np.full(n, chunk % shards, np.int32)), hot=pa.array(k[hot].view(np.int64)), head=pa.array(fps[took[own[hot]], 0].view(np.int64)))
+                own_hot = np.tile(own[hot], 2)
+                by_size = sized_keys(np.tile(mix(k[hot]), 2), size[own_hot], steps)
+                yield _rows(_KEYS, len(by_size), shard=pa.array(np.full(len(by_size), chunk % shards, np.int32)), hot=pa.array(by_size.view(np.int64)), head=pa.array(fps[took[own_hot], 0].view(np.int64)))
             k, own = mix(k[~hot]), own[~hot]
             order = np.argsort(k)
             k, own = k[order], own[order]
@@ -210,25 +213,38 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
             some = np.flatnonzero(np.diff(cut))
             blobs = []
             for a, b in zip(cut[some], cut[some + 1], strict=True):
-                # The heads of the shard's sets, then keys with the number of their head.
+                # Heads and sizes of the shard's sets, then keys with the number of their set.
                 refs, at = np.unique(own[a:b], return_inverse=True)
-                blobs.append(np.concatenate([[np.uint64(len(refs))], fps[took[refs], 0], ((k[a:b] >> REF) << REF) | at.astype(np.uint64)]).tobytes())
+                blobs.append(np.concatenate([[np.uint64(len(refs))], fps[took[refs], 0], size[refs], ((k[a:b] >> REF) << REF) | at.astype(np.uint64)]).tobytes())
             yield _rows(_KEYS, len(some), shard=pa.array(some.astype(np.int32)), packed=pa.array(blobs, pa.binary()))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head = [], []
+        key, head, size = [], [], []
         for batch in batches:
             hot = batch.filter(batch.column(2).is_valid())
             if hot.num_rows:
                 yield _rows(_MET, hot.num_rows, hot=hot.column(2), head=hot.column(3))
             for blob in batch.column(1).drop_null():
                 x = np.frombuffer(blob.as_buffer(), np.uint64)
-                n = int(x[0]) + 1
-                key.append(x[n:] >> REF)
-                head.append(x[1:n][(x[n:] & ((np.uint64(1) << REF) - np.uint64(1))).astype(np.int64)])
+                n = int(x[0])
+                of = (x[2 * n + 1 :] & ((np.uint64(1) << REF) - np.uint64(1))).astype(np.int64)
+                key.append(x[2 * n + 1 :] >> REF)
+                head.append(x[1 : n + 1][of])
+                size.append(x[n + 1 : 2 * n + 1][of])
         if not key:
             return
-        pair = star_pairs(np.concatenate(key), np.concatenate(head))
+        keys_, heads, sizes = (np.concatenate(x) for x in (key, head, size))
+        del key, head, size
+        # Most keys have one owner only.
+        order = np.argsort(keys_, kind="stable")
+        k = keys_[order]
+        same = np.zeros(len(k) + 1, bool)
+        same[1:-1] = k[1:] == k[:-1]
+        order = order[same[1:] | same[:-1]]
+        if not len(order):
+            return
+        own = np.tile(order, 2)
+        pair = star_pairs(sized_keys(np.tile(mix(keys_[order]), 2), sizes[own], steps), heads[own])
         for lo in range(0, len(pair), 1 << 16):
             part = np.ascontiguousarray(pair[lo : lo + (1 << 16)].T).view(np.int64)
             yield _rows(_MET, part.shape[1], head=pa.array(part[0]), pivot=pa.array(part[1]))
@@ -297,6 +313,23 @@ def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def size_steps(num: int, den: int) -> np.ndarray:
+    """Least sizes of classes such that linked sets are in the same or in
+    neighbouring ones."""
+    steps = [1]
+    while steps[-1] < 1 << 40:
+        steps.append(max(steps[-1] + 1, -(-steps[-1] * den // num)))
+    return np.array(steps, np.uint64)
+
+
+def sized_keys(twice: np.ndarray, sizes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Keys, given twice in a row, joined with their sets' size class and with
+    the next one: linked sets still share one, very unlike sizes don't."""
+    level = np.searchsorted(steps, sizes, "right").astype(np.uint64)
+    level[len(level) // 2 :] += np.uint64(1)
+    return mix(twice + level * np.uint64(0x9FB21C651E98DF25))
+
+
 def star_pairs(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """Distinct pairs of each key's owners with the least of them."""
     order = np.argsort(keys, kind="stable")
