@@ -62,7 +62,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows and null ids are packed like others; other columns are
     ignored; an empty table gives no rows.
     """
-    return pack_documents(docs)
+    return pack_documents(docs, kept_words=400_000)
 
 
 STAGES = [
