@@ -187,6 +187,7 @@ def keep(name: str, make: Callable[[], object]) -> object:
     """What ``name`` stands for in this worker, which holds one such thing."""
     if name not in KEPT:
         KEPT.clear()
+        release()
         KEPT[name] = make()
     return KEPT[name]
 
@@ -265,6 +266,8 @@ def grouped_arrow(df: DataFrame, keys: list[str], work: Callable[[dict], pa.Reco
             last = marks[-1]
         if rows[names[0]] and (out := work(rows)) is not None and out.num_rows:
             yield out
+        rows.clear()
+        release()
 
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

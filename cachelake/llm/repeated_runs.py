@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import bitmap, chunks, hash_words, in_bitmap, mix, shard_of, shuffle_partitions, stage, word_spans
+from cachelake.llm.common import bitmap, chunks, hash_words, in_bitmap, mix, release, shard_of, shuffle_partitions, stage, word_spans
 
 SPANS = "array<struct<word:bigint,words:bigint,kept_doc_id:bigint>>"
 
@@ -90,6 +90,8 @@ def repeated_runs(docs: DataFrame, m: int) -> DataFrame:
         found = np.unique(k[1:][k[1:] == k[:-1]]).view(np.int64)
         for lo in range(0, len(found), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(found[lo : lo + (1 << 16)])], names=["anchor"])
+        del keys, k, found
+        release()
 
     wanted = stage(docs.mapInArrow(anchors, "key_shard int, keys binary").repartitionById(shards, F.col("key_shard")).mapInArrow(repeated, "anchor long"), "run-anchors")
     shared, bits = bitmap(wanted, "anchor")
@@ -152,6 +154,8 @@ def repeated_runs(docs: DataFrame, m: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(place[2, own]), pa.array(place[1, kept], mask=place[0, kept] == 0), pa.array(blobs, pa.binary())], names=["rk", "kept_doc_id", "words"]
             )
+        del h, at, first, again, pair, word, order
+        release()
 
     def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

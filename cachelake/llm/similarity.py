@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import bitmap, chunks, connected_components, grouped_arrow, in_bitmap, mix, shard_of, shuffle_partitions, stage
+from cachelake.llm.common import bitmap, chunks, connected_components, grouped_arrow, in_bitmap, mix, release, shard_of, shuffle_partitions, stage
 from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
 
 GROUP_PART = 512
@@ -141,8 +141,11 @@ class BandKeys:
         return keys, np.tile(np.arange(len(offsets) - 1), self.bands), often(keys)
 
     def join(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, forest: Forest) -> list[tuple[int, int]]:
-        bands = self.table(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
         size = np.array([len(s) for s in sets])
+        if right is None and len(sets) == 2:  # a pivot and the only set that collided with it
+            linked = overlap(*sets) * (self.num + self.den) >= self.num * size.sum()
+            return [(0, 1)] if linked and forest.union(0, 1) else []
+        bands = self.table(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
         to = left if right is None else right
         found = []
         for i in left.tolist():
@@ -248,6 +251,8 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
         for lo in range(0, len(pair), 1 << 16):
             part = np.ascontiguousarray(pair[lo : lo + (1 << 16)].T).view(np.int64)
             yield _rows(_MET, part.shape[1], head=pa.array(part[0]), pivot=pa.array(part[1]))
+        del keys_, heads, sizes, k, order, own, same, pair
+        release()
 
     met = stage(docs.mapInArrow(deal, _KEYS).repartitionById(shards, F.col("shard")).mapInArrow(meet, _MET), "similar-keys")
     hot = met.where("hot is not null").select("hot", "head").distinct()
@@ -261,8 +266,7 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
             units = read(batch)
             fps = fingerprints(units.tokens, units.offsets)
             asked = (np.diff(units.offsets) > 0) & in_bitmap(wanted.value, slots, fps[:, 0])
-            _, first = np.unique(fps, axis=0, return_index=True)
-            at = np.intersect1d(first, np.flatnonzero(asked))
+            at = np.intersect1d(_firsts(fps), np.flatnonzero(asked))
             for lo in range(0, len(at), 256):
                 own = at[lo : lo + 256]
                 blobs = {
@@ -288,11 +292,19 @@ def _once(units: Units, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     the sets' positions."""
     n = np.diff(units.offsets)
     once = np.zeros(len(n), bool)
-    once[np.unique(fps, axis=0, return_index=True)[1]] = True
+    once[_firsts(fps)] = True
     once &= n > 0
     return units.tokens[np.repeat(once, n)], np.concatenate([[0], np.cumsum(n[once])]), np.flatnonzero(once)
 
 
+def _firsts(fps: np.ndarray) -> np.ndarray:
+    """Where each fingerprint comes first."""
+    order = np.lexsort((fps[:, 1], fps[:, 0]))  # stable
+    new = np.ones(len(order), bool)
+    new[1:] = (fps[order[1:]] != fps[order[:-1]]).any(1)
+    return order[new]
+
+
 def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
     """The tasks' counters added up, as 16 times their binary logarithms."""
 
