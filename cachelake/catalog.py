@@ -827,10 +827,18 @@ def _(t: Tables) -> DataFrame:
     return sm.latest_holdings_batch(got.withColumn("leaves", F.lit(False))).select("peer", "seq", "holdings")
 
 
-@query("negative_ttl")
+TTL_SQL = """with recursive o as (select worker as action, ts, event_id % 20 = 0 rewrite, case when event_id % 2 = 0 then 'UNSERVABLE' else 'HIT' end verdict, row_number() over (partition by worker order by ts, event_id) rn from v_events),
+    walk as (select action, rn, ts, rewrite, verdict, false reused, case when not rewrite and verdict = 'UNSERVABLE' then ts + interval '7200 seconds' end ends from o where rn = 1
+      union all select o.action, o.rn, o.ts, o.rewrite, o.verdict, not o.rewrite and coalesce(o.ts < w.ends, false),
+        case when o.rewrite then null when coalesce(o.ts < w.ends, false) then w.ends when o.verdict = 'UNSERVABLE' then o.ts + interval '7200 seconds' else w.ends end from walk w join o on o.action = w.action and o.rn = w.rn + 1)
+    select action, ts, case when reused then 'UNSERVABLE' else verdict end verdict, reused from walk where not rewrite"""
+
+
+@query("negative_ttl", TTL_SQL)
 def _(t: Tables) -> DataFrame:
     rows = _stream(t).selectExpr("worker action", "ts", "event_id seq", "case when event_id % 20 = 0 then 'rewrite' else 'lookup' end kind", "case when event_id % 2 = 0 then 'UNSERVABLE' else 'HIT' end verdict", "0L epoch")
-    return sm.drain(sm.negative_ttl(rows, 7200), t.spark, scratch_path(t.spark, "ttl"), "update")
+    got = sm.drain(sm.negative_ttl(rows, 7200), t.spark, scratch_path(t.spark, "ttl"), "update")
+    return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("starvation_alerts", f"select job, {AGE} age_s from v_events where kind = 'click' and job % 3 <> 0 and {AGE} > 120")
@@ -927,8 +935,8 @@ PUBLISH_ITEMS = "select hash as id, bytes as size from v_index where substr(hash
 META_SQL = "select prefix, segment_no, count(*) blobs, cast(sum(size) as bigint) bytes, prefix as prefixes, concat('seg-', substr(sha256(string_agg(concat(id, chr(10)), '' order by id)),1,16)) as name, false as \"full\" from packed group by 1, 2"
 
 
-def _walk(items: str, meta: str) -> str:
-    packed = pack_sql(items, "substr(id,1,1)", "w.acc + o.size > 20000")
+def _walk(items: str, meta: str, cap: int = 20_000) -> str:
+    packed = pack_sql(items, "substr(id,1,1)", f"w.acc + o.size > {cap}")
     at = packed.rindex("select id, size, prefix")
     return f"{packed[:at].rstrip()}, packed as ({packed[at:]}) {meta}"
 
@@ -977,15 +985,44 @@ def _(t: Tables) -> DataFrame:
     return jb.restore_all(_restored(t), _row_restore(t), t.documents.selectExpr("sha2(text,256) name", "text content"))
 
 
-@query("publish_all")
+ROW_ITEMS = "select distinct concat(substr(md5(concat(path,' ',content_hash)),1,4),'|',path,' ',content_hash) as id, length(content) as size, 'ac' bank from v_versions where qty % 5 <> 0 and (path, content_hash) not in (select path, content_hash from v_versions where l_orderkey % 2 = 0)"
+BANKS_SQL = f"select *, 'cas' bank from ({PUBLISH_ITEMS}) union all {ROW_ITEMS}"
+ALL_SQL = pack_sql(BANKS_SQL, "bank || substr(id,1,1)", "w.acc + o.size > case when w.prefix like 'cas%' then 20000 else 100000 end")
+ALL_META = "select case when prefix like 'cas%' then 'cas' else 'ac' end bank, concat('seg-', substr(sha256(string_agg(concat(id, chr(10)), '' order by id)),1,16)) as name, count(*) blobs, cast(sum(size) as bigint) bytes, case when prefix like 'cas%' then right(prefix,1) else '*' end prefixes, false as \"full\" from packed group by prefix, segment_no"
+
+
+@query("publish_all", f"{ALL_SQL[: ALL_SQL.rindex('select id, size, prefix')].rstrip()}, packed as (select id, size, prefix, segment_no from walk) {ALL_META}")
 def _(t: Tables) -> DataFrame:
     return jb.publish_all(_published(t), _row_publish(t))
 
 
-@query("lap_report")
+def _unpivot(names: list[str], suffix: str, table: str) -> str:
+    return " union all ".join(f"select concat('{n}', {suffix}) metric, cast({n} as bigint) as value from {table}" for n in names)
+
+
+LAP_SQL = f"""with l as (select verdict, n_refs, key, key % 1000 us from v_verdicts),
+    c as (select count_if(verdict = 'HIT') hits, count_if(verdict = 'MISS') misses, count_if(verdict = 'UNSERVABLE') unservable, coalesce(sum(case when verdict = 'HIT' then n_refs end),0) bytes, count_if(verdict = 'HIT' and key % 2 = 0) hit_ok, count_if(verdict = 'HIT' and key % 2 <> 0) hit_failed, count_if(verdict = 'HIT') = 0 and count_if(verdict = 'MISS') > 0 tripwire from l),
+    d as (select cast(worker as varchar) worker, count(*) jobs from v_events where job % 6 = 0 group by 1 union all select '*', count(*) from v_events where job % 6 = 0),
+    p as ({LATENCY_SQL.replace("select kind verdict", "select verdict").replace("from v_events group by kind", "from l group by verdict")}),
+    q as (select kind os, count(*) queued, max({AGE}) oldest_s, max({AGE}) > 120 starved from v_events group by kind),
+    s as (select worker, {SOURCE} source, count(*) fetches from v_events group by 1, 2),
+    w as (select w.worker, x.source, coalesce(s.fetches,0) fetches from (select distinct worker from v_events) w cross join (select unnest(['local','peer','driver']) source) x left join s on s.worker = w.worker and s.source = x.source),
+    i as (select l_partkey hash, p_size as size, l_orderkey % 100 + 1 peer from lineitem join part on l_partkey = p_partkey),
+    m as (select coalesce(sum(size) filter (where not exists (select 1 from v_holdings h where h.peer = i.peer and h.hash = i.hash)),0) moved, sum(size) total from i),
+    o as (select moved, total, floor(total * 99 / 100.0) baseline, moved * 2 > total * 99 / 100.0 regressed from m)
+    {_unpivot(["hits", "misses", "unservable", "bytes", "hit_ok", "hit_failed", "tripwire"], "''", "c")} union all {_unpivot(["jobs"], "':', worker", "d")} union all {_unpivot(["n", "p50", "p90", "p99", "max"], "':', verdict", "p")}
+    union all {_unpivot(["queued", "oldest_s", "starved"], "':', os, ':*'", "q")} union all {_unpivot(["fetches"], "':', worker, ':', source", "w")} union all {_unpivot(["moved", "total", "baseline", "regressed"], "''", "o")}"""
+
+
+@query("lap_report", LAP_SQL)
 def _(t: Tables) -> DataFrame:
     lookups = t.verdicts.selectExpr("verdict", "n_refs bytes", "key % 2 exit_code", "key % 1000 us")
-    return jb.lap_report(lookups, 1, tb.parse_build_log(t.events.select(F.expr(LOG_LINE).alias("value"))).where("kind = 'dispatch'"))
+    dispatched = tb.parse_build_log(t.events.select(F.expr(LOG_LINE).alias("value"))).where("kind = 'dispatch'")
+    age = (F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("age_s")
+    jobs = t.log.select(F.col("kind").alias("os"), F.lit("").alias("arch"), "job", age)
+    inputs = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey action", "l_partkey hash", "p_size size")
+    moved = agg.off_node_bytes(t.orders.selectExpr("o_orderkey action", "o_orderkey % 100 + 1 peer"), inputs, t.holdings, 100)
+    return jb.lap_report(lookups, 1, dispatched, jobs, t.log.selectExpr("worker", f"{SOURCE} source"), moved)
 
 
 @query("verdict_counts", "select verdict, count(*) n from v_verdicts group by verdict")

@@ -55,13 +55,22 @@ def _fold(items: DataFrame, group: Column, fits: str, cap: int) -> DataFrame:
     return met.withColumn("segment_no", (F.sum(F.coalesce("_start", F.lit(0))).over(order) - 1).cast("int")).withColumnRenamed("_g", "prefix").drop("_start")
 
 
+def prefix_length_of(items: DataFrame, most: int = 1 << 20, longest: int = 16) -> int:
+    """Digits of a prefix under which there are at most ``most`` ids of evenly
+    spread hashes, even if all begin with the same digit."""
+    n, length = items.count(), 1
+    while n > most * 16 ** (length - 1) and length < longest:
+        length += 1
+    return length
+
+
 def pack_greedy(items: DataFrame, cap: int, prefix_length: int = 1) -> DataFrame:
     """``items[id, size]`` with ``prefix`` and ``segment_no``: ids in order,
     a segment closing before the item that would exceed ``cap``; an oversize
     item is alone.  Ids are distinct.
 
-    Segments end at prefix boundaries.  Lengthen the prefix as data grows: a
-    group holds 16^-k of all ids.
+    Segments end at prefix boundaries.  Lengthen the prefix as data grows
+    (``prefix_length_of``): a group holds 16^-k of all ids.
     """
     return _fold(items, F.substring("id", 1, prefix_length), "before", cap)
 

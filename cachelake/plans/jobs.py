@@ -7,6 +7,8 @@ own head must never lead to a manifest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from cachelake.operators import aggregates as agg
 from cachelake.operators.filters import provenance_filter, purge_failures, verify_digests
 from cachelake.operators.joins import delta_by_id, delta_by_key, delta_by_version, fetch_plan, segments_to_fetch
 from cachelake.operators.sets import recent_spills, split_range
-from cachelake.operators.windows import apply_order, collapse_versions, newest_per_name, pack_greedy, pack_until_full
+from cachelake.operators.windows import apply_order, collapse_versions, newest_per_name, pack_greedy, pack_until_full, prefix_length_of
 from cachelake.sources.tables import insert_or_ignore, write_generation
 
 
@@ -62,7 +64,7 @@ def publish_blobs(index: DataFrame, heads: DataFrame, banked: DataFrame, evidenc
             full = not (shed and shed["would_shed"])
     new = split_range(index if full else delta_by_id(index, banked), shard, known)
     bank = new.where("dest = 'bank'").select(F.col("hash").alias("id"), F.col("bytes").alias("size"))
-    packed = pack_greedy(bank, cap).withColumnRenamed("size", "bytes")
+    packed = pack_greedy(bank, cap, prefix_length_of(bank)).withColumnRenamed("size", "bytes")
     segments = agg.segment_meta(packed, ["prefix", "segment_no"]).withColumn("full", F.lit(full))
     spill = delta_by_id(index, banked).join(bank.select(F.col("id").alias("hash")), "hash", "left_anti")
     return {"packed": packed, "segments": segments, "spill": spill}
@@ -84,7 +86,7 @@ def publish_rows(rows: DataFrame, banked: DataFrame, run: int, role: str, cap: i
     if lookup_state == "unknown":
         new = new.where(F.lit(False))
     items = new.select(F.concat("path", F.lit(" "), "content_hash").alias("id"), F.col("bytes").alias("size")).distinct()
-    packed = pack_greedy(items.withColumn("id", F.concat(F.substring(F.md5("id"), 1, 4), F.lit("|"), "id")), cap).withColumnRenamed("size", "bytes")
+    packed = pack_greedy(items.withColumn("id", F.concat(F.substring(F.md5("id"), 1, 4), F.lit("|"), "id")), cap, prefix_length_of(items, longest=4)).withColumnRenamed("size", "bytes")
     stamped = agg.segment_meta(packed, ["prefix", "segment_no"]).withColumns({"run": F.lit(run), "role": F.lit(role), "full": F.lit(False)})
     listed = banked.select("path", F.col("content_hash").alias("hash"), F.lit(0).alias("seq")).unionByName(new.select("path", F.col("content_hash").alias("hash"), F.lit(1).alias("seq")))
     return {"packed": packed, "segments": stamped, "ids": collapse_versions(listed, ["seq", "hash"])}
@@ -135,13 +137,28 @@ def publish_generation(published: dict[str, DataFrame], path: str, lineage: str,
     return write_generation(segments, rows, path, manifest)
 
 
-def lap_report(lookups: DataFrame, seeded: int, events: DataFrame) -> DataFrame:
-    """``metric, value``: hit counts, the tripwire, dispatches, latency."""
+def _metrics(df: DataFrame, names: list[str], suffix: list[str]) -> DataFrame:
+    """``metric, value`` of number columns, a metric being ``name:suffix…``."""
+    parts = [F.struct(F.concat_ws(":", F.lit(n), *[F.col(s).cast("string") for s in suffix]).alias("metric"), F.col(n).cast("long").alias("value")) for n in names]
+    return df.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+
+
+def lap_report(lookups: DataFrame, seeded: int, events: DataFrame, jobs: DataFrame | None = None, fetches: DataFrame | None = None, moved: DataFrame | None = None) -> DataFrame:
+    """``metric, value``: hit counts, the tripwire, dispatches, latency; with
+    ``jobs`` the queue by platform, with ``fetches`` their sources by worker,
+    with ``moved`` (of ``off_node_bytes``) what locality saved."""
     report = agg.cache_report(lookups, seeded)
     names = ["hits", "misses", "unservable", "bytes", "hit_ok", "hit_failed"]
     stack = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias("value")) for n in names], F.struct(F.lit("tripwire").alias("metric"), F.col("tripwire").cast("long").alias("value")))
     one = report.select(F.explode(stack).alias("x")).select("x.*")
-    jobs = agg.dispatch_counts(events).select(F.concat(F.lit("jobs:"), "worker").alias("metric"), F.col("jobs").alias("value"))
-    late = agg.latency_summary(lookups.select("verdict", "us"))
-    p = late.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{n}:"), "verdict").alias("metric"), F.col(n).cast("long").alias("value")) for n in ("n", "p50", "p90", "p99", "max")])).alias("x")).select("x.*")
-    return one.unionByName(jobs).unionByName(p)
+    parts = [
+        _metrics(agg.dispatch_counts(events), ["jobs"], ["worker"]),
+        _metrics(agg.latency_summary(lookups.select("verdict", "us")), ["n", "p50", "p90", "p99", "max"], ["verdict"]),
+    ]
+    if jobs is not None:
+        parts.append(_metrics(agg.queue_summary(jobs), ["queued", "oldest_s", "starved"], ["os", "arch"]))
+    if fetches is not None:
+        parts.append(_metrics(agg.fetch_sources(fetches).withColumnRenamed("n", "fetches"), ["fetches"], ["worker", "source"]))
+    if moved is not None:
+        parts.append(_metrics(moved, ["moved", "total", "baseline", "regressed"], []))
+    return reduce(DataFrame.unionByName, parts, one)

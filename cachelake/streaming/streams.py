@@ -142,25 +142,37 @@ class _NegativeTtl(StatefulProcessor):
         self.ttl_s = ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.refused = handle.getValueState("refused", "until timestamp, epoch long")
+        self.handle = handle
+        self.refused =handle.getValueState("refused", "until timestamp, epoch long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
         held = self.refused.get() if self.refused.exists() else None
-        for frame in rows:
-            for r in frame.sort_values(["ts", "seq"]).itertuples():
-                ts = pd.Timestamp(r.ts).to_pydatetime()
-                reused = held is not None and ts < held[0] and int(r.epoch) == held[1] and r.kind == "lookup"
-                if r.kind == "rewrite":
-                    held = None
-                elif not reused and r.verdict == "UNSERVABLE":
-                    held = (ts + pd.Timedelta(seconds=self.ttl_s).to_pytimedelta(), int(r.epoch))
-                if r.kind == "lookup":
-                    out.append((key[0], ts, "UNSERVABLE" if reused else r.verdict, reused))
-        self.refused.update(held) if held is not None else self.refused.clear()
+        # A key's rows may come in several frames, in any order.
+        for r in pd.concat(rows).sort_values(["ts", "seq"]).itertuples():
+            ts = pd.Timestamp(r.ts).to_pydatetime()
+            reused = held is not None and ts < held[0] and int(r.epoch) == held[1] and r.kind == "lookup"
+            if r.kind == "rewrite":
+                held = None
+            elif not reused and r.verdict == "UNSERVABLE":
+                held = (ts + pd.Timedelta(seconds=self.ttl_s).to_pytimedelta(), int(r.epoch))
+            if r.kind == "lookup":
+                out.append((key[0], ts, "UNSERVABLE" if reused else r.verdict, reused))
+        if held is None:
+            self.refused.clear()
+        else:
+            self.refused.update(held)
+            self.handle.registerTimer(int(pd.Timestamp(held[0]).timestamp() * 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=["action", "ts", "verdict", "reused"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Forget a verdict that the watermark has passed; a later one has a
+        timer of its own."""
+        if self.refused.exists() and pd.Timestamp(self.refused.get()[0]).timestamp() * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.refused.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -168,8 +180,12 @@ class _NegativeTtl(StatefulProcessor):
 def negative_ttl(lookups: DataFrame, ttl_s: int = 120) -> DataFrame:
     """``lookups[action, ts, seq, kind, verdict, epoch]``: an unservable
     verdict is reused for ``ttl_s``, cleared early by a rewrite of its key or
-    a new ``epoch`` (which a leaving peer starts)."""
-    return lookups.groupBy("action").transformWithStateInPandas(_NegativeTtl(ttl_s), "action long, ts timestamp, verdict string, reused boolean", "Update", "None")
+    a new ``epoch`` (which a leaving peer starts).
+
+    ``lookups`` has a watermark on ``ts``; once that passes a verdict's end,
+    its state goes.  A key's rows of one micro-batch are put in order
+    together, so bound micro-batches at the source."""
+    return lookups.groupBy("action").transformWithStateInPandas(_NegativeTtl(ttl_s), "action long, ts timestamp, verdict string, reused boolean", "Update", "EventTime")
 
 
 # ------------------------------------------------------------ running

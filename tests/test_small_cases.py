@@ -144,3 +144,11 @@ def test_scans_prune(spark, sf_dir):
     plan = jn.find_missing(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_partkey hash", "l_linenumber size"), part.where("p_size <= 45").selectExpr("p_partkey hash", "p_size size"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(p_size,45)" in text and "l_extendedprice" not in text
+
+
+def test_prefixes_grow_with_the_ids(spark):
+    items = spark.range(40).selectExpr("sha2(cast(id as string),256) id", "1L size")
+    assert [wn.prefix_length_of(items, most) for most in (40, 39, 2)] == [1, 2, 3]
+    packed = wn.pack_greedy(items, 3, 2)
+    assert packed.count() == 40 and packed.where("prefix <> substr(id,1,2)").count() == 0
+    assert packed.groupBy("prefix", "segment_no").count().agg(F.max("count")).first()[0] <= 3
