@@ -725,8 +725,13 @@ def _(t: Tables) -> DataFrame:
 @query("strip_result", f"select action, {NORM_SQL} as path, 'unknown' worker from v_tokens")
 def _(t: Tables) -> DataFrame:
     outs = t.tokens.select("action", F.array("token").alias("paths"), F.lit(None).cast("struct<worker:string>").alias("metadata"))
-    shown = F.coalesce("metadata", F.struct(F.lit("unknown").alias("worker")))
-    return outs.select("action", F.element_at(F.transform("paths", ex.normalize_token), 1).alias("path"), shown["worker"].alias("worker"))
+    return outs.select("action", F.element_at(ex.strip_result(F.col("paths")), 1).alias("path"), ex.served_metadata(F.col("metadata"))["worker"].alias("worker"))
+
+
+@query("normalize_commands", f"select action, sha256(concat('-Copt-level=3', chr(0), {NORM_SQL}, chr(0), '-Cmetadata=__CKEY__', chr(0), lang, chr(0))) as key from v_tokens")
+def _(t: Tables) -> DataFrame:
+    tokens = F.array(F.lit("-Copt-level=3"), "token", F.concat(F.lit("-Cmetadata="), F.col("action").cast("string")), "lang")
+    return t.tokens.select("action", ex.command_key(tokens).alias("key"))
 
 
 @query("group_key", "select action, case when action % 4 = 0 then concat('root', action) else regexp_extract(token, '^(.*?__/)', 1) end as gk from v_tokens")

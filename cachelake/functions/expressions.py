@@ -71,6 +71,24 @@ def normalize_token(column: str | Column) -> Column:
     return F.concat(marks, plain)
 
 
+def strip_result(paths: Column) -> Column:
+    """A result's output paths as they are stored: in canonical form."""
+    return F.transform(paths, normalize_token)
+
+
+def served_metadata(metadata: Column) -> Column:
+    """The execution metadata (a struct with ``worker``) of a served result: a
+    placeholder worker where it was dropped before storing."""
+    return F.coalesce(metadata, F.struct(F.lit("unknown").alias("worker")))
+
+
+def command_key(tokens: Column) -> Column:
+    """The canonical key of a whole command: the digest of all its tokens
+    (arguments, env values, lines of argsfiles) in their order, each in
+    canonical form and ended by a NUL."""
+    return F.sha2(F.array_join(F.transform(tokens, lambda x: F.concat(normalize_token(x), F.lit("\0"))), ""), 256)
+
+
 def group_key(first_output: Column, input_root: Column) -> Column:
     """What actions are kept together by: the label part of the first output
     path, else the input root."""
