@@ -39,3 +39,13 @@ def test_entry_is_the_flagship(spark):
 
     counts = {r["verdict"]: r["n"] for r in __spark_entry__.entry(spark).collect()}
     assert set(counts) <= {"HIT", "MISS", "UNSERVABLE"} and sum(counts.values()) == 1500
+
+
+def test_negative_ttl_with_keys_over_several_batches(spark, duck, sf_dir):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        test_query_equals_sql(spark, duck, sf_dir, "negative_ttl")
+    finally:
+        spark.conf.set(name, before)
