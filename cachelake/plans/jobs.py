@@ -47,6 +47,17 @@ def restore_blobs(segments: DataFrame, payload: DataFrame, artifacts: DataFrame,
     return {"blobs": blobs, "ids": ids, "plan": plan, "missing": missing, "status": status}
 
 
+def _packs_fully(heads: DataFrame, evidence: DataFrame, lineage: str, now: int, cfg: agg.CompactCfg, held: DataFrame, own: DataFrame, distinct: bool = True) -> bool:
+    """Whether the policy asks for a full pack of the ids ``own`` and that
+    wouldn't shed any of those ``held``."""
+    verdict = agg.compaction_policy(heads, evidence, now, cfg).where(F.col("lineage") == lineage).first()  # one row
+    if verdict is None or verdict["reason"] == "none":
+        return False
+    name = F.lit(lineage).alias("lineage")
+    shed = agg.shed_guard(held.select(name, "id"), own.select(name, "id"), distinct).first()  # one row
+    return not (shed and shed["would_shed"])
+
+
 def publish_blobs(index: DataFrame, heads: DataFrame, banked: DataFrame, evidence: DataFrame, lineage: str, shard: int, cap: int, now: int, lookup_state: str = "found", cfg: agg.CompactCfg = agg.CompactCfg()) -> dict[str, DataFrame]:
     """``packed`` rows with their segment, ``segments``, and ``spill``.
 
@@ -55,13 +66,8 @@ def publish_blobs(index: DataFrame, heads: DataFrame, banked: DataFrame, evidenc
     and all does while the own state is unknown.
     """
     known = lookup_state != "unknown"
-    full = False
-    if known and lookup_state == "found":
-        verdict = agg.compaction_policy(heads, evidence, now, cfg).where(F.col("lineage") == lineage).first()  # one row
-        if verdict is not None and verdict["reason"] != "none":
-            own_ids = split_range(index, shard).where("dest = 'bank'").select(F.lit(lineage).alias("lineage"), F.col("hash").alias("id"))
-            shed = agg.shed_guard(banked.select(F.lit(lineage).alias("lineage"), "id"), own_ids).first()  # one row
-            full = not (shed and shed["would_shed"])
+    own_ids = split_range(index, shard).where("dest = 'bank'").select(F.col("hash").alias("id"))
+    full = lookup_state == "found" and _packs_fully(heads, evidence, lineage, now, cfg, banked, own_ids)
     new = split_range(index if full else delta_by_id(index, banked), shard, known)
     bank = new.where("dest = 'bank'").select(F.col("hash").alias("id"), F.col("bytes").alias("size"))
     packed = pack_greedy(bank, cap, prefix_length_of(bank)).withColumnRenamed("size", "bytes")
@@ -78,17 +84,27 @@ def restore_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return purge_failures(final.join(codes, "content_hash", "left")).select("path", "content_hash", "source", "exit_code")
 
 
-def publish_rows(rows: DataFrame, banked: DataFrame, run: int, role: str, cap: int, lookup_state: str = "found") -> dict[str, DataFrame]:
+def publish_rows(
+    rows: DataFrame, banked: DataFrame, run: int, role: str, cap: int, lookup_state: str = "found", heads: DataFrame | None = None, evidence: DataFrame | None = None, lineage: str = "", now: int = 0, cfg: agg.CompactCfg = agg.ROW_BANK
+) -> dict[str, DataFrame]:
     """New row versions packed and stamped, and the collapsed id list.
-    Nothing is staged while the own state is unknown."""
+
+    With the bank's ``heads`` and their ``evidence``, a full pack of all rows
+    replaces it if the policy asks for that and it wouldn't shed lines.
+    Nothing is staged while the own state is unknown.
+    """
     ok = purge_failures(rows)
-    new = delta_by_version(ok, banked)
+    line = F.concat("path", F.lit(" "), "content_hash").alias("id")
+    full = heads is not None and evidence is not None and lookup_state == "found" and _packs_fully(heads, evidence, lineage, now, cfg, banked.select(line), ok.select(line), distinct=False)
+    new = ok if full else delta_by_version(ok, banked)
     if lookup_state == "unknown":
         new = new.where(F.lit(False))
-    items = new.select(F.concat("path", F.lit(" "), "content_hash").alias("id"), F.col("bytes").alias("size")).distinct()
+    items = new.select(line, F.col("bytes").alias("size")).distinct()
     packed = pack_greedy(items.withColumn("id", F.concat(F.substring(F.md5("id"), 1, 4), F.lit("|"), "id")), cap, prefix_length_of(items, longest=4)).withColumnRenamed("size", "bytes")
-    stamped = agg.segment_meta(packed, ["prefix", "segment_no"]).withColumns({"run": F.lit(run), "role": F.lit(role), "full": F.lit(False)})
-    listed = banked.select("path", F.col("content_hash").alias("hash"), F.lit(0).alias("seq")).unionByName(new.select("path", F.col("content_hash").alias("hash"), F.lit(1).alias("seq")))
+    stamped = agg.segment_meta(packed, ["prefix", "segment_no"]).withColumns({"run": F.lit(run), "role": F.lit(role), "full": F.lit(full)})
+    listed = new.select("path", F.col("content_hash").alias("hash"), F.lit(1).alias("seq"))
+    if not full:
+        listed = listed.unionByName(banked.select("path", F.col("content_hash").alias("hash"), F.lit(0).alias("seq")))
     return {"packed": packed, "segments": stamped, "ids": collapse_versions(listed, ["seq", "hash"])}
 
 
@@ -113,6 +129,13 @@ def publish_kv(kv: DataFrame, banked: DataFrame, cap: int) -> DataFrame:
     return pack_until_full(new.withColumn("size", (F.length(line) + 1).cast("long")), cap, "shard")
 
 
+def kv_bank(packed: DataFrame) -> dict[str, DataFrame]:
+    """What ``publish_kv`` packed, with its segments, as ``publish_generation``
+    writes it."""
+    rows = packed.withColumnRenamed("size", "bytes")
+    return {"packed": rows, "segments": agg.segment_meta(rows, ["prefix", "segment_no"]).withColumn("full", F.lit(False))}
+
+
 def restore_all(blobs: dict[str, DataFrame], rows: DataFrame, contents: DataFrame) -> DataFrame:
     """One row: blobs and rows restored, how many contents verify, and whether
     either bank is warm."""

@@ -87,11 +87,16 @@ def acks_by_deadline(signals: DataFrame, acks: DataFrame, limit_s: int = 180) ->
 
 def quorum_latch(joins: DataFrame, min_workers: int) -> DataFrame:
     """``joins[fleet, ts, event, worker]`` with ``formed``: once enough distinct
-    workers have joined a fleet, it stays formed."""
-    first = Window.partitionBy("fleet", "worker").orderBy("ts", "event")
-    order = Window.partitionBy("fleet").orderBy("ts", "event").rowsBetween(Window.unboundedPreceding, 0)
-    fresh = joins.withColumn("_new", (F.row_number().over(first) == 1).cast("int"))
-    return fresh.withColumn("formed", F.sum("_new").over(order) >= min_workers).drop("_new")
+    workers have joined a fleet, it stays formed.
+
+    That is from the first join of the ``min_workers``-th worker on, so only
+    that many rows of a fleet have to be ordered."""
+    at = F.struct("ts", "event")
+    first = joins.groupBy(F.col("fleet").alias("_fleet"), "worker").agg(F.min(at).alias("_at"))
+    n = F.row_number().over(Window.partitionBy("_fleet").orderBy("_at"))
+    formed = first.withColumn("_n", n).where(F.col("_n") <= max(min_workers, 1)).where(F.col("_n") == max(min_workers, 1)).select("_fleet", "_at")
+    met = joins.join(formed, F.col("fleet").eqNullSafe(F.col("_fleet")), "left")
+    return met.select(*joins.columns, F.coalesce(at >= F.col("_at"), F.lit(False)).alias("formed"))
 
 
 # ------------------------------------------------------------ keyed state

@@ -11,7 +11,9 @@ from cachelake.operators import filters as fl
 from cachelake.operators import joins as jn
 from cachelake.operators import sets as st
 from cachelake.operators import windows as wn
+from cachelake.plans import jobs as jb
 from cachelake.sources import tables as tb
+from cachelake.streaming import streams as sm
 
 
 def rows(df):
@@ -152,3 +154,32 @@ def test_prefixes_grow_with_the_ids(spark):
     packed = wn.pack_greedy(items, 3, 2)
     assert packed.count() == 40 and packed.where("prefix <> substr(id,1,2)").count() == 0
     assert packed.groupBy("prefix", "segment_no").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_row_bank_packs_fully_unless_it_would_shed(spark):
+    new = spark.createDataFrame([("ac/a", "v2", 10, 0), ("ac/b", "v1", 10, 0), ("ac/c", "v1", 10, 1)], "path string, content_hash string, bytes long, exit_code int")
+    heads = spark.createDataFrame([("main", 1, False)] * 33, "lineage string, bytes long, full boolean")
+    evidence = spark.createDataFrame([], "lineage string, delta_restore_secs long, oldest string")
+    two = spark.createDataFrame([("ac/a", "v1"), ("ac/b", "v1")], "path string, content_hash string")
+    out = jb.publish_rows(new, two, 7, "driver", 100, heads=heads, evidence=evidence, lineage="main")
+    assert rows(out["segments"].groupBy("full").agg(F.sum("blobs"))) == [(True, 2)] and rows(out["ids"]) == [("ac/a", "v2"), ("ac/b", "v1")]
+    three = two.union(spark.createDataFrame([("ac/d", "v1")], "path string, content_hash string"))
+    out = jb.publish_rows(new, three, 7, "driver", 100, heads=heads, evidence=evidence, lineage="main")
+    assert rows(out["segments"].groupBy("full").agg(F.sum("blobs"))) == [(False, 1)] and rows(out["ids"]) == [("ac/a", "v2"), ("ac/b", "v1"), ("ac/d", "v1")]
+    few = jb.publish_rows(new, two, 7, "driver", 100, heads=heads.limit(32), evidence=evidence, lineage="main")
+    assert rows(few["segments"].select("full", "blobs")) == [(False, 1)]
+
+
+def test_kv_generation_is_written(spark, tmp_path):
+    packed = spark.createDataFrame([("1 2", 5, "0", 0), ("1 3", 5, "0", 0), ("2 3", 7, "1", 0)], "id string, size long, prefix string, segment_no int")
+    payload = jb.publish_generation(jb.kv_bank(packed), f"file://{tmp_path}/gen", "kv", 1)
+    assert rows(spark.read.parquet(payload).select("id", "bytes")) == [("1 2", 5), ("1 3", 5), ("2 3", 7)]
+    listed = spark.read.json(f"file://{tmp_path}/gen/manifest").selectExpr("lineage", "inline(segments)")
+    assert rows(listed.select("lineage", "blobs", "bytes", "prefixes")) == [("kv", 1, 7, "*"), ("kv", 2, 10, "*")]
+
+
+def test_quorum_latches_with_the_join_that_completes_it(spark):
+    data = [("f", 1, 1, "a"), ("f", 2, 2, "a"), ("f", 3, 3, "b"), ("f", 4, 4, "a"), ("g", 1, 5, "a"), (None, 1, 6, "a"), (None, 1, 7, "b")]
+    joins = spark.createDataFrame(data, "fleet string, ts int, event int, worker string")
+    assert {r["event"] for r in sm.quorum_latch(joins, 2).where("formed").collect()} == {3, 4, 7}
+    assert sm.quorum_latch(joins.limit(0), 2).count() == 0
