@@ -14,6 +14,7 @@ from cachelake.llm.quality import quality
 from cachelake.llm.substring_dedup import substring_dedup
 from cachelake.llm.topk import TOP_K_SQL, top_k
 from cachelake.llm.toxicity import toxicity
+from cachelake.llm.warc import WARC_SQL, warc_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +78,7 @@ QUERIES = {
         op8_license_scan,
         op9_ngram_join,
         op10_substring_dedup,
+        op11_warc,
     )
 }
-ORACLE_SQL = {"op1_topk_search": TOP_K_SQL, "op4_mixing": MIX_SQL}
+ORACLE_SQL = {"op1_topk_search": TOP_K_SQL, "op4_mixing": MIX_SQL, "op11_warc": WARC_SQL}
