@@ -10,6 +10,7 @@ from cachelake.llm.media import media_columns
 from cachelake.llm.mixing import MIX_SQL, mix_sources
 from cachelake.llm.ngram_join import ngram_join
 from cachelake.llm.packing import pack_documents
+from cachelake.llm.periodic_runs import periodic_documents
 from cachelake.llm.quality import quality
 from cachelake.llm.substring_dedup import substring_dedup
 from cachelake.llm.topk import TOP_K_SQL, top_k
@@ -65,6 +66,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_pages(_table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +84,7 @@ QUERIES = {
         op9_ngram_join,
         op10_substring_dedup,
         op11_warc,
+        op12_periodic_runs,
     )
 }
 ORACLE_SQL = {"op1_topk_search": TOP_K_SQL, "op4_mixing": MIX_SQL, "op11_warc": WARC_SQL}
