@@ -108,10 +108,10 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first
     word (one entry more than rows)."""
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True  # a row's start separates words
     before = np.zeros(len(data), bool)
@@ -307,9 +307,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """``df`` left joined with the staged ``few`` on ``key``, a hash; rows that
-    a bitmap of its keys rules out stay where they are, without a shuffle."""
+def _one_bitmap(df: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, F.Column]:
+    """A table of one row with a bitmap of ``few``'s keys, and the condition by
+    which a row of ``df`` may have one of them."""
     mask, bits = key_mask(few, key)
     (name,) = unused(df, "bits")
     # One row, whose size is bounded by MOST_BITMAP.
@@ -317,7 +317,20 @@ def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
     slot = F.shiftrightunsigned(key, 64 - bits)
     word = F.element_at(name, F.shiftright(slot, 6).cast("int") + 1)
     may = F.expr(f"shiftrightunsigned(`{key}`, {64 - bits}) & 63").cast("int")
-    may = F.call_function("shiftrightunsigned", word, may).bitwiseAND(F.lit(1)) == 1
+    return one, F.call_function("shiftrightunsigned", word, may).bitwiseAND(F.lit(1)) == 1
+
+
+def may_be_among(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows that a bitmap of the staged ``few``'s keys rules
+    out; nothing is shuffled."""
+    one, may = _one_bitmap(df, few, key)
+    return df.join(one, may, "left_semi")
+
+
+def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``df`` left joined with the staged ``few`` on ``key``, a hash; rows that
+    a bitmap of its keys rules out stay where they are, without a shuffle."""
+    one, may = _one_bitmap(df, few, key)
     other = few.drop(key).schema
     away = df.join(one, ~may, "left_semi").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
     return away.union(df.join(one, may, "left_semi").join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cachelake.llm.language_model import score_documents
+from cachelake.llm.lexical_search import SEARCH_SQL, search
 from cachelake.llm.license_scan import license_scan
 from cachelake.llm.media import media_columns
 from cachelake.llm.mixing import MIX_SQL, mix_sources
@@ -70,6 +71,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES = {
         op10_substring_dedup,
         op11_warc,
         op12_periodic_runs,
+        op13_lexical_search,
     )
 }
-ORACLE_SQL = {"op1_topk_search": TOP_K_SQL, "op4_mixing": MIX_SQL, "op11_warc": WARC_SQL}
+ORACLE_SQL = {"op1_topk_search": TOP_K_SQL, "op4_mixing": MIX_SQL, "op11_warc": WARC_SQL, "op13_lexical_search": SEARCH_SQL}
