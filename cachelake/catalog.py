@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -19,6 +20,7 @@ from cachelake.sources import tables as tb
 from cachelake.sources.storage import scratch_path
 from cachelake.streaming import streams as sm
 
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -32,6 +34,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def sql(self, text: str) -> DataFrame:
+        """A statement that names given tables plainly."""
+        used = {n: getattr(self, n) for n in GIVEN if re.search(rf"\b(from|join) {n}\b", text)}
+        return self.spark.sql(re.sub(rf"\b(from|join) ({'|'.join(GIVEN)})\b", r"\1 {\2}", text), **used)
+
     @property
     def blobs(self) -> DataFrame:
         return self.documents.selectExpr("concat(source,'/',doc_id) path", "sha2(text,256) hash", "cast(octet_length(text) as bigint) bytes", "lang", "source", "doc_id")
@@ -1033,3 +1040,7 @@ def _(t: Tables) -> DataFrame:
 @query("verdict_counts", "select verdict, count(*) n from v_verdicts group by verdict")
 def _(t: Tables) -> DataFrame:
     return t.verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+# The rest of the queries registers itself with those above.
+from cachelake import catalog_banks  # noqa: E402, F401
