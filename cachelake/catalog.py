@@ -1043,4 +1043,4 @@ def _(t: Tables) -> DataFrame:
 
 
 # The rest of the queries registers itself with those above.
-from cachelake import catalog_banks  # noqa: E402, F401
+from cachelake import catalog_banks, catalog_streams  # noqa: E402, F401

@@ -207,7 +207,9 @@ def drain(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        if state is not None:
+        if state is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", state)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
 
