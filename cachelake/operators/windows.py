@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cachelake.functions.expressions import role_order
+from cachelake.operators.folds import segment_numbers
 
 
 def newest_per_name(artifacts: DataFrame, prefix: str | None = None) -> DataFrame:
@@ -31,30 +32,6 @@ def apply_order(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return met.groupBy("path").agg(F.max_by(F.struct("content_hash", F.col("segment").alias("source")), key).alias("v")).select("path", "v.content_hash", "v.source")
 
 
-def _fold(items: DataFrame, group: Column, fits: str, cap: int) -> DataFrame:
-    """Segment numbers by a fold over each group's (id, size) pairs in order.
-
-    Only the ids that start a segment leave the fold; a running count of
-    starts numbers the rest.  A group's pairs are in memory at once, so groups
-    are id prefixes whose length grows with the data.
-    """
-    keyed = items.withColumn("_g", group)
-    listed = keyed.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("id", "size"))).alias("_v"))
-    zero = F.struct(F.lit(0).cast("long").alias("bytes"), F.array().cast("array<string>").alias("starts"))
-
-    def step(s: Column, x: Column) -> Column:
-        opens = (F.size(s["starts"]) == 0) | (s["bytes"] + x["size"] > cap if fits == "before" else s["bytes"] >= cap)
-        return F.struct(
-            F.when(opens, x["size"]).otherwise(s["bytes"] + x["size"]).cast("long").alias("bytes"),
-            F.when(opens, F.concat(s["starts"], F.array(x["id"]))).otherwise(s["starts"]).alias("starts"),
-        )
-
-    starts = listed.select("_g", F.explode(F.aggregate("_v", zero, step, lambda s: s["starts"])).alias("id")).withColumn("_start", F.lit(1))
-    met = keyed.join(starts, ["_g", "id"], "left")
-    order = Window.partitionBy("_g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return met.withColumn("segment_no", (F.sum(F.coalesce("_start", F.lit(0))).over(order) - 1).cast("int")).withColumnRenamed("_g", "prefix").drop("_start")
-
-
 def prefix_length_of(items: DataFrame, most: int = 1 << 20, longest: int = 16) -> int:
     """Digits of a prefix under which there are at most ``most`` ids of evenly
     spread hashes, even if all begin with the same digit."""
@@ -69,16 +46,17 @@ def pack_greedy(items: DataFrame, cap: int, prefix_length: int = 1) -> DataFrame
     a segment closing before the item that would exceed ``cap``; an oversize
     item is alone.  Ids are distinct.
 
-    Segments end at prefix boundaries.  Lengthen the prefix as data grows
-    (``prefix_length_of``): a group holds 16^-k of all ids.
+    Segments end at prefix boundaries.  A prefix may have any number of ids
+    (``operators.folds``); a longer one (``prefix_length_of``) only makes more
+    groups.
     """
-    return _fold(items, F.substring("id", 1, prefix_length), "before", cap)
+    return segment_numbers(items, F.substring("id", 1, prefix_length), cap, before=True)
 
 
 def pack_until_full(items: DataFrame, cap: int, group: str) -> DataFrame:
     """The variant that closes a segment once it has reached ``cap``, so its
     last item may overflow."""
-    return _fold(items, F.col(group).cast("string"), "after", cap)
+    return segment_numbers(items, F.col(group).cast("string"), cap, before=False)
 
 
 def chunk(rows: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
@@ -94,6 +72,17 @@ def counter_rate(heartbeats: DataFrame, source: str = "source", order: tuple[str
     return heartbeats.withColumn("rate", F.col(value) - F.coalesce(before, F.lit(0)))
 
 
+def counter_rate_per_second(heartbeats: DataFrame, source: str = "source", ts: str = "ts", tie: tuple[str, ...] = (), value: str = "counter") -> DataFrame:
+    """``heartbeats`` with ``rate``: a cumulative counter's growth for each
+    second since the source's beat before.  Null for the first beat and where
+    no time has passed; a counter that fell has begun anew, from zero."""
+    order = Window.partitionBy(source).orderBy(ts, *tie)
+    before, micros = F.lag(value).over(order), F.unix_micros(F.col(ts).cast("timestamp"))
+    grown = F.when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
+    passed = micros - F.lag(micros).over(order)
+    return heartbeats.withColumn("rate", F.when((passed > 0) & before.isNotNull(), grown * 1e6 / passed))
+
+
 def attempts(dispatches: DataFrame, most: int = 3, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Number each dispatch of a job; a job is given up after ``most``."""
     n = F.row_number().over(Window.partitionBy("job").orderBy(*order))
