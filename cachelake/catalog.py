@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from cachelake.operators import sets as st
 from cachelake.operators import windows as wn
 from cachelake.plans import jobs as jb
 from cachelake.sources import tables as tb
-from cachelake.sources.storage import scratch_path
+from cachelake.sources.storage import children, scratch_path
 from cachelake.streaming import streams as sm
 
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -904,7 +905,8 @@ def _(t: Tables) -> DataFrame:
         jb.publish_generation(out, f"{path}/gen-{number}", "main", number)
 
     sm.incremental_publish(t.spark.readStream.schema("hash string, bytes bigint").parquet(f"{path}/in"), publish, path)
-    return t.spark.read.schema("id string, bytes bigint").parquet(f"{path}/gen-*/payload/*/*").select("id", "bytes")
+    written = [tb.read_generation(t.spark, f"{path}/{n}", "id string, bytes bigint") for n in children(t.spark, path) if n.startswith("gen-")]
+    return reduce(DataFrame.unionByName, written)
 
 
 # ------------------------------------------------------------------ 2K jobs

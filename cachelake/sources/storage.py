@@ -26,3 +26,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it isn't there."""
+    where, files = _place(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Whether ``path`` became ``to``, which it can't if that is there."""
+    where, files = _place(spark, path)
+    target, _ = _place(spark, to)
+    return not files.exists(target) and bool(files.rename(where, target))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the library's own writing."""
+    where, files = _place(spark, path)
+    files.delete(where, True)

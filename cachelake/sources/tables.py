@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachelake.sources.storage import path_exists
+from cachelake.sources.storage import children, path_exists, remove, rename
+
+MANIFEST_SEGMENTS = 10_000
 
 SEGMENT = "struct<name:string,bytes:bigint,blobs:bigint,prefixes:string,artifact:string,run:bigint,role:string,`full`:boolean>"
 MANIFEST = f"version int, lineage string, generation bigint, parent_lineage string, parent_generation bigint, created_by_run bigint, segments array<{SEGMENT}>"
@@ -112,16 +116,57 @@ def parse_build_log(lines: DataFrame) -> DataFrame:
 
 
 def write_generation(segments: DataFrame, rows: DataFrame, path: str, manifest: DataFrame) -> str:
-    """Write a generation: payload first, manifest last.
+    """Write a generation, payload first and manifest last; the payload's path.
+
+    ``rows`` carry ``segment`` and ``prefix``.  Each attempt writes a payload
+    and a draft of the manifest that names it, both under names of its own; the
+    generation is there once a draft has been renamed to ``manifest``.  A crash
+    before that leaves drafts that nobody reads, and a repetition (a retried
+    batch) writes new ones.  A generation that is there stays as it is: a
+    repetition returns its payload and writes nothing.
 
-    ``rows`` carry ``segment`` and ``prefix``.  A crash leaves no manifest, and
-    readers stay with the generation before.  Returns the payload's path.
+    The manifest has a line for each ``MANIFEST_SEGMENTS`` segments, with the
+    same head.
     """
-    payload = f"{path}/payload"
-    rows.write.partitionBy("prefix", "segment").parquet(payload)
-    listed = segments.agg(F.array_sort(F.collect_list(F.struct(*segments.columns))).alias("segments"))
-    manifest.crossJoin(listed).coalesce(1).write.json(f"{path}/manifest")  # two one-row tables
-    return payload
+    spark, attempt = rows.sparkSession, uuid.uuid4().hex
+    if (payload := committed_payload(spark, path)) is not None:
+        return payload
+    rows.write.partitionBy("prefix", "segment").parquet(f"{path}/payload-{attempt}")
+    lines = max(1, -(-segments.count() // MANIFEST_SEGMENTS))
+    listed = segments.groupBy(F.pmod(F.xxhash64("name"), F.lit(lines)).alias("_line")).agg(F.array_sort(F.collect_list(F.struct(*segments.columns))).alias("segments"))
+    head = manifest.withColumn("payload", F.lit(f"payload-{attempt}"))
+    if segments.isEmpty():
+        listed = head.select(F.array().cast(listed.schema["segments"].dataType).alias("segments"))
+    head.crossJoin(listed.select("segments")).write.json(f"{path}/draft-{attempt}")  # the head is one row
+    if not rename(spark, f"{path}/draft-{attempt}", f"{path}/manifest") and committed_payload(spark, path) is None:
+        raise OSError(f"{path}: the manifest can't be put in place")
+    return committed_payload(spark, path)
+
+
+def committed_payload(spark: SparkSession, path: str) -> str | None:
+    """The payload that a generation's manifest names; None without one."""
+    if not path_exists(spark, f"{path}/manifest/_SUCCESS"):
+        return None
+    named = spark.read.schema("payload string").json(f"{path}/manifest").first()
+    return f"{path}/{(named and named.payload) or 'payload'}"
+
+
+def read_generation(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A generation's rows; none if it isn't (or isn't yet) there."""
+    payload, none = committed_payload(spark, path), spark.createDataFrame([], schema)
+    if payload is None or not any(n.startswith("prefix=") for n in children(spark, payload)):
+        return none
+    return spark.read.schema(none.schema).parquet(payload).select(none.columns)
+
+
+def clean_generation(spark: SparkSession, path: str) -> list[str]:
+    """Remove the drafts that failed attempts at a generation left, once it is
+    there; their names."""
+    payload = committed_payload(spark, path)
+    left = [] if payload is None else [n for n in children(spark, path) if n.startswith(("payload-", "draft-")) and f"{path}/{n}" != payload]
+    for name in left:
+        remove(spark, f"{path}/{name}")
+    return left
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -215,7 +215,10 @@ def drain(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append
 
 
 def incremental_publish(blobs: DataFrame, publish, path: str) -> None:
-    """Publish each arriving batch as a delta generation.  The batch number
-    names the generation, so a repeated batch writes the same one."""
+    """Publish each arriving batch as a delta generation.
+
+    The batch number should name the generation: a batch that is repeated after
+    a crash then finds its own, or only drafts of it
+    (``sources.tables.write_generation``)."""
     query = blobs.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, number: publish(batch, number)).start()
     query.awaitTermination()
