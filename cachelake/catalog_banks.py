@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.catalog import Tables, query
+from cachelake.catalog import NORM_SQL, Tables, query
+from cachelake.operators import commands as cm
+from cachelake.operators import joins as jn
+from cachelake.operators import trees as tr
+from cachelake.operators import windows as wn
 from cachelake.plans import heads as hd
 from cachelake.sources import tables as tb
 
@@ -151,3 +155,109 @@ def _(t: Tables) -> DataFrame:
     kv = tb.read_kv_export(t.kv_lines)
     payload = kv.select(F.concat(F.lit("k"), "shard").alias("segment"), "key_hi", "key_lo")
     return hd.restore_kv_bank(kv.where("key_lo % 3 = 0").select("key_hi", "key_lo"), _listing(t), _manifests(t), payload, "P", "seed1", "F")
+
+
+# ------------------------------------------------------------------ hash trees
+
+LEAF = 16
+
+
+def _tree_sql(rows: str, tail: str, name: str = "") -> str:
+    """Views of the leaves and the levels above of trees of at most three digits."""
+    n = name
+    up = lambda d, below: f"select grp, {d} depth, substr(prefix, 1, {d}) prefix, cast(sum(n) as bigint) n, sha256(string_agg(concat(right(prefix, 1), ':', digest), '' order by concat(right(prefix, 1), ':', digest))) digest from ({below}) group by grp, substr(prefix, 1, {d})"
+    level = lambda d: f"select * from leaves{n} where depth = {d}"
+    return f"""lines{n} as (select distinct "group" grp, concat(path, chr(0), hash, chr(0)) line from ({rows})),
+    depths{n} as (select grp, case when count(*) <= {LEAF} then 0 when count(*) <= {LEAF * 4} then 1 when count(*) <= {LEAF * 64} then 2 else 3 end depth from lines{n} group by grp),
+    leaves{n} as (select grp, depth, substr(md5(line), 1, depth) prefix, count(*) n, sha256(string_agg(line, '' order by line)) digest from lines{n} join depths{n} using (grp) group by 1, 2, 3),
+    l2{n} as ({up(2, level(3))}), l1{n} as ({up(1, f"select * from l2{n} union all {level(2)}")}), l0{n} as ({up(0, f"select * from l1{n} union all {level(1)}")}),
+    tree{n} as (select * from leaves{n} union all select * from l2{n} union all select * from l1{n} union all select * from l0{n}) {tail}"""
+
+
+PAIRS = "select source \"group\", path, hash from v_blobs union all select 'all', path, hash from v_blobs"
+
+
+def _pairs(t: Tables) -> DataFrame:
+    b = t.blobs
+    return b.selectExpr("source group", "path", "hash").unionByName(b.selectExpr("'all' group", "path", "hash"))
+
+
+@query("hash_tree", f"with {_tree_sql(PAIRS, 'select grp as \"group\", depth, prefix, n, digest from tree')}")
+def _(t: Tables) -> DataFrame:
+    return tr.hash_tree(_pairs(t), LEAF)
+
+
+@query("hash_tree_roots", f"with {_tree_sql(PAIRS, 'select grp as \"group\", digest fp from tree where depth = 0')}")
+def _(t: Tables) -> DataFrame:
+    return tr.roots(tr.hash_tree(_pairs(t), LEAF))
+
+
+# The other side lacks some pairs, has others with a new hash, and some of its own.
+OTHER = "select \"group\", path, case when doc_id % 211 = 7 then upper(hash) else hash end hash from ({pairs}) where doc_id % 97 <> 5 union all select 'all', concat(path, '+'), hash from v_blobs where doc_id % 307 = 3"
+WITH_ID = "select source \"group\", path, hash, doc_id from v_blobs union all select 'all', path, hash, doc_id from v_blobs"
+DIFFERENCE_SQL = f"with a as (select distinct * from ({PAIRS})), b as (select distinct * from ({OTHER.format(pairs=WITH_ID)})) select *, 'before' side from (select * from a except select * from b) union all select *, 'after' from (select * from b except select * from a)"
+
+
+@query("hash_tree_difference", DIFFERENCE_SQL)
+def _(t: Tables) -> DataFrame:
+    b = t.blobs
+    pairs = b.selectExpr("source group", "path", "hash", "doc_id").unionByName(b.selectExpr("'all' group", "path", "hash", "doc_id"))
+    other = pairs.where("doc_id % 97 <> 5").selectExpr("group", "path", "case when doc_id % 211 = 7 then upper(hash) else hash end hash")
+    other = other.unionByName(b.where("doc_id % 307 = 3").selectExpr("'all' group", "concat(path, '+') path", "hash"))
+    return tr.set_difference(pairs.select("group", "path", "hash"), other, LEAF)
+
+
+# ------------------------------------------------------------------ canonical keys
+
+# An action for each document: its command names a file of arguments, which names
+# another; one of ten isn't there.  Its input tree has the documents of its group.
+ACTIONS = "select doc_id as action, concat('root', doc_id % 50) root from documents"
+ARGSFILES = """select concat('h', k) hash, concat('--cfg', LF, '@deep/', k, CR, LF, '--buck-target=x', k) content, concat('args/', k) path, k from (select distinct doc_id % 10 k from documents)
+    union all select concat('d', k), concat('-Cmetadata=', k), concat('deep/', k), k from (select distinct doc_id % 10 k from documents) where k <> 7"""
+
+
+@query(
+    "canonical_keys",
+    f"""with a as ({ACTIONS}), n as (select action, token, norm from (select action, token, {{NORM}} norm from v_tokens)),
+    f as (select root, path, hash from (select distinct concat('root', doc_id % 50) root from documents) cross join (select path, hash from ({ARGSFILES.replace("LF", "chr(10)").replace("CR", "chr(13)")})) union all select concat('root', doc_id % 50), concat('src/', doc_id), hash from v_blobs),
+    src as (select a.action, sha256(string_agg(concat(f.path, chr(0), f.hash, chr(0)), '' order by concat(f.path, chr(0), f.hash, chr(0)))) source from a join f using (root) where f.path not in (concat('args/', a.action % 10), concat('deep/', a.action % 10)) group by 1)
+    select action, sha256(concat('argument:-Copt-level=3', chr(0), 'argument:', norm, chr(0), 'argument:-Cmetadata=__CKEY__', chr(0), 'argument:@args/', action % 10, chr(0), 'environment:LANG=', lang, chr(0), 'output:', norm, chr(0),
+      'file:', sha256(concat('--cfg', chr(10), '@deep/', action % 10, chr(13), chr(10), '--buck-target=__CKEY__', chr(10))), chr(0), 'file:', sha256(concat('-Cmetadata=__CKEY__', chr(10))), chr(0), 'source:', source, chr(0))) as key
+    from n join src using (action) join (select action, lang from v_tokens) using (action) where action % 10 <> 7""".replace("{NORM}", NORM_SQL),
+)
+def _(t: Tables) -> DataFrame:
+    return _canonical(t)[0]
+
+
+@query("canonical_keys_failed", "select doc_id as action, 'deep/7' path from documents where doc_id % 10 = 7")
+def _(t: Tables) -> DataFrame:
+    return _canonical(t)[1]
+
+
+def _canonical(t: Tables) -> tuple[DataFrame, DataFrame]:
+    actions = t.sql(ACTIONS)
+    args = t.tokens.select("action", F.posexplode(F.array(F.lit("-Copt-level=3"), "token", F.expr("concat('-Cmetadata=', action)"), F.expr("concat('@args/', action % 10)"))).alias("pos", "token"))
+    env = t.tokens.selectExpr("action", "'LANG' name", "lang value")
+    outputs = t.tokens.selectExpr("action", "0 pos", "token path")
+    contents = t.sql(ARGSFILES.replace("LF", "chr(10)").replace("CR", "chr(13)"))
+    roots = actions.select("root").distinct()
+    files = roots.crossJoin(contents.select("path", "hash")).unionByName(t.blobs.selectExpr("concat('root', doc_id % 50) root", "concat('src/', doc_id) path", "hash"))  # at most 20 argument files
+    return cm.canonical_keys(actions, args, env, outputs, files, contents)
+
+
+# ------------------------------------------------------------------ rates
+
+
+@query(
+    "counter_rate_per_second",
+    "with b as (select user_id as worker, event_id, cast(round(value * 1000) as bigint) us, lag(cast(round(value * 1000) as bigint)) over w before, epoch_us(ts) - lag(epoch_us(ts)) over w passed from events window w as (partition by user_id order by ts, event_id)) "
+    "select worker, event_id, cast(floor(case when passed > 0 and before is not null then (case when us >= before then us - before else us end) * 1e6 / passed end * 1000) as bigint) milli_rate from b",
+)
+def _(t: Tables) -> DataFrame:
+    return wn.counter_rate_per_second(t.log, "worker", "ts", ("event_id",), "us").selectExpr("worker", "event_id", "cast(floor(rate * 1000) as bigint) milli_rate")
+
+
+@query("fetch_plan_strict_whole", "with a as (select name, id from v_artifacts where not expired qualify row_number() over (partition by name order by created_at desc, id) = 1), s as (select concat('cas-manifest-F-r', s_suppkey % 8) container, s_suppkey, cast(s_nationkey + 1 as bigint) bytes from supplier) select container, a.id artifact_id, count(*) segments, cast(sum(bytes) as bigint) bytes from s join a on a.name = s.container where not exists (select 1 from s where container not in (select name from a)) group by 1, 2")
+def _(t: Tables) -> DataFrame:
+    segments = t.supplier.selectExpr("concat('cas-manifest-F-r', s_suppkey % 8) container", "cast(s_suppkey as string) segment", "cast(s_nationkey + 1 as bigint) bytes")
+    return jn.fetch_plan(segments, t.artifacts.where("not expired"), strict=True)[0]

@@ -102,12 +102,42 @@ def scrub_counts(rows: DataFrame, verdicts: DataFrame, proven: DataFrame) -> Dat
     return checked.join(dead, "action", "left").agg(F.count("*").alias("scanned"), F.count("_dead").alias("deleted"))
 
 
+def heavy_keys(rows: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """``key`` of those that hold at least ``share`` of the rows with one: at
+    most ``1 / share``, found by a sketch of a bounded number of counters.
+
+    The sketch's counts are never too small, so none of these is missed."""
+    track = int(4 / share)
+    found = rows.where(F.col(key).isNotNull()).agg(F.count("*").alias("_rows"), F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {track})").alias("_top"))
+    each = found.select("_rows", F.explode("_top").alias("_t"))
+    return each.where(F.col("_t.count") >= F.col("_rows") * share).select(F.col("_t.item").alias(key))
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, spread: list[str], salts: int = 32) -> DataFrame:
+    """The inner join on ``key``, where pairs of ``heavy`` keys (a bounded
+    table) are spread over ``salts`` tasks each.
+
+    Rows of the right side with a heavy key are dealt by their ``spread``
+    columns, and the left side's get a copy for each salt; other keys are
+    joined as they are.  No pair is lost or made twice."""
+    marked = F.broadcast(heavy.select(key).distinct().withColumn("_heavy", F.lit(True)))  # at most 1 / share rows
+    deal = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
+    b = right.join(marked, key, "left").withColumn("_salt", deal).drop("_heavy")
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
 def locality_pref(inputs: DataFrame, holdings: DataFrame, k: int = 8) -> DataFrame:
     """``root, peer, score``: who holds most bytes of a root's ``k`` heaviest
-    files.  Ties go to the smallest peer; roots that nobody holds are absent."""
+    files.  Ties go to the smallest peer; roots that nobody holds are absent.
+
+    A file that most peers hold and most roots need makes a pair of each of
+    these; such files' pairs are spread over tasks by peer."""
     heavy = Window.partitionBy("root").orderBy(F.desc("size"), "hash")
-    top = inputs.withColumn("_n", F.row_number().over(heavy)).where(F.col("_n") <= k)
-    scored = top.join(holdings.select("peer", "hash").distinct(), "hash").groupBy("root", "peer").agg(F.sum("size").alias("score")).where("score > 0")
+    top = inputs.withColumn("_n", F.row_number().over(heavy)).where(F.col("_n") <= k).drop("_n")
+    held = holdings.select("peer", "hash").distinct()
+    scored = join_salted(top, held, "hash", heavy_keys(held, "hash"), ["peer"]).groupBy("root", "peer").agg(F.sum("size").alias("score")).where("score > 0")
     best = scored.groupBy("root").agg(F.max_by(F.struct("peer", "score"), F.struct("score", -F.col("peer"))).alias("b"))
     return best.select("root", "b.peer", "b.score")
 
@@ -145,11 +175,28 @@ def bloom_probe(probe: DataFrame, bits: DataFrame, nbits: int) -> DataFrame:
     return probe.join(lacking, "hash", "left").withColumn("maybe", F.col("_no").isNull()).drop("_no")
 
 
+def bloom_slices(blooms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries turned round: ``owners[owner, word, at]`` numbers the owners,
+    and ``slices[bit, word, owners]`` has for each bit which of 64 owners a
+    word set it, as the bits of one number."""
+    numbered = blooms.select("owner").distinct().withColumn("_n", F.row_number().over(Window.orderBy("owner")) - 1)  # a fleet's peers
+    owners = numbered.select("owner", F.floor(F.col("_n") / 64).cast("int").alias("word"), (F.col("_n") % 64).alias("at"))
+    slices = blooms.join(owners, "owner").groupBy("bit", "word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("owners"))
+    return owners, slices
+
+
 def claims(hashes: DataFrame, blooms: DataFrame, nbits: int) -> DataFrame:
-    """``hash, peer`` for each peer whose summary may have the hash."""
+    """``hash, peer`` for each peer whose summary may have the hash.
+
+    Each of a hash's bits meets one number for 64 peers, and those that all of
+    its bits have in common are its claimants; peers are only told apart where
+    they claim a hash."""
+    owners, slices = bloom_slices(blooms)
     asked = hashes.select("hash").distinct().withColumn("_bits", F.array_distinct(bloom_positions("hash", nbits)))
-    met = asked.select("hash", F.size("_bits").alias("_n"), F.explode("_bits").alias("bit")).join(blooms.select(F.col("owner").alias("peer"), "bit").distinct(), "bit")
-    return met.groupBy("hash", "peer", "_n").agg(F.count("*").alias("_got")).where("_got = _n").select("hash", "peer")
+    met = asked.select("hash", F.size("_bits").alias("_n"), F.explode("_bits").alias("bit")).join(slices, "bit")
+    common = met.groupBy("hash", "_n", "word").agg(F.count("*").alias("_got"), F.bit_and("owners").alias("_all")).where("_got = _n and _all <> 0")
+    each = common.select("hash", "word", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.bit_get("_all", i) == 1)).alias("at"))
+    return each.join(owners, ["word", "at"]).select("hash", F.col("owner").alias("peer"))
 
 
 def confirm_candidates(requests: DataFrame, blooms: DataFrame, holdings: DataFrame, nbits: int) -> DataFrame:
