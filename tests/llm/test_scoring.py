@@ -1,9 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 
+from cachelake.llm import quality as quality_parts
 from cachelake.llm.language_model import EliasFano, pack, score_documents, unpack
 from cachelake.llm.quality import quality
 from cachelake.llm.toxicity import drop_toxic, toxicity
@@ -97,4 +99,50 @@ def test_quality_is_learned(spark, sf_dir):
     got = quality(docs, labels).join(labels, "doc_id").where("held_out").select("quality", "predicted").collect()
     low = [r.predicted for r in got if r.quality == 0]
     high = [r.predicted for r in got if r.quality == 1]
-    assert sum(high) >= 0.97 * len(high) and sum(low) <= 0.35 * len(low)
+    assert sum(high) >= 0.97 * len(high) and sum(low) <= 0.15 * len(low)
+
+
+def two_views(spark, n=3000, told=300, seed=6):
+    """Pages whose words and sources both tell their quality, in part."""
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.6
+        own = rng.randrange(400) if rng.random() < 0.8 else None
+        text = " ".join(f"{'g' if (good if own is not None and rng.random() < 0.6 else rng.random() < 0.5) else 'b'}{rng.randrange(400)}" for _ in range(6))
+        source = f"{'good' if (good if rng.random() < 0.9 else not good) else 'bad'}{rng.randrange(60)}"
+        docs.append((i, text, "en", source, len(text)))
+        labels.append((i, int(good)))
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4), labels, spark.createDataFrame(labels[:told], "doc_id long, quality int")
+
+
+def test_views_teach_each_other(spark):
+    docs, truth, labels = two_views(spark)
+    right = []
+    for rounds in (0, 3):
+        got = {r.doc_id: r.predicted for r in quality(docs, labels, rounds=rounds, share=0.3, precision=0.8).collect()}
+        right.append(sum(got[i] == y for i, y in truth[300:]))
+    assert right[1] >= right[0] > 0.7 * 2700
+
+
+def test_learners_do_not_depend_on_partitions(spark):
+    docs, _, labels = two_views(spark, 600)
+    rows = quality_parts.feature_rows(docs, labels, "quality", 8192, "false", 12)
+    state = quality_parts._fit_labelled(quality_parts._sample(rows, 8192), 12)[:2]
+    weights, rest = quality_parts._weights(state, 12), quality_parts.stage(rows.where("label is null"), "test-rest")
+    counts = quality_parts.margin_counts(rest, weights)
+    assert counts.sum(1).tolist() == [300, 300]
+    cuts = [(quality_parts.BINS // 2 - 1, quality_parts.BINS // 2)] * 2
+    a, b = (quality_parts.teach(rest.repartition(k), state, weights, cuts, 600, 12) for k in (1, 5))
+    assert np.array_equal(a, b) and not np.array_equal(a, state)
+
+
+def test_cuts_keep_to_the_share_and_to_what_is_sure():
+    margin, labels = np.array([-9.0, -8, -7, -1, 1, 2, 3, 9] * 5), np.array([0, 0, 0, 1, 0, 1, 1, 1] * 5)
+    low, high = quality_parts.sure_from(margin, labels, 0.9)
+    assert quality_parts.bin_of(np.array([-7.0, 2.0])).tolist() == [low, high]
+    assert quality_parts.sure_from(margin[:2], labels[:2], 0.9) == (-1, quality_parts.BINS)
+    counts = np.zeros((2, quality_parts.BINS), np.int64)
+    counts[:, [100, 200, 3000, 4000]] = 25
+    assert quality_parts.cuts_of(counts, [(2000, 2100), (150, 5000)], 0.5, 0.5) == [(100, 4000), (100, 5000)]
+    assert quality_parts.cuts_of(counts, [(2000, 2100)] * 2, 1.0, 0.9) == [(100, 2100)] * 2
