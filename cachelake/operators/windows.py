@@ -11,10 +11,10 @@ from cachelake.operators.folds import segment_numbers
 
 def newest_per_name(artifacts: DataFrame, prefix: str | None = None) -> DataFrame:
     """The newest artifact of each name (of names with ``prefix``).  Equal
-    stamps keep the one listed first (smallest ``id``)."""
+    stamps keep the one listed first (smallest ``id``, a number)."""
     some = artifacts if prefix is None else artifacts.where(F.col("name").startswith(prefix))
-    order = Window.partitionBy("name").orderBy(F.desc("created_at"), "id")
-    return some.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    newest = some.groupBy("name").agg(F.max_by(F.struct(*artifacts.columns), F.struct("created_at", -F.col("id"))).alias("_a"))
+    return newest.select("_a.*")
 
 
 def collapse_versions(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -103,26 +103,32 @@ def quorum_latch(joins: DataFrame, min_workers: int) -> DataFrame:
 
 
 class _LatestHoldings(StatefulProcessor):
-    """The newest summary of a peer; gone when the peer leaves."""
+    """The newest summary of a peer, until it has left for good."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts timestamp, seq long, holdings string")
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "ts timestamp, seq long, holdings string, leaves boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = self.latest.get() if self.latest.exists() else None
-        changed, gone = False, False
-        for frame in rows:
-            for r in frame.sort_values(["ts", "seq"]).itertuples():
-                stamp = (pd.Timestamp(r.ts).to_pydatetime(), int(r.seq))
-                if best is not None and stamp < (best[0], best[1]):
-                    continue
-                gone = bool(r.leaves)
-                best = (*stamp, r.holdings)
-                changed = True
-        if not changed:
+        new = pd.concat(list(rows))
+        new = new.assign(holdings=new["holdings"].fillna("")).sort_values(["ts", "seq", "holdings"]).iloc[-1]
+        stamp, leaves = (pd.Timestamp(new["ts"]).to_pydatetime(), int(new["seq"])), bool(new["leaves"])
+        held = self.latest.get() if self.latest.exists() else None
+        if held is not None and (*stamp, new["holdings"]) <= (held[0], held[1], held[2] or ""):
             return
-        self.latest.update(best)
-        yield pd.DataFrame({"peer": [key[0]], "ts": [best[0]], "seq": [best[1]], "holdings": [None if gone else best[2]]})
+        self.latest.update((*stamp, new["holdings"], leaves))
+        if leaves:
+            self.handle.registerTimer(int(pd.Timestamp(stamp[0]).timestamp() * 1000) + 1)
+        yield pd.DataFrame({"peer": [key[0]], "ts": [stamp[0]], "seq": [stamp[1]], "holdings": [None if leaves else new["holdings"]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed a leave: what is older can't come any more,
+        so nothing has to be remembered unless the peer is back."""
+        if self.latest.exists():
+            ts, _, _, leaves = self.latest.get()
+            if leaves and pd.Timestamp(ts).timestamp() * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+                self.latest.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -130,8 +136,11 @@ class _LatestHoldings(StatefulProcessor):
 
 def latest_holdings(summaries: DataFrame) -> DataFrame:
     """``summaries[peer, ts, seq, holdings, leaves]`` as a stream of updates:
-    each peer's newest holdings, null once it has left."""
-    return summaries.groupBy("peer").transformWithStateInPandas(_LatestHoldings(), "peer long, ts timestamp, seq long, holdings string", "Update", "None")
+    each peer's newest holdings, null once it has left.
+
+    ``summaries`` has a watermark on ``ts``; a peer that left is forgotten once
+    that has passed.  At one time and ``seq`` the larger holdings count."""
+    return summaries.groupBy("peer").transformWithStateInPandas(_LatestHoldings(), "peer long, ts timestamp, seq long, holdings string", "Update", "EventTime")
 
 
 def latest_holdings_batch(summaries: DataFrame) -> DataFrame:
@@ -148,7 +157,7 @@ class _NegativeTtl(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.refused =handle.getValueState("refused", "until timestamp, epoch long")
+        self.refused = handle.getValueState("refused", "until timestamp, epoch long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []

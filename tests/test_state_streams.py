@@ -143,3 +143,31 @@ def test_latch_and_what_it_keeps(spark, tmp_path, n):
     want = {(r.event, r.formed) for r in sm.quorum_latch(spark.createDataFrame(rows, JOINS), 12).collect()}
     assert len(got) == len(rows) and {(e, f) for _, e, f in got} == want and {f for _, f in want} == {True, False}
     assert state <= 2 + 2 + 2 + 2  # a flag each of two fleets, two workers of the third, what waits of the last
+
+
+SUMMARIES = "peer long, ts timestamp_ntz, seq long, holdings string, leaves boolean"
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_holdings_of_peers_that_left_are_forgotten(spark, tmp_path, n):
+    rng = random.Random(n)
+    rows = [(rng.randrange(8), at(rng.randrange(300)), i, f"h{i}", False) for i in range(60)]
+    rows += [(p, at(400), 100 + p, None, True) for p in range(5)] + [(2, at(500), 200, "back", False), (7, at(100), 1, "a", False), (7, at(100), 1, "b", False)]
+    last = [(99, at(9000), -1, "end", False)]
+    frames = [*cuts(rng, rows, n), last]
+    path = f"{tmp_path}/in"
+    for k, batch in enumerate(frames):
+        spark.createDataFrame(batch, SUMMARIES).coalesce(1).write.parquet(f"{path}/{k:03d}")
+    read = spark.readStream.schema(SUMMARIES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    got, last_batch = {}, []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream = sm.latest_holdings(read.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 seconds"))
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).foreachBatch(lambda df, k: got.update({r.peer: r.holdings for r in df.collect()})).start()
+        query.awaitTermination()
+        last_batch = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {r.peer: r.holdings for r in sm.latest_holdings_batch(spark.createDataFrame(rows, SUMMARIES).where("not (peer = 7 and holdings = 'a')")).collect()}
+    assert {p: h for p, h in got.items() if p != 99} == want and want[0] is None and want[2] == "back"
+    assert last_batch <= 1 + sum(h is not None for h in want.values())
