@@ -28,6 +28,7 @@ from cachelake.llm.common import bitmap, chunks, connected_components, grouped_a
 from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
 
 GROUP_PART = 512
+LINK_PART = 512
 SHARD_KEYS = 1 << 21
 LEAST_BITS, MOST_BITS, SKETCH_PARTS = 16, 23, 64
 #: Bits of a packed key that number its set; no chunk has more.
@@ -395,6 +396,55 @@ def _group_edges(sets: DataFrame, pairs: DataFrame, keys: PrefixKeys | BandKeys)
     return first.unionByName(stage(second, "similar-across"))
 
 
+def link_counts(sets: DataFrame, found: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """``fp, links``: with how many documents each set of ``found`` (``fp,
+    component``) is linked, those with an equal set aside; ``copies`` (``fp,
+    copies``) has the documents of each set.
+
+    All links are within components, so each one's sets are compared with each
+    other, in blocks: of a large component, every two parts meet in a task that
+    holds these two.  That work is a component's square, as its links are; what
+    comes out is a number for each set and block.
+    """
+    size = found.groupBy("component").agg(F.ceil(F.count("*") / LINK_PART).cast("int").alias("parts"))
+    dealt = found.join(size, "component").join(copies, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    met = dealt.select("component", "fp", "copies", "part", other).select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "copies", "part")
+    full = met.join(sets.select("fp", "tokens"), "fp").select("component", "low", "high", "part", "fp", "copies", "tokens")
+
+    def count(rows: dict) -> pa.RecordBatch | None:
+        tokens = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+        part, weight = np.array(rows["part"]), np.array(rows["copies"], np.int64)
+        n = np.array([len(x) for x in tokens])
+        common = overlaps(tokens)
+        linked = common * (num + den) >= num * (n[:, None] + n)
+        np.fill_diagonal(linked, False)
+        if rows["low"][0] != rows["high"][0]:  # each part by itself is another block
+            linked &= part[:, None] != part
+        return pa.RecordBatch.from_arrays([pa.array(rows["fp"], pa.binary()), pa.array(linked @ weight)], names=["fp", "links"])
+
+    return grouped_arrow(full, ["component", "low", "high"], count, "fp binary, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+
+
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many tokens every two sets have in common, by products of bounded
+    slices of their incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[token] > 1  # others are in no overlap
+    number = np.cumsum(times > 1) - 1
+    token, owner = number[token[shared]], owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        a, b = np.searchsorted(token, [lo, lo + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:b], token[a:b] - lo] = 1
+        out += np.rint(part @ part.T).astype(np.int64)
+    return out
+
+
 def _pairs(members: list[int], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([members[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 

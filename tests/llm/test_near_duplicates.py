@@ -39,6 +39,37 @@ def test_join_equals_all_pairs(spark, k, num, den):
     assert len({c for _, c in want.values()}) < len(texts)
 
 
+@pytest.mark.parametrize(("seed", "part"), [(3, 512), (77, 3)])
+def test_numbers_of_links_equal_all_pairs(spark, monkeypatch, seed, part):
+    import cachelake.llm.similarity as similarity
+
+    monkeypatch.setattr(similarity, "LINK_PART", part)
+    texts = mutants(seed, families=5, each=14)
+    texts += texts[:9] + texts[:4] + ["", None]
+    sets = [shingles(t, 3) for t in texts]
+    want = [sum(bool(a and b) and i != j and 10 * len(a & b) >= 7 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    classes = components(sets, 7, 10)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 7, 10).collect()}
+    assert got == {i: (c, n) for i, (c, n) in enumerate(zip(classes, want, strict=True))}
+    # Classes of several texts, in which not all are linked with all.
+    kinds = {}
+    for c, s, n in zip(classes, sets, want, strict=True):
+        kinds.setdefault(c, {})[s] = n
+    assert any(len(k) >= 3 and len(set(k.values())) > 1 for k in kinds.values())
+
+
+def test_overlaps_in_slices():
+    import cachelake.llm.similarity as similarity
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (1, 5, 60, 200, 299)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for width in (7, 4096):
+        got = similarity.overlaps(sets, width)
+        assert (got - np.diag(np.diag(got))).tolist() == (np.array(want) - np.diag(np.diag(want))).tolist()
+    assert similarity.overlaps([np.array([1], np.uint64), np.array([2], np.uint64)]).tolist() == [[0, 0], [0, 0]]
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_large_groups_and_hot_keys_lose_no_links(spark, monkeypatch, hot):
     import cachelake.llm.similarity as similarity
