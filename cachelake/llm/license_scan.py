@@ -133,8 +133,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
 
     ``licenses`` is an array of (license, coverage, start, end), in word
     positions, sorted by start; it is empty for null and empty texts and those
-    without licenses.  Whole texts are scanned; rows are independent, so
-    repeated rows and null ids are no special case; other columns are ignored.
+    without licenses.  Of places that overlap, the one with most aligned words
+    stays; ties go to the longer cover, then to the name.  Whole texts are
+    scanned, however long; rows are independent, so repeated rows and null ids
+    are no special case; other columns are ignored; an empty table gives no rows.
     """
     known = {n: scan_words(pa.array([t]))[0] for n, t in (templates or TEMPLATES).items()}
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *known.values()]))

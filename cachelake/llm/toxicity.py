@@ -145,7 +145,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held: str = "crc32(cast(doc_id
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Rows with ``held`` true are never learned from; a null id counts as not
-    held out (and has no label).
+    held out (and has no label).  Null and empty texts get the bias's score,
+    very long ones are scored whole; repeated rows are scored alike; other
+    columns are ignored; without labels every score is 0, and an empty table
+    gives no rows.
     """
     model = train_toxicity(docs, labels, held=held)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
