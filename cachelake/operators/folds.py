@@ -106,9 +106,21 @@ def segment_numbers(items: DataFrame, group: Column, cap: int, before: bool, pie
 
     Groups may have any size.  A task holds a piece of about ``piece_rows``
     items; a group's pieces' steps, a few numbers each, are walked together.
+    Where no group has more items than that, each is a piece by itself.
     """
-    spark, path = items.sparkSession, scratch_path(items.sparkSession, "fold")
+    spark, columns = items.sparkSession, items.columns
     keyed = items.withColumn("_g", group)
+    numbered = T.StructType([*items.schema.fields, T.StructField("prefix", keyed.schema["_g"].dataType), T.StructField("segment_no", T.IntegerType())])
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        numbers = Piece(table["size"].to_numpy(), cap, before).numbers(BEGIN, 0).astype(np.int32)
+        return pa.table([*(table[c] for c in columns), table["_g"], pa.array(numbers)], names=[*columns, "prefix", "segment_no"])
+
+    largest = keyed.groupBy("_g").count().agg(F.max("count")).first()[0] or 0  # one number
+    if largest <= piece_rows:  # every group is one piece
+        return keyed.groupBy("_g").applyInArrow(whole, numbered)
+    path = scratch_path(spark, "fold")
     keyed.write.parquet(f"{path}/items")
     keyed = spark.read.schema(keyed.schema).parquet(f"{path}/items")
     pieces = max(1, -(-keyed.count() // piece_rows))
@@ -129,7 +141,6 @@ def segment_numbers(items: DataFrame, group: Column, cap: int, before: bool, pie
     keyed.repartitionByRange(pieces, "_g", "id").sortWithinPartitions("_g", "id").mapInArrow(cut, schema).write.parquet(f"{path}/pieces")
     cuts = spark.read.schema(schema).parquet(f"{path}/pieces")
     carried = cuts.where("_steps is not null").select("_g", "_piece", "_steps").groupBy("_g").applyInPandas(_carried, T.StructType([keyed.schema["_g"], *T.StructType().add("_piece", "long").add("_carry", "long").add("_before", "long").fields]))
-    columns = items.columns
 
     def number(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_g", "ascending"), ("_n", "ascending")])
@@ -140,5 +151,4 @@ def segment_numbers(items: DataFrame, group: Column, cap: int, before: bool, pie
         return pa.table([*(table[c] for c in columns), table["_g"], pa.array(out)], names=[*columns, "prefix", "segment_no"])
 
     met = cuts.drop("_steps").join(carried.withColumnRenamed("_g", "_group"), F.col("_g").eqNullSafe(F.col("_group")) & (cuts["_piece"] == carried["_piece"])).drop(carried["_piece"]).drop("_group")
-    numbered = T.StructType([*items.schema.fields, T.StructField("prefix", keyed.schema["_g"].dataType), T.StructField("segment_no", T.IntegerType())])
     return met.groupBy("_piece").applyInArrow(number, numbered)

@@ -23,13 +23,14 @@ def collapse_versions(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.where("path is not null and hash is not null").groupBy("path").agg(F.max_by("hash", F.struct(*order)).alias("hash")).orderBy("path")
 
 
-def apply_order(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``path, content_hash, source``: rows of the planned segments applied in
-    total order (rank 0 for the parent first, run, role with the driver last,
-    segment); the last write of a path wins."""
+def apply_order(rows: DataFrame, plan: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``path, content_hash, source`` and the columns ``carry``: rows of the
+    planned segments applied in total order (rank 0 for the parent first, run,
+    role with the driver last, segment); the last write of a path wins."""
     key = F.struct("rank", "run", role_order(F.col("role")).alias("role"), "segment", "content_hash")
     met = rows.join(plan, "segment")
-    return met.groupBy("path").agg(F.max_by(F.struct("content_hash", F.col("segment").alias("source")), key).alias("v")).select("path", "v.content_hash", "v.source")
+    last = met.groupBy("path").agg(F.max_by(F.struct("content_hash", F.col("segment").alias("source"), *carry), key).alias("v"))
+    return last.select("path", "v.content_hash", "v.source", *[f"v.{c}" for c in carry])
 
 
 def prefix_length_of(items: DataFrame, most: int = 1 << 20, longest: int = 16) -> int:

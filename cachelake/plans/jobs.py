@@ -78,10 +78,9 @@ def publish_blobs(index: DataFrame, heads: DataFrame, banked: DataFrame, evidenc
 
 def restore_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of all heads in total order, without failures.  ``rows`` may carry
-    ``exit_code`` by content hash."""
-    final = apply_order(rows.select("path", "content_hash", "segment"), plan)
-    codes = rows.groupBy("content_hash").agg(F.max("exit_code").alias("exit_code"))
-    return purge_failures(final.join(codes, "content_hash", "left")).select("path", "content_hash", "source", "exit_code")
+    ``exit_code``, which a content decides and so its winning row tells."""
+    final = apply_order(rows.select("path", "content_hash", "segment", "exit_code"), plan, ("exit_code",))
+    return purge_failures(final).select("path", "content_hash", "source", "exit_code")
 
 
 def publish_rows(
