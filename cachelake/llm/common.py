@@ -59,6 +59,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Have Arrow batches of at most ``rows`` rows in this session, unless it
+    has set a number of its own: batches of long texts are held several times,
+    in an executor's JVM and in its workers, and buffers once grown stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

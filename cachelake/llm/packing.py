@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import chunks, keep, shuffle_partitions, stage, text_buffer
+from cachelake.llm.common import chunks, keep, release, shuffle_partitions, stage, text_buffer
 
 GRID = 64
 MOST_PARTS = 5
@@ -241,14 +241,14 @@ class WordIds(dict):
                 self[w] = ids[a:b].tobytes()
 
 
-def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int, kept_words: int) -> DataFrame:
+def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int, kept_words: int, remember: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = keep(vocabulary, lambda: WordIds(vocabulary, kept_words))
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for _, batch in chunks(batches, "text", 4 << 20, vocabulary):
+        for _, batch in chunks(batches, "text", 4 << 20 if remember else 2 << 20, vocabulary):
             data, offsets = text_buffer(batch.column(1))
             raw = data.tobytes()
             out: list[list[int | None]] = [[] for _ in names]
@@ -261,22 +261,26 @@ def token_pieces(docs: DataFrame, most: int, vocabulary: str, end_id: int, kept_
                     for column, value in zip(out, (doc_id, piece, lo // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+        if not remember:
+            words.clear()
+            release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, most: int = 4096, vocabulary: str | None = None, end_id: int = 1, kept_words: int = 900_000) -> DataFrame:
+def pack_documents(docs: DataFrame, most: int = 4096, vocabulary: str | None = None, end_id: int = 1, kept_words: int = 900_000, remember: bool = True) -> DataFrame:
     """Pack all documents into few sequences of at most ``most`` tokens.
 
     Returns per piece ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset``.  Only documents longer than ``most`` tokens are cut.  Null and
     empty texts are the end token alone; repeated rows and null ids are packed
     like others; other columns are ignored; an empty table gives no rows.  ``kept_words`` bounds the words whose
-    ids a worker remembers (about 250 bytes each): it trades time for memory only.
+    ids a worker remembers (about 250 bytes each), and without ``remember`` it
+    forgets them after each task: both trade time for memory only.
     """
     spark = docs.sparkSession
-    pieces = stage(token_pieces(docs, most, vocabulary or default_vocabulary(), end_id, kept_words), "pack-pieces")
+    pieces = stage(token_pieces(docs, most, vocabulary or default_vocabulary(), end_id, kept_words, remember), "pack-pieces")
     # A frequent length is ranked in parts, whose first ranks come from their counts.
     parts = shuffle_partitions(spark)
     salted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
