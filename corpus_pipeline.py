@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cachelake.llm.common import stage, unused
+from cachelake.llm.common import small_batches, stage, unused
 from cachelake.llm.mixing import mix_sources
 from cachelake.llm.ngram_join import keep_one
 from cachelake.llm.packing import pack_documents
@@ -20,6 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together; without labels all stay; an empty table stays empty.  Columns
     stay as they came, whatever their names; long texts are scored whole.
     """
+    small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,6 +31,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     their texts; of rows that repeat an id and its text one stays; an empty
     table stays empty.  Columns stay as they came; long texts count whole.
     """
+    small_batches(spark)
     return keep_one(docs)
 
 
@@ -40,6 +42,7 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and empty texts stay as they are; null ids come first; repeated rows are
     one occurrence, rewritten alike; an empty table stays empty.
     """
+    small_batches(spark)
     (passages,) = unused(docs, "passages")
     return substring_dedup(docs, passages=passages).drop(passages)
 
@@ -62,7 +65,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows and null ids are packed like others; other columns are
     ignored; an empty table gives no rows.
     """
-    return pack_documents(docs, kept_words=400_000)
+    small_batches(spark)
+    return pack_documents(docs, kept_words=250_000, remember=False)
 
 
 STAGES = [
