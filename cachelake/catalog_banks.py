@@ -261,3 +261,12 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     segments = t.supplier.selectExpr("concat('cas-manifest-F-r', s_suppkey % 8) container", "cast(s_suppkey as string) segment", "cast(s_nationkey + 1 as bigint) bytes")
     return jn.fetch_plan(segments, t.artifacts.where("not expired"), strict=True)[0]
+
+
+@query("index_unchanged", "select 'all' as kind, true unchanged union all select 'less', count(*) = 0 from documents where doc_id % 50 = 7")
+def _(t: Tables) -> DataFrame:
+    index = t.blobs.selectExpr("path id")
+    recorded = tr.roots(tr.hash_tree(tr.id_set(index)))
+    less = tr.index_unchanged(t.blobs.where("doc_id % 50 <> 7").selectExpr("path id"), recorded)
+    same = tr.index_unchanged(index.unionByName(t.blobs.where("doc_id % 9 = 0").selectExpr("path id")), recorded)
+    return same.selectExpr("'all' kind", "unchanged").unionByName(less.selectExpr("'less' kind", "unchanged"))

@@ -140,3 +140,12 @@ def set_difference(a: DataFrame, b: DataFrame, leaf_rows: int = LEAF_ROWS, trees
 def id_set(ids: DataFrame) -> DataFrame:
     """A list of ids as one group's set."""
     return ids.select(F.lit("all").alias("group"), F.col("id").alias("path"), F.lit("").alias("hash"))
+
+
+def index_unchanged(index: DataFrame, recorded: DataFrame) -> DataFrame:
+    """One row ``unchanged``: whether the distinct ids of ``index`` are those
+    whose root ``recorded[fp]`` has.  An empty index is unchanged only if
+    nothing is recorded, since an empty set has no tree."""
+    now = roots(hash_tree(id_set(index))).select(F.col("fp").alias("now"))
+    both = recorded.select("fp").agg(F.max("fp").alias("fp")).crossJoin(now.agg(F.max("now").alias("now")))  # one-row tables
+    return both.select(F.col("fp").eqNullSafe(F.col("now")).alias("unchanged"))

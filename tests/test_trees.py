@@ -60,3 +60,12 @@ def test_descent_visits_only_what_differs(spark):
     depths = tr.common_depths(a, b, 16)
     leaves = tr.differing_leaves(tr.hash_tree(a, 16, depths), tr.hash_tree(b, 16, depths)).collect()
     assert [(r.group, r.prefix) for r in leaves] == [("g", hashlib.md5(b"p77\0h\0").hexdigest()[:3])]
+
+
+def test_an_index_is_known_again_by_its_root(spark):
+    ids = spark.createDataFrame([(f"p{i}",) for i in range(3000)], "id string")
+    recorded = tr.roots(tr.hash_tree(tr.id_set(ids)))
+    none = spark.createDataFrame([], "id string")
+    assert tr.index_unchanged(ids.union(ids.limit(9)).repartition(7), recorded).first().unchanged
+    assert not tr.index_unchanged(ids.where("id <> 'p5'"), recorded).first().unchanged and not tr.index_unchanged(none, recorded).first().unchanged
+    assert tr.index_unchanged(none, recorded.where("false")).first().unchanged
