@@ -8,6 +8,12 @@ head_branch, same_repo``; a table of manifests has ``artifact_id`` and the
 fields of ``sources.tables.MANIFEST``, a row each.  An artifact is trusted for
 the lineage that is its head branch, of the same repository; a container that a
 trusted manifest names only has to be live.
+
+Generations repeat what they inherit, so manifests of many generations list the
+same segments.  Instead of ``segments`` they may have ``listing``, a key into a
+table ``listings`` with a row for each segment (``listing`` and the fields of
+one); only the chain's manifests meet it, so nothing grows with manifests times
+segments.
 """
 
 from __future__ import annotations
@@ -101,12 +107,18 @@ def manifest_chain(artifacts: DataFrame, manifests: DataFrame, lineage: str, par
     return chain, ends
 
 
-def listed_segments(chain: DataFrame, manifests: DataFrame) -> DataFrame:
+def listed_segments(chain: DataFrame, manifests: DataFrame, listings: DataFrame | None = None) -> DataFrame:
     """The segments that the chain's manifests list: ``part, hop, segment,
     container`` and the rest of a segment's fields.  A generation repeats what
     it inherits, so a segment may be listed by several."""
-    met = manifests.select("artifact_id", "segments").join(chain.select("artifact_id", "part", "hop"), "artifact_id")
-    s = met.select("part", "hop", F.explode("segments").alias("s"))
+    reached = chain.select("artifact_id", "part", "hop")
+    if listings is None:
+        met = manifests.select("artifact_id", "segments").join(reached, "artifact_id")
+        s = met.select("part", "hop", F.explode("segments").alias("s"))
+    else:
+        met = manifests.select("artifact_id", "listing").join(reached, "artifact_id")
+        fields = [c for c in listings.columns if c != "listing"]
+        s = met.join(listings, "listing").select("part", "hop", F.struct(*fields).alias("s"))
     return s.select("part", "hop", F.col("s.name").alias("segment"), F.col("s.artifact").alias("container"), "s.bytes", "s.blobs", "s.prefixes", "s.run", "s.role", F.coalesce("s.full", F.lit(False)).alias("full"))
 
 
@@ -118,7 +130,7 @@ def _once(segments: DataFrame, *more: str) -> DataFrame:
 
 
 def restore_blob_bank(
-    artifacts: DataFrame, manifests: DataFrame, id_lists: DataFrame, payload: DataFrame, lineage: str, parent: str | None = None, shard: int | None = None, spill_rows: DataFrame | None = None, own_known: bool = True
+    artifacts: DataFrame, manifests: DataFrame, id_lists: DataFrame, payload: DataFrame, lineage: str, parent: str | None = None, shard: int | None = None, spill_rows: DataFrame | None = None, own_known: bool = True, listings: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Blobs of an own range, and what is known of all ranges, from a listing.
 
@@ -140,7 +152,7 @@ def restore_blob_bank(
     own = chain.where((F.col("part") == part) & (F.col("lineage") == lineage) & (F.col("hop") == 0))
     if not own_known:
         chain = chain.join(own.select("artifact_id"), "artifact_id", "left_anti")
-    listed = _once(listed_segments(chain.where(F.col("part") == part), manifests), "full")
+    listed = _once(listed_segments(chain.where(F.col("part") == part), manifests, listings), "full")
     wanted = segments_to_fetch(listed, "".join(owned_digits(shard)) if shard is not None else "").where("container is not null")
     live = provenance_filter(artifacts, "-")
     plan, missing = fetch_plan(wanted, live)
@@ -167,7 +179,7 @@ def apply_plan(segments: DataFrame, role: Column) -> DataFrame:
     return best.select("segment", "s.rank", "s.run", "s.role", "container")
 
 
-def restore_row_bank(artifacts: DataFrame, manifests: DataFrame, id_lists: DataFrame, payload: DataFrame, lineage: str, parent: str | None = None, role: str | None = None) -> dict[str, DataFrame]:
+def restore_row_bank(artifacts: DataFrame, manifests: DataFrame, id_lists: DataFrame, payload: DataFrame, lineage: str, parent: str | None = None, role: str | None = None, listings: DataFrame | None = None) -> dict[str, DataFrame]:
     """Rows of all roles, or of one role's own history, from a listing.
 
     ``payload[segment, path, content_hash, exit_code]``.  A generation's rows
@@ -177,13 +189,13 @@ def restore_row_bank(artifacts: DataFrame, manifests: DataFrame, id_lists: DataF
     """
     chain, ends = manifest_chain(artifacts, manifests, lineage, parent if role is None else None, F.col("part").startswith("ac-") if role is None else F.col("part") == f"ac-{role}")
     banked = union_ids(id_lists.join(chain.select("artifact_id"), "artifact_id", "left_semi").select("id"))
-    planned = apply_plan(listed_segments(chain, manifests).where("container is not null"), role_of(F.concat(F.lit("-"), "part")))
+    planned = apply_plan(listed_segments(chain, manifests, listings).where("container is not null"), role_of(F.concat(F.lit("-"), "part")))
     containers = provenance_filter(artifacts, "-").select(F.col("name").alias("container")).distinct()
     plan, missing = planned.join(containers, "container", "left_semi"), planned.join(containers, "container", "left_anti")
     return {"heads": chain, "ends": ends, "ids": banked, "plan": plan, "missing": missing, "rows": restore_rows(payload, plan.drop("container"))}
 
 
-def restore_kv_bank(existing: DataFrame, artifacts: DataFrame, manifests: DataFrame, payload: DataFrame, lineage: str, seed: str, parent: str | None = None) -> DataFrame:
+def restore_kv_bank(existing: DataFrame, artifacts: DataFrame, manifests: DataFrame, payload: DataFrame, lineage: str, seed: str, parent: str | None = None, listings: DataFrame | None = None) -> DataFrame:
     """A seed's key/values from a listing, all or nothing.
 
     Only heads count: the own one, or where there is none the parent's, which
@@ -192,5 +204,5 @@ def restore_kv_bank(existing: DataFrame, artifacts: DataFrame, manifests: DataFr
     """
     gate = hashlib.sha256(seed.encode()).hexdigest()[:8]
     chain, _ = manifest_chain(artifacts, manifests, lineage, parent, F.col("part") == f"kv-{gate}", follow=False)
-    segments = _once(listed_segments(chain, manifests)).select((1 - F.col("hop")).alias("lineage_rank"), F.lit(gate).alias("gate"), "segment", F.coalesce("container", F.lit("")).alias("container"), "bytes")
+    segments = _once(listed_segments(chain, manifests, listings)).select((1 - F.col("hop")).alias("lineage_rank"), F.lit(gate).alias("gate"), "segment", F.coalesce("container", F.lit("")).alias("container"), "bytes")
     return restore_kv(existing, segments, payload, provenance_filter(artifacts, "-"), seed)

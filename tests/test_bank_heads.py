@@ -124,3 +124,29 @@ def test_key_values_are_all_or_nothing_and_only_heads_count(spark):
     assert restored([parent, *box], rows) == ["k2", "k3", "old"]
     broken = [(2, "main", 1, None, None, [("k2", 1, "", "box-1", None, None), ("k3", 1, "", "box-2", None, None)])]
     assert restored([parent, *box], broken) == ["old"] and restored(box, rows) == ["old"]
+
+
+def test_listings_give_what_segments_give_and_only_the_chains_are_read(spark):
+    """Manifests off the chain would list without end; none of them is met."""
+    artifacts = listing(spark, [art(1, "dev", "r0", 9), art(2, "dev", "r1", 9), (100, "box-1", 1, None, False, False)])
+    pointers = spark.createDataFrame([(1, "dev", 1, None, None, 7), (2, "dev", 1, None, None, 7), (3, "old", 1, None, None, 8)], "artifact_id long, lineage string, generation long, parent_lineage string, parent_generation long, listing int")
+    row = "name string, bytes long, blobs long, prefixes string, artifact string, run long, role string, `full` boolean"
+    segments = spark.createDataFrame([(7, "s1", 10, 1, "0", "box-1", None, None, False), (7, "s2", 10, 1, "1", "box-9", None, None, False), (8, "s3", 10, 1, "0", "box-1", None, None, False)], f"listing int, {row}")
+    whole = manifests(spark, [(1, "dev", 1, None, None, (both := [("s1", 10, "0", "box-1", None, None), ("s2", 10, "1", "box-9", None, None)])), (2, "dev", 1, None, None, both), (3, "old", 1, None, None, [("s3", 10, "0", "box-1", None, None)])])
+    ids = spark.createDataFrame([], "artifact_id long, id string")
+    payload = spark.createDataFrame([("s1", "0a", 5), ("s2", "1b", 5), ("s3", "0c", 5)], "segment string, hash string, bytes long")
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    a = hd.restore_blob_bank(artifacts, whole, ids, payload, "dev", None, 0)
+    b = hd.restore_blob_bank(artifacts, pointers, ids, payload, "dev", None, 0, listings=segments)
+    for name in ("blobs", "missing", "plan", "status"):
+        assert sorted(map(str, a[name].collect())) == sorted(map(str, b[name].collect())), name
+    assert [tuple(r) for r in b["blobs"].collect()] == [("0a", 5)]
+    chain = spark.createDataFrame([(1, "r0", 0)], "artifact_id long, part string, hop int")
+    listed = hd.listed_segments(chain, pointers, segments).mapInArrow(count, "part string, hop int, segment string, container string, bytes long, blobs long, prefixes string, run long, role string, `full` boolean")
+    assert {r.segment for r in listed.collect()} == {"s1", "s2"} and met.value == 2
