@@ -1000,12 +1000,18 @@ def _(t: Tables) -> DataFrame:
 
 
 ROW_ITEMS = "select distinct concat(substr(md5(concat(path,' ',content_hash)),1,4),'|',path,' ',content_hash) as id, length(content) as size, 'ac' bank from v_versions where qty % 5 <> 0 and (path, content_hash) not in (select path, content_hash from v_versions where l_orderkey % 2 = 0)"
-BANKS_SQL = f"select *, 'cas' bank from ({PUBLISH_ITEMS}) union all {ROW_ITEMS}"
-ALL_SQL = pack_sql(BANKS_SQL, "bank || substr(id,1,1)", "w.acc + o.size > case when w.prefix like 'cas%' then 20000 else 100000 end")
-ALL_META = "select case when prefix like 'cas%' then 'cas' else 'ac' end bank, concat('seg-', substr(sha256(string_agg(concat(id, chr(10)), '' order by id)),1,16)) as name, count(*) blobs, cast(sum(size) as bigint) bytes, case when prefix like 'cas%' then right(prefix,1) else '*' end prefixes, false as \"full\" from packed group by prefix, segment_no"
+def _all_sql(most: int = 1 << 20) -> str:
+    """Segments of both banks; a bank with more than ``most`` items under a digit takes longer prefixes."""
+    length = lambda longest: "1" + "".join(f" + (count(*) over () > {most * 16**i})::int" for i in range(longest - 1) if most * 16**i < 1 << 62)
+    banks = f"select id, size, 'cas' bank, {length(16)} len from ({PUBLISH_ITEMS}) union all select id, size, bank, {length(4)} from ({ROW_ITEMS})"
+    packed = pack_sql(banks, "bank || substr(id,1,len)", "w.acc + o.size > case when w.prefix like 'cas%' then 20000 else 100000 end")
+    return f"{packed[: packed.rindex('select id, size, prefix')].rstrip()}, packed as (select id, size, prefix, segment_no from walk) {ALL_META}"
 
 
-@query("publish_all", f"{ALL_SQL[: ALL_SQL.rindex('select id, size, prefix')].rstrip()}, packed as (select id, size, prefix, segment_no from walk) {ALL_META}")
+ALL_META = "select case when prefix like 'cas%' then 'cas' else 'ac' end bank, concat('seg-', substr(sha256(string_agg(concat(id, chr(10)), '' order by id)),1,16)) as name, count(*) blobs, cast(sum(size) as bigint) bytes, case when prefix like 'cas%' then substr(prefix,4,1) else '*' end prefixes, false as \"full\" from packed group by prefix, segment_no"
+
+
+@query("publish_all", _all_sql())
 def _(t: Tables) -> DataFrame:
     return jb.publish_all(_published(t), _row_publish(t))
 
