@@ -205,4 +205,6 @@ def restore_kv_bank(existing: DataFrame, artifacts: DataFrame, manifests: DataFr
     gate = hashlib.sha256(seed.encode()).hexdigest()[:8]
     chain, _ = manifest_chain(artifacts, manifests, lineage, parent, F.col("part") == f"kv-{gate}", follow=False)
     segments = _once(listed_segments(chain, manifests, listings)).select((1 - F.col("hop")).alias("lineage_rank"), F.lit(gate).alias("gate"), "segment", F.coalesce("container", F.lit("")).alias("container"), "bytes")
-    return restore_kv(existing, segments, payload, provenance_filter(artifacts, "-"), seed)
+    path = scratch_path(artifacts.sparkSession, "kv-segments")
+    segments.write.parquet(path)  # read four times
+    return restore_kv(existing, artifacts.sparkSession.read.schema(segments.schema).parquet(path), payload, provenance_filter(artifacts, "-"), seed)
