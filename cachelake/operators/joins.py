@@ -128,16 +128,29 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, s
     return a.join(b, [key, "_salt"]).drop("_salt")
 
 
+HOLDERS = 256
+
+
 def locality_pref(inputs: DataFrame, holdings: DataFrame, k: int = 8) -> DataFrame:
     """``root, peer, score``: who holds most bytes of a root's ``k`` heaviest
     files.  Ties go to the smallest peer; roots that nobody holds are absent.
 
-    A file that most peers hold and most roots need makes a pair of each of
-    these; such files' pairs are spread over tasks by peer."""
+    A file's holders travel to its roots as lists of about ``HOLDERS`` peers and
+    are told apart there, so what is shuffled is a list, not a row, for each
+    file of a root.  A file that most peers hold and most roots need makes many
+    lists for each of these; such files' are spread over tasks."""
     heavy = Window.partitionBy("root").orderBy(F.desc("size"), "hash")
-    top = inputs.withColumn("_n", F.row_number().over(heavy)).where(F.col("_n") <= k).drop("_n")
+    top = inputs.withColumn("_n", F.row_number().over(heavy)).where((F.col("_n") <= k) & (F.col("size") > 0)).drop("_n")
     held = holdings.select("peer", "hash").distinct()
-    scored = join_salted(top, held, "hash", heavy_keys(held, "hash"), ["peer"]).groupBy("root", "peer").agg(F.sum("size").alias("score")).where("score > 0")
+    lists = F.pmod(F.xxhash64("peer"), F.ceil(F.col("_holders") / HOLDERS))
+    counted = held.groupBy("hash").agg(F.count("*").alias("_holders")).where(F.col("_holders") > HOLDERS)
+    many = held.join(counted, "hash").groupBy("hash", lists.alias("_list")).agg(F.collect_list("peer").alias("_peers"))
+    few = held.join(counted, "hash", "left_anti").groupBy("hash").agg(F.collect_list("peer").alias("_peers")).select("hash", F.lit(0).cast("long").alias("_list"), "_peers")
+    listed = few.unionByName(many)
+    met = join_salted(top, listed, "hash", heavy_keys(held, "hash"), ["_list"]).select("root", "size", "_peers")
+    tasks = 4 * int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sized by pairs, which are more than the lists' bytes say
+    each = met.repartition(tasks, "root").select("root", "size", F.explode("_peers").alias("peer"))
+    scored = each.groupBy("root", "peer").agg(F.sum("size").alias("score"))
     best = scored.groupBy("root").agg(F.max_by(F.struct("peer", "score"), F.struct("score", -F.col("peer"))).alias("b"))
     return best.select("root", "b.peer", "b.score")
 

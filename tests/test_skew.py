@@ -1,6 +1,7 @@
 """Hot keys: found by a bounded sketch, their pairs spread, none lost."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,25 @@ def test_rates_by_the_time_between_beats(spark):
     df = spark.createDataFrame(rows, "source string, s long, n int, counter long").withColumn("ts", F.timestamp_seconds("s"))
     got = {r.n: r.rate for r in wn.counter_rate_per_second(df, tie=("n",)).collect()}
     assert got == {1: None, 2: 5.0, 3: None, 4: 50.0, 5: None}
+
+
+def test_locality_shuffles_lists_of_holders_not_pairs(spark):
+    """Files with more holders than a list has, ties and a file of no size."""
+    from cachelake.operators import joins as jn
+
+    inputs = [(r, f"h{(r * 7 + i) % 40}", (r + i) % 5) for r in range(30) for i in range(10)]
+    holdings = [(p, f"h{h}") for h in range(38) for p in range(1200 if h == 3 else 5 + h) if (p + h) % 3]
+    df = jn.locality_pref(spark.createDataFrame(inputs, "root long, hash string, size long"), spark.createDataFrame(holdings, "peer long, hash string"))
+    want = {}
+    for root in range(30):
+        scores = {}
+        for _, h, size in sorted((x for x in inputs if x[0] == root), key=lambda x: (-x[2], x[1]))[:8]:
+            for p, held in holdings:
+                if held == h:
+                    scores[p] = scores.get(p, 0) + size
+        best = min(((-s, p) for p, s in scores.items() if s > 0), default=None)
+        if best:
+            want[root] = (best[1], -best[0])
+    assert {r.root: (r.peer, r.score) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(root#\d+L?, peer#", plan)
