@@ -18,6 +18,7 @@ from cachelake.operators.filters import provenance_filter, purge_failures, verif
 from cachelake.operators.joins import delta_by_id, delta_by_key, delta_by_version, fetch_plan, segments_to_fetch
 from cachelake.operators.sets import recent_spills, split_range
 from cachelake.operators.windows import apply_order, collapse_versions, newest_per_name, pack_greedy, pack_until_full, prefix_length_of
+from cachelake.sources.storage import scratch_path
 from cachelake.sources.tables import insert_or_ignore, write_generation
 
 
@@ -90,7 +91,8 @@ def publish_rows(
 
     With the bank's ``heads`` and their ``evidence``, a full pack of all rows
     replaces it if the policy asks for that and it wouldn't shed lines.
-    Nothing is staged while the own state is unknown.
+    Nothing is staged while the own state is unknown.  A content hash has no
+    space, so distinct pairs have distinct lines.
     """
     ok = purge_failures(rows)
     line = F.concat("path", F.lit(" "), "content_hash").alias("id")
@@ -98,7 +100,11 @@ def publish_rows(
     new = ok if full else delta_by_version(ok, banked)
     if lookup_state == "unknown":
         new = new.where(F.lit(False))
-    items = new.select(line, F.col("bytes").alias("size")).distinct()
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "new-rows")
+    new = new.select("path", "content_hash", "bytes").distinct()
+    new.write.parquet(path)  # read for its number, to pack it and for the id list
+    new = spark.read.schema(new.schema).parquet(path)
+    items = new.select(line, F.col("bytes").alias("size"))
     packed = pack_greedy(items.withColumn("id", F.concat(F.substring(F.md5("id"), 1, 4), F.lit("|"), "id")), cap, prefix_length_of(items, longest=4)).withColumnRenamed("size", "bytes")
     stamped = agg.segment_meta(packed, ["prefix", "segment_no"]).withColumns({"run": F.lit(run), "role": F.lit(role), "full": F.lit(full)})
     listed = new.select("path", F.col("content_hash").alias("hash"), F.lit(1).alias("seq"))

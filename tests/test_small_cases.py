@@ -183,3 +183,21 @@ def test_quorum_latches_with_the_join_that_completes_it(spark):
     joins = spark.createDataFrame(data, "fleet string, ts int, event int, worker string")
     assert {r["event"] for r in sm.quorum_latch(joins, 2).where("formed").collect()} == {3, 4, 7}
     assert sm.quorum_latch(joins.limit(0), 2).count() == 0
+
+
+def test_publish_rows_reads_its_rows_once(spark):
+    from cachelake.plans import jobs as jb
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "path string, content_hash string, bytes long, exit_code int"
+    rows = spark.createDataFrame([(f"p{i % 40}", f"h{i % 60}", 5, 0) for i in range(200)], schema).mapInArrow(count, schema)
+    banked = spark.createDataFrame([("p1", "h1"), ("p2", "old")], "path string, content_hash string")
+    out = jb.publish_rows(rows, banked, 7, "driver", 100)
+    assert out["packed"].count() == 119 and out["ids"].count() == 40
+    assert read.value == 200
