@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,51 +24,114 @@ def _ms(ts: object) -> int:
     return -(-pd.Timestamp(ts).value // 1_000_000)
 
 
+def _all_ms(ts: pd.Series) -> np.ndarray:
+    return -(-ts.astype("datetime64[us]").astype("int64").to_numpy() // 1000)
+
+
 class InOrder(StatefulProcessor):
     """Keeps a key's rows until the watermark has passed them, and hands them
-    over in the order of ``ts`` and ``order``."""
+    over in the order of ``ts`` and ``order``.
+
+    They wait packed, by slots of time, so what is in memory is a block of
+    arriving rows or one slot's."""
 
     schema: str
     order: list[str]
+    slot_ms = 6 * 3600 * 1000
+    block_rows = 1 << 18
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.columns = [c.split()[0] for c in self.schema.split(", ")]
-        self.waiting = handle.getListState("waiting", self.schema)
-
-    def keep(self, rows: pd.DataFrame) -> None:
-        if not len(rows):
-            return
-        kinds = {"timestamp": lambda v: pd.Timestamp(v).to_pydatetime(), "long": int, "string": str}
-        columns = []
-        for field in self.schema.split(", "):
-            name, kind = field.split()
-            columns.append([None if pd.isna(v) else kinds[kind](v) for v in rows[name]])
-        self.waiting.appendList(list(zip(*columns, strict=True)))
-        self.handle.registerTimer(_ms(rows["ts"].min()))
+        self.waiting = handle.getMapState("waiting", "slot long, part long", "rows binary")
+
+    def keep(self, frames: Iterator[pd.DataFrame]) -> None:
+        block, n, least = [], 0, None
+        part = began = 1 + max((p for _, p in self.waiting.keys()), default=-1)
+
+        def write() -> None:
+            nonlocal part, least
+            rows = pd.concat(block)
+            ms = _all_ms(rows["ts"])
+            least = int(ms.min()) if least is None else min(least, int(ms.min()))
+            for slot, some in rows.groupby(ms // self.slot_ms):
+                self.waiting.updateValue((int(slot), part), (_packed(some),))
+            part += 1
+
+        for frame in frames:
+            if len(frame):
+                block.append(frame[self.columns])
+                n += len(frame)
+            if n >= self.block_rows:
+                write()
+                block, n = [], 0
+        if n:
+            write()
+        if part != began:
+            self.handle.registerTimer(least)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.keep(pd.concat(list(rows)))
+        self.keep(rows)
         return iter([])
 
+    def slots(self) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for slot, part in self.waiting.keys():
+            found.setdefault(slot, []).append(part)
+        return dict(sorted(found.items()))
+
+    def take(self, slot: int, parts: list[int]) -> pd.DataFrame:
+        rows = pd.concat([_unpacked(self.waiting.getValue((slot, p))[0]) for p in parts])
+        for p in parts:
+            self.waiting.removeKey((slot, p))
+        return rows
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
-        passed = rows["ts"].map(_ms) <= timerValues.getCurrentWatermarkInMs()
-        if not passed.any():  # another timer's turn had them all
-            return
-        self.waiting.clear()
-        self.keep(rows[~passed])
-        out = self.step(key, rows[passed].sort_values(["ts", *self.order]))
-        if out is not None and len(out):
-            yield out
+        now, last, rest = timerValues.getCurrentWatermarkInMs(), None, None
+        slots = self.slots()
+        for slot, parts in slots.items():
+            if slot * self.slot_ms > now:
+                break
+            rows = self.take(slot, parts)
+            passed = _all_ms(rows["ts"]) <= now
+            rest = rows[~passed] if not passed.all() else rest
+            if passed.any():
+                some = rows[passed].sort_values(["ts", *self.order])
+                last = some["ts"].iloc[-1]
+                out = self.step(key, some)
+                if out is not None and len(out):
+                    yield out
+        if rest is not None:
+            self.keep([rest])
+        else:
+            later = [s for s in slots if s * self.slot_ms > now]
+            if later:  # no sooner than the slot begins
+                self.handle.registerTimer(later[0] * self.slot_ms)
+        if last is not None:
+            self.after(last)
 
     def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
         raise NotImplementedError
 
+    def after(self, last: pd.Timestamp) -> None:
+        """All rows up to ``last`` were taken."""
+
     def close(self) -> None:
         pass
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(rows).read_pandas()
+
+
 # ------------------------------------------------------------ verdict memos
 
 
@@ -82,13 +147,14 @@ class _VerdictMemo(InOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.epoch = handle.getValueState("epoch", "n long")
+        self.left = False
+        self.held: dict[int, tuple | None] = {}
+        self.changed: set[int] = set()
         self.memos = handle.getMapState("memos", "action long", "servable long, until timestamp")
 
     def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
         epoch = began = self.epoch.get()[0] if self.epoch.exists() else 0
-        held: dict[int, tuple | None] = {}
-        changed: set[int] = set()
-        out = []
+        held, out = self.held, []
         for ts, seq, action, kind, verdict in rows.itertuples(index=False, name=None):
             if kind == "departure":
                 epoch += 1
@@ -112,20 +178,28 @@ class _VerdictMemo(InOrder):
                 out.append((action, ts, int(seq), verdict, reused))
             if new != held[action]:
                 held[action] = new
-                changed.add(action)
-        for action in changed:
-            if held[action] is None:
-                self.memos.removeKey((action,))
-            else:
-                self.memos.updateValue((action,), held[action])
+                self.changed.add(action)
         if epoch != began:
             self.epoch.update((epoch,))
-            now = rows["ts"].iloc[-1]
-            for (action,), (servable, until) in list(self.memos.iterator()):  # what no departure left valid goes
-                if (servable is None or servable != epoch) and (until is None or pd.Timestamp(until) <= now):
-                    self.memos.removeKey((action,))
+            self.left = True
         return pd.DataFrame(out, columns=["action", "ts", "seq", "verdict", "reused"]) if out else None
 
+    def after(self, last: pd.Timestamp) -> None:
+        """Memos are read and written once for all slots; what no departure
+        left valid goes."""
+        for action in self.changed:
+            if self.held[action] is None:
+                self.memos.removeKey((action,))
+            else:
+                self.memos.updateValue((action,), self.held[action])
+        self.held, self.changed = {}, set()
+        if not self.left:
+            return
+        self.left, (epoch,) = False, self.epoch.get()
+        for (action,), (servable, until) in list(self.memos.iterator()):
+            if (servable is None or servable != epoch) and (until is None or pd.Timestamp(until) <= last):
+                self.memos.removeKey((action,))
+
 
 def verdict_memo(lookups: DataFrame, departures: DataFrame, ttl_s: int = 120, buckets: int = 256) -> DataFrame:
     """``lookups[action, ts, seq, kind, verdict]`` with the verdicts that both
@@ -153,60 +227,67 @@ def verdict_memo(lookups: DataFrame, departures: DataFrame, ttl_s: int = 120, bu
 
 
 class _Stragglers(StatefulProcessor):
-    """A job's open starts, each with a timer that an end in time cancels."""
+    """The open starts of a bucket's jobs and the ends that may yet count, as
+    columns; one timer, for the earliest deadline."""
 
     def __init__(self, least_s: int):
         self.least = pd.Timedelta(seconds=least_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getListState("known", "ts timestamp, ends boolean")
+        self.known = handle.getValueState("known", "named binary, job binary, ts binary, ends binary")
+
+    def load(self) -> list[pd.DataFrame]:
+        held = self.known.get()
+        if held is None:
+            return []
+        kinds = (bool, np.int64, np.int64, bool)
+        named, job, ts, ends = (np.frombuffer(v, k) for v, k in zip(held, kinds, strict=True))
+        return [pd.DataFrame({"named": named, "job": job, "ts": ts.view("datetime64[us]"), "ends": ends})]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        known = [(pd.Timestamp(t), e) for t, e in self.known.get()] + [(pd.Timestamp(t), bool(e)) for t, e in zip(new["ts"], new["ends"], strict=True)]
-        ends = sorted({t for t, e in known if e})
-        starts = {t for t, e in known if not e}
-        cut = {s for s in starts if any(s < t <= s + self.least for t in ends)}
-        timers = set(self.handle.listTimers())
-        for s in cut:
-            if _ms(s + self.least) in timers and not any(_ms(s + self.least) == _ms(o + self.least) for o in starts - cut):
-                self.handle.deleteTimer(_ms(s + self.least))
-        for s in starts - cut:
-            self.handle.registerTimer(_ms(s + self.least))
-        self.hold(starts - cut, ends, timerValues)
+        new = [pd.DataFrame({"named": r["job"].notna(), "job": r["job"].fillna(0).astype("int64"), "ts": r["ts"].astype("datetime64[us]"), "ends": r["ends"].astype(bool)}) for r in rows]
+        known = pd.concat([*self.load(), *new]).drop_duplicates().sort_values("ts")
+        starts, ends = known[~known["ends"]], known[known["ends"]]
+        after = pd.merge_asof(starts, ends.assign(end=ends["ts"]).drop(columns="ends"), on="ts", by=["named", "job"], direction="forward", allow_exact_matches=False)
+        cut = (after["end"] <= after["ts"] + self.least).to_numpy()
+        self.hold(starts[~cut], ends, timerValues)
         return iter([])
 
-    def hold(self, starts: set, ends: list, timerValues) -> None:
+    def hold(self, starts: pd.DataFrame, ends: pd.DataFrame, timerValues) -> None:
         """An end counts for starts before it: once the watermark has passed
         it, all of these are known."""
-        ends = [t for t in ends if _ms(t) > timerValues.getCurrentWatermarkInMs()]
-        for t in ends:
-            self.handle.registerTimer(_ms(t))  # to forget it
-        if starts or ends:
-            self.known.put([(s.to_pydatetime(), False) for s in sorted(starts)] + [(t.to_pydatetime(), True) for t in ends])
+        ends = ends[_all_ms(ends["ts"]) > timerValues.getCurrentWatermarkInMs()]
+        both = pd.concat([starts, ends])
+        if len(both):
+            self.known.update(tuple(both[c].to_numpy().astype(k).tobytes() for c, k in (("named", bool), ("job", np.int64), ("ts", "datetime64[us]"), ("ends", bool))))
+            self.handle.registerTimer(int(min([*_all_ms(starts["ts"] + self.least), *_all_ms(ends["ts"])])))  # an end's is to forget it
         else:
             self.known.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = [(pd.Timestamp(t), e) for t, e in self.known.get()]
-        late = sorted(t for t, e in known if not e and _ms(t + self.least) <= timerValues.getCurrentWatermarkInMs())
-        self.hold({t for t, e in known if not e} - set(late), [t for t, e in known if e], timerValues)
-        if late:
-            yield pd.DataFrame({"job": [key[0]] * len(late), "ts": late})
+        for known in self.load():
+            starts = known[~known["ends"]]
+            late = _all_ms(starts["ts"] + self.least) <= timerValues.getCurrentWatermarkInMs()
+            self.hold(starts[~late], known[known["ends"]], timerValues)
+            if late.any():
+                some = starts[late]
+                yield pd.DataFrame({"job": some["job"].astype("Int64").where(some["named"]), "ts": some["ts"]})
 
     def close(self) -> None:
         pass
 
 
-def straggler_stream(events: DataFrame, least_s: int = 10) -> DataFrame:
+def straggler_stream(events: DataFrame, least_s: int = 10, buckets: int = 256) -> DataFrame:
     """``job, ts`` of starts that nothing ended within ``least_s``.
 
     ``events[job, ts, ends]`` has the starts of jobs that aren't bound to a
     worker and, with ``ends``, what ends a wait: a finish, a race or a start
-    anew.  A start's timer is cancelled by an end in time and fires once the
-    watermark has passed ``least_s`` after it."""
-    return events.select("job", "ts", "ends").groupBy("job").transformWithStateInPandas(_Stragglers(least_s), "job long, ts timestamp", "Append", "EventTime")
+    anew.  A start that an end in time cuts is forgotten at once; others come
+    out once the watermark has passed ``least_s`` after them.  Jobs are dealt
+    to ``buckets``, which can't be changed for a running stream."""
+    bucket = F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int").alias("bucket")
+    return events.select(bucket, "job", "ts", "ends").groupBy("bucket").transformWithStateInPandas(_Stragglers(least_s), "job long, ts timestamp", "Append", "EventTime")
 
 
 def stragglers_within(events: DataFrame, least_s: int = 10) -> DataFrame:
@@ -250,37 +331,36 @@ class _Latch(InOrder):
         self.workers = handle.getMapState("workers", "worker long", "joined boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
         if not self.formed.exists():
-            self.keep(new)
+            self.keep(rows)
         else:  # the watermark has passed what formed it, so all that comes is later
-            yield self.said(key, new["event"], True)
+            for new in rows:
+                yield self.said(key, new["event"], True)
 
     def said(self, key: tuple, events: pd.Series, formed: object) -> pd.DataFrame:
         return pd.DataFrame({"fleet": [key[0]] * len(events), "event": events.astype("int64").values, "formed": formed})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.formed.exists() and self.waiting.exists():
-            rest = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
-            self.waiting.clear()
-            if len(rest):
+        if self.formed.exists():
+            for slot, parts in self.slots().items():
+                rest = self.take(slot, parts)
                 yield self.said(key, rest["event"], True)
 
     def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
         if self.formed.exists():
             return self.said(key, rows["event"], True)
         known = {w for (w,) in self.workers.keys()}
-        flags = []
-        for worker in rows["worker"].tolist():
-            if len(known) < self.min_workers and worker not in known:
-                known.add(worker)
-                self.workers.updateValue((int(worker),), (True,))
-            flags.append(len(known) >= self.min_workers)
-        if flags and flags[-1]:
-            self.formed.update((True,))
-            self.workers.clear()
-        return self.said(key, rows["event"], flags)
+        first = rows["worker"].drop_duplicates()
+        new = first[~first.isin(known)].iloc[: self.min_workers - len(known)]
+        for worker in new.tolist():
+            self.workers.updateValue((int(worker),), (True,))
+        if len(known) + len(new) < self.min_workers:
+            return self.said(key, rows["event"], False)
+        self.formed.update((True,))
+        self.workers.clear()
+        at = int(np.flatnonzero((rows["worker"] == new.iloc[-1]).to_numpy())[0])
+        return self.said(key, rows["event"], np.arange(len(rows)) >= at)
 
 
 def latch_stream(joins: DataFrame, min_workers: int) -> DataFrame:

@@ -171,3 +171,52 @@ def test_holdings_of_peers_that_left_are_forgotten(spark, tmp_path, n):
     want = {r.peer: r.holdings for r in sm.latest_holdings_batch(spark.createDataFrame(rows, SUMMARIES).where("not (peer = 7 and holdings = 'a')")).collect()}
     assert {p: h for p, h in got.items() if p != 99} == want and want[0] is None and want[2] == "back"
     assert last_batch <= 1 + sum(h is not None for h in want.values())
+
+
+def test_stragglers_wait_with_one_timer(spark, tmp_path):
+    rows = [(1, at(i), False) for i in range(300)]
+    got, state = run(spark, lambda e: ss.straggler_stream(e, 10_000), [(EVENTS, [rows])], tmp_path, "timers")
+    assert got == [] and state <= 2
+
+
+class Handle:
+    """State of one key in dictionaries."""
+
+    def __init__(self):
+        self.written = 0
+
+    def getMapState(self, name, *_):
+        handle, held = self, {}
+
+        class State:
+            def updateValue(self, key, value):
+                handle.written += 1
+                held[key] = value
+
+            def keys(self):
+                return iter(list(held))
+
+        return State()
+
+    def getValueState(self, *_):
+        return type("State", (), {"get": lambda s: None, "exists": lambda s: False})()
+
+    def registerTimer(self, ms):
+        pass
+
+
+@pytest.mark.parametrize("make", [lambda: ss._Latch(2), lambda: ss._VerdictMemo(60)])
+def test_arriving_rows_are_kept_block_by_block(make):
+    import pandas as pd
+
+    processor, handle = make(), Handle()
+    processor.block_rows = 10
+    processor.init(handle)
+
+    def frames():
+        for i in range(10):
+            assert handle.written >= i  # all rows before are in state, none is held
+            yield pd.DataFrame({"ts": [at(i)] * 10, "event": range(10), "worker": range(10), "seq": range(10), "action": range(10), "kind": "lookup", "verdict": "HIT"})
+
+    list(processor.handleInputRows(("k",), frames(), None))
+    assert handle.written == 10
