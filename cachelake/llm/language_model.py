@@ -428,9 +428,7 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(doc_id as string))
             h, w, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         del h_all, w_all, n_all
         order, start, _ = _runs(h, w)
-        pair = np.empty(len(order), np.int64)  # of each occurrence, its pair's number
-        pair[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
-        count = np.bincount(pair, n, len(start)).astype(np.int64)
+        count = np.add.reduceat(n[order].astype(np.int64), start) if len(order) else np.zeros(0, np.int64)
         contexts, at = np.unique(h[order][start], return_inverse=True)
         successor = w[order][start]
         del h, w, n, order
@@ -441,15 +439,12 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(doc_id as string))
             shares = (np.bincount(of, np.concatenate([x[1] for x in counts]) + 1.0) / (n_train + n_words + 1))[np.searchsorted(codes, successor)]
         trie = Trie(contexts, np.bincount(at, count, len(contexts)), (at, successor, count), shares)
         del successor, at, shares, counts
-        p = trie.p_value[trie.p]
         sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        lo = 0
         for chunk, blob in learned:
-            _, per, _, doc, count = unpack(blob)
-            hi = lo + len(doc)
-            own, (total,) = _per_doc(doc, p[pair[lo:hi]] * count)
+            h, per, code, doc, count = unpack(blob)
+            value, _ = trie.score(np.repeat(h, per), from_low_bytes(code, RELATIVE_BITS // 8))
+            own, (total,) = _per_doc(doc, value * count)
             sums.setdefault(chunk, []).append((own, total))
-            lo = hi
         rest: list[tuple[np.ndarray, ...]] = []
         for chunk, blob in asked:
             h, per, w, doc, count = unpack(blob)
