@@ -7,7 +7,10 @@
    shards as packed words; those that the sketch counts often travel as rows,
    which Spark aggregates before and after the shuffle, so that no task holds
    a hot key.  Of each key, the least set is the pivot of all others.
-3. Only sets that share a key with another are fetched, each once.  A pivot's
+3. Most sets share a key by chance only.  A set's signature, which has about as
+   many bits as the set has tokens, bounds from below by how many tokens two
+   sets differ; groups are cut where that rules all links out.
+4. Only sets that may still be linked are fetched, each once.  A pivot's
    group is joined as a whole; a large one is cut into parts that all hold the
    pivot.  What isn't joined with its group's main component by then goes to
    the group's other parts in a second pass.
@@ -15,6 +18,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -24,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import bitmap, chunks, connected_components, grouped_arrow, in_bitmap, mix, release, shard_of, shuffle_partitions, stage
+from cachelake.llm.common import bitmap, chunks, connected_components, grouped_arrow, in_bitmap, may_be_among, mix, release, shard_of, shuffle_partitions, stage
 from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
 
 GROUP_PART = 512
 LINK_PART = 512
+#: Groups of up to so many sets are cut by their signatures.
+SIGNED_GROUP = 8192
+LEAST_SIGN, MOST_SIGN = 64, 1 << 14
 SHARD_KEYS = 1 << 21
 LEAST_BITS, MOST_BITS, SKETCH_PARTS = 16, 23, 64
 #: Bits of a packed key that number its set; no chunk has more.
@@ -72,6 +79,50 @@ def fingerprints(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+# ---------------------------------------------------------------- signatures
+
+
+def signatures(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of which of its slots an odd number of tokens
+    falls into.  It has as many bits as the set has tokens, rounded up to a
+    power of 2; halves of a longer one XORed are the shorter one.  Two sets
+    differ by at least as many tokens as bits."""
+    n = np.diff(offsets)
+    bits = np.left_shift(1, np.ceil(np.log2(np.clip(n, LEAST_SIGN, MOST_SIGN))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    slot = np.repeat(at[:-1], n) + (tokens & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    flat = np.packbits((np.bincount(slot, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [flat[a // 8 : b // 8] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def able_classes(sizes: list[int], signs: list[bytes], num: int, den: int) -> np.ndarray:
+    """Classes of sets, as the position of one of each, that no two sets with
+    Jaccard similarity of ``num / den`` or more are in different ones of."""
+    order = np.argsort(sizes, kind="stable")
+    n = np.asarray(sizes, np.int64)[order]
+    hi = np.searchsorted(n, n * den // num, "right")
+    label = np.arange(len(n))
+    levels: dict[int, tuple[int, np.ndarray]] = {}
+    for i in range(len(n)):
+        if hi[i] <= i + 1:
+            continue
+        size = len(signs[order[i]])
+        if size not in levels:  # of this and all larger sets
+            levels[size] = i, np.array([_folded(signs[k], size) for k in order[i:]])
+        first, maps = levels[size]
+        differ = np.bitwise_count(maps[i + 1 - first : hi[i] - first] ^ maps[i - first]).sum(1, dtype=np.int64)
+        able = label[i + 1 : hi[i]][differ * (num + den) <= (n[i] + n[i + 1 : hi[i]]) * (den - num)]
+        for other in np.unique(able[able != label[i]]).tolist():
+            label[label == other] = label[i]
+    out = np.empty(len(n), np.int64)
+    out[order] = order[label]
+    return out
+
+
+def _folded(sign: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sign, np.uint64).reshape(-1, size // 8), 0)
+
+
 # ---------------------------------------------------------------- keys
 
 
@@ -126,12 +177,10 @@ class BandKeys:
         """``bands`` keys of each set; none may be empty."""
         if len(offsets) < 2:
             return np.zeros((self.bands, 0), np.uint64)
-        rng = np.random.Generator(np.random.PCG64(104729))
         keys = []
-        for band in range(self.bands):
+        for band, factors in enumerate(_band_factors(self.bands, self.rows)):
             key = np.full(len(offsets) - 1, band, np.uint64)
-            for _ in range(self.rows):
-                a, b = (np.uint64(int(x) | 1) for x in rng.integers(1, 1 << 63, 2))
+            for a, b in factors:
                 x = tokens * a + b
                 key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(x ^ (x >> np.uint64(29)), offsets[:-1]))
             keys.append(key)
@@ -158,6 +207,12 @@ class BandKeys:
         return found
 
 
+@functools.cache
+def _band_factors(bands: int, rows: int) -> list[list[tuple[np.uint64, np.uint64]]]:
+    rng = np.random.Generator(np.random.PCG64(104729))
+    return [[tuple(np.uint64(int(x) | 1) for x in rng.integers(1, 1 << 63, 2)) for _ in range(rows)] for _ in range(bands)]
+
+
 # ---------------------------------------------------------------- the join
 
 
@@ -174,14 +229,14 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
     names = [c.strip().split()[0] for c in columns.split(",")]
     volume = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     bits = min(max(volume.bit_length() - 2, LEAST_BITS), MOST_BITS)
-    described = f"{columns}, n long, fp binary, part int, counts binary"
+    described = f"{columns}, n long, fp binary, head long, sign binary, part int, counts binary"
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         for _, batch in chunks(batches, text):
             units = read(batch)
             fps = fingerprints(units.tokens, units.offsets)
-            yield _rows(described, len(fps), **units.columns, n=pa.array(np.diff(units.offsets)), fp=_binary(fps))
+            yield _rows(described, len(fps), **units.columns, n=pa.array(np.diff(units.offsets)), fp=_binary(fps), head=pa.array(fps[:, 0].view(np.int64)), sign=pa.array(signatures(units.tokens, units.offsets), pa.binary()))
             tokens, offsets, _ = _once(units, fps)
             np.add.at(total, (keys.counted(tokens, offsets) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         if total.any():
@@ -260,6 +315,7 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
     pivots = hot.groupBy("hot").agg(F.min("head").alias("pivot"))
     hot_pairs = hot.join(pivots, "hot").where("head <> pivot").select("head", "pivot")
     pairs = stage(met.where("pivot is not null").select("head", "pivot").unionByName(hot_pairs).distinct(), "similar-pairs")
+    pairs = stage(_able_pairs(pairs, seen.where("n > 0").select("head", "fp", "n", "sign"), keys), "similar-able")
     wanted, slots = bitmap(pairs.select("head").unionByName(pairs.select(F.col("pivot").alias("head"))).distinct(), "head")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,6 +408,29 @@ def star_pairs(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([own, pivot], 1)[own != pivot], axis=0)
 
 
+def _able_pairs(pairs: DataFrame, signed: DataFrame, keys: PrefixKeys | BandKeys) -> DataFrame:
+    """``pairs`` (``head, pivot``) of groups in which links aren't ruled out by
+    the signatures in ``signed`` (``head, fp, n, sign``).  Very large groups
+    stay as they are."""
+    size = pairs.groupBy("pivot").agg(F.count("*").alias("size"))
+    dealt = pairs.join(size, "pivot")
+    few = dealt.where(F.col("size") < SIGNED_GROUP).select("head", "pivot")
+    members = few.unionByName(few.select(F.col("pivot").alias("head"), "pivot").distinct())
+    known = may_be_among(signed, members.select("head").distinct(), "head").groupBy("fp").agg(*[F.first(c).alias(c) for c in ("head", "n", "sign")])
+
+    def cut(rows: dict) -> pa.RecordBatch | None:
+        heads = np.array(rows["head"])
+        label = able_classes(rows["n"], rows["sign"], keys.num, keys.den)
+        _, own = np.unique(label, return_inverse=True)
+        least = np.full(len(heads), np.iinfo(np.int64).max)
+        np.minimum.at(least, own, heads)
+        at = np.flatnonzero(heads != least[own])
+        return pa.RecordBatch.from_arrays([pa.array(heads[at]), pa.array(least[own][at])], names=["head", "pivot"])
+
+    able = grouped_arrow(members.join(known.drop("fp"), "head").select("pivot", "head", "n", "sign"), ["pivot"], cut, "head long, pivot long")
+    return able.unionByName(dealt.where(F.col("size") >= SIGNED_GROUP).select("head", "pivot")).distinct()
+
+
 def _group_edges(sets: DataFrame, pairs: DataFrame, keys: PrefixKeys | BandKeys) -> DataFrame:
     """Links ``(src, dst)`` between members that span the components of all
     links between sets that share a pivot."""

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import connected_components
+import cachelake.llm.similarity as similarity
+from cachelake.llm.common import connected_components, hash_words, shingle_hashes
 from cachelake.llm.ngram_join import keep_one, ngram_join
 from cachelake.llm.repeated_runs import repeated_runs
 from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
@@ -142,6 +143,38 @@ def test_trees_find_what_all_pairs_find():
     assert [forest.find(i) for i in range(len(sets))] == components([frozenset(s.tolist()) for s in sets], 9, 10)
 
 
+def test_signatures_part_no_linked_sets():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 8, 63, 64, 65, 127, 128, 140, 700, 20_000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        more = rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)
+        sets += [base, np.unique(np.append(base, more)), base[n // 10 :], np.unique(np.append(base[n // 20 :], more[: n // 20]))]
+        sets += [np.unique(np.append(base[:1], rng.integers(0, 1 << 63, n, dtype=np.uint64)))]
+    flat, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    signs = similarity.signatures(flat, offsets)
+    for num, den in ((9, 10), (4, 5), (1, 3)):
+        got = similarity.able_classes([len(s) for s in sets], signs, num, den)
+        want = components([frozenset(s.tolist()) for s in sets], num, den)
+        assert len(set(want)) > 10 and all(got[i] == got[w] for i, w in enumerate(want))
+    # Sets of one common token are told apart.
+    assert len(set(similarity.able_classes([len(sets[k]) for k in range(4, 50, 5)], [signs[k] for k in range(4, 50, 5)], 9, 10).tolist())) == 10
+    assert len({*similarity.able_classes([len(sets[k]) for k in (10, 14)], [signs[k] for k in (10, 14)], 4, 5).tolist()}) == 2
+
+
+def test_texts_that_share_a_passage_by_chance_are_not_fetched(spark):
+    def read(batch):
+        words, rows = hash_words(batch.column(0))
+        return similarity.Units(*distinct_sets(*shingle_hashes(words, rows, 3)), {"at": pa.nulls(batch.num_rows, pa.int64())})
+
+    texts = [" ".join(f"w{k % 10} of {k % 10} t{k}x{i}" if i == 50 else f"t{k}x{i}" for i in range(100)) for k in range(60)]
+    texts.append(texts[7] + " end")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for keys in (PrefixKeys(9, 10), PrefixKeys(4, 5)):
+        _, found, sets = similarity.find_links(docs, "text", read, "at long", keys)
+        assert sets.count() == 2 and found.select("component").distinct().count() == 1 and found.count() == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 30)] + [(100, 5), (101, 5), (5, 101), (7, 7), (None, 3)]
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
