@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,56 +151,83 @@ def latest_holdings_batch(summaries: DataFrame) -> DataFrame:
 
 
 class _NegativeTtl(StatefulProcessor):
-    """Reuses an unservable verdict of a key for a while."""
+    """Reuses the unservable verdicts of a bucket's keys for a while; they are
+    kept as columns, with one timer for the earliest end."""
+
+    kinds = {"named": "bool", "action": "int64", "until": "int64", "epoch": "int64"}
 
     def __init__(self, ttl_s: int):
-        self.ttl_s = ttl_s
+        self.ttl = ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.refused = handle.getValueState("refused", "until timestamp, epoch long")
+        self.refused = handle.getValueState("refused", ", ".join(f"{c} binary" for c in self.kinds))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        held = self.refused.get() if self.refused.exists() else None
-        # A key's rows may come in several frames, in any order.
-        for r in pd.concat(rows).sort_values(["ts", "seq"]).itertuples():
-            ts = pd.Timestamp(r.ts).to_pydatetime()
-            reused = held is not None and ts < held[0] and int(r.epoch) == held[1] and r.kind == "lookup"
-            if r.kind == "rewrite":
-                held = None
-            elif not reused and r.verdict == "UNSERVABLE":
-                held = (ts + pd.Timedelta(seconds=self.ttl_s).to_pytimedelta(), int(r.epoch))
-            if r.kind == "lookup":
-                out.append((key[0], ts, "UNSERVABLE" if reused else r.verdict, reused))
+    def load(self) -> dict[tuple[bool, int], tuple[int, int]]:
+        held = self.refused.get()
         if held is None:
+            return {}
+        named, action, until, epoch = (np.frombuffer(v, k).tolist() for v, k in zip(held, self.kinds.values(), strict=True))
+        return dict(zip(zip(named, action, strict=True), zip(until, epoch, strict=True), strict=True))
+
+    def hold(self, held: dict[tuple[bool, int], tuple[int, int]]) -> None:
+        if not held:
             self.refused.clear()
-        else:
-            self.refused.update(held)
-            self.handle.registerTimer(int(pd.Timestamp(held[0]).timestamp() * 1000) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["action", "ts", "verdict", "reused"])
+            return
+        rows = [(*key, *value) for key, value in held.items()]
+        self.refused.update(tuple(np.array(c, k).tobytes() for c, k in zip(zip(*rows, strict=True), self.kinds.values(), strict=True)))
+        self.handle.registerTimer(min(until for until, _ in held.values()) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A key's rows may come in several frames, in any order.
+        rows = pd.concat(rows).sort_values(["named", "action", "ts", "seq"])
+        held, last, reused = self.load(), None, []
+        columns = (
+            zip(rows["named"].tolist(), rows["action"].tolist(), strict=True),
+            rows["ts"].astype("datetime64[us]").astype("int64").tolist(),
+            rows["epoch"].astype("int64").tolist(),
+            *(c.tolist() for c in (rows["kind"] == "lookup", rows["kind"] == "rewrite", rows["verdict"] == "UNSERVABLE")),
+        )
+        for own, ts, epoch, lookup, rewrite, refused in zip(*columns, strict=True):
+            if own != last:
+                last, now = own, held.get(own)
+            again = lookup and now is not None and ts < now[0] and epoch == now[1]
+            reused.append(again)
+            if rewrite:
+                now = None
+                held.pop(own, None)
+            elif refused and not again:
+                now = held[own] = (ts + self.ttl, epoch)
+        self.hold(held)
+        out = rows[["named", "action", "ts", "verdict"]].assign(reused=reused)
+        out["verdict"] = out["verdict"].mask(out["reused"], "UNSERVABLE")
+        out = out[(rows["kind"] == "lookup").to_numpy()]
+        if len(out):
+            yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Forget a verdict that the watermark has passed; a later one has a
-        timer of its own."""
-        if self.refused.exists() and pd.Timestamp(self.refused.get()[0]).timestamp() * 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.refused.clear()
+        """Forget the verdicts that the watermark has passed."""
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self.hold({key: value for key, value in self.load().items() if value[0] > now})
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def negative_ttl(lookups: DataFrame, ttl_s: int = 120) -> DataFrame:
+def negative_ttl(lookups: DataFrame, ttl_s: int = 120, buckets: int = 256) -> DataFrame:
     """``lookups[action, ts, seq, kind, verdict, epoch]``: an unservable
     verdict is reused for ``ttl_s``, cleared early by a rewrite of its key or
     a new ``epoch`` (which a leaving peer starts).
 
     ``lookups`` has a watermark on ``ts``; once that passes a verdict's end,
-    its state goes.  A key's rows of one micro-batch are put in order
+    its state goes.  Actions are dealt to ``buckets``, which can't be changed for
+    a running stream.  A bucket's rows of one micro-batch are put in order
     together, so bound micro-batches at the source."""
-    return lookups.groupBy("action").transformWithStateInPandas(_NegativeTtl(ttl_s), "action long, ts timestamp, verdict string, reused boolean", "Update", "EventTime")
+    bucket = F.pmod(F.xxhash64("action"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = lookups.select(bucket, F.col("action").isNotNull().alias("named"), F.coalesce("action", F.lit(0)).cast("long").alias("action"), "ts", "seq", "kind", "verdict", "epoch")
+    got = rows.groupBy("bucket").transformWithStateInPandas(_NegativeTtl(ttl_s), "named boolean, action long, ts timestamp, verdict string, reused boolean", "Update", "EventTime")
+    return got.select(F.when(F.col("named"), F.col("action")).alias("action"), "ts", "verdict", "reused")
 
 
 # ------------------------------------------------------------ running

@@ -220,3 +220,30 @@ def test_arriving_rows_are_kept_block_by_block(make):
 
     list(processor.handleInputRows(("k",), frames(), None))
     assert handle.written == 10
+
+
+def test_refused_verdicts_of_many_keys_over_batches(spark, tmp_path):
+    """In two batches; the watermark after the first has passed some verdicts' ends."""
+    rng, ttl = random.Random(5), 120
+    rows = [(rng.choice([None, 0, 2**60 + 1, *range(40)]), at(rng.randrange(3000)), n, rng.choice(["lookup"] * 7 + ["rewrite"]), rng.choice(["HIT", "MISS", "UNSERVABLE"]), 0) for n in range(900)]
+    rows = [(a, t, n, k, v, int(t > at(1500))) for a, t, n, k, v, _ in sorted(rows, key=lambda r: (r[1], r[2]))]
+    want, held = [], {}
+    for action, ts, _, kind, verdict, epoch in rows:
+        until, of = held.get(action, (START, None))
+        reused = kind == "lookup" and ts < until and epoch == of
+        if kind == "rewrite":
+            held.pop(action, None)
+        elif verdict == "UNSERVABLE" and not reused:
+            held[action] = ts + timedelta(seconds=ttl), epoch
+        if kind == "lookup":
+            want.append((str(action), ts, "UNSERVABLE" if reused else verdict, reused))
+    schema = "action long, ts timestamp, seq long, kind string, verdict string, epoch long"
+    for n in range(2):
+        some = [rng.sample(part, len(part)) for part in (rows[:500], rows[500:])][n]
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:03d}")
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in").withWatermark("ts", "60 seconds")
+    got = sm.drain(sm.negative_ttl(read, ttl, 2), spark, f"{tmp_path}/out", "update")
+    assert sorted((str(r.action), r.ts, r.verdict, r.reused) for r in got.collect()) == sorted(want)
+    assert any(w[3] for w in want)
+    left = spark.read.format("statestore").option("stateVarName", "refused").load(f"{tmp_path}/out/checkpoint").count()
+    assert left <= 2  # a row for each bucket
