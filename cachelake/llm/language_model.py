@@ -40,6 +40,8 @@ END = np.uint64(0xA1B2C3D4E5F60719)
 CODES = 256
 RELATIVE_BITS = 40
 GROUP = 256
+#: Pairs that are searched at once.
+SEARCHED = 1 << 14
 RELATIVE = np.uint64((1 << RELATIVE_BITS) - 1)
 
 
@@ -214,6 +216,17 @@ class Trie:
         return out, seen
 
 
+def search_once(trie: Trie, context: np.ndarray, successor: np.ndarray, order: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``trie.score`` of all occurrences of the distinct pairs, of which each
+    is searched once; ``order`` has the places of the first pair's
+    ``times[0]`` occurrences, then the next one's."""
+    parts = [trie.score(context[lo : lo + SEARCHED], successor[lo : lo + SEARCHED]) for lo in range(0, len(context), SEARCHED)]
+    out = np.zeros(len(order)), np.zeros(len(order), bool)
+    for each, found in zip(out, zip(*parts, strict=True), strict=False):
+        each[order] = np.repeat(np.concatenate(found), times)
+    return out
+
+
 # ---------------------------------------------------------------- the jobs
 
 
@@ -427,28 +440,44 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(doc_id as string))
         else:
             h, w, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         del h_all, w_all, n_all
-        order, start, _ = _runs(h, w)
+        order, start, times = _runs(h, w)
         count = np.add.reduceat(n[order].astype(np.int64), start) if len(order) else np.zeros(0, np.int64)
         contexts, at = np.unique(h[order][start], return_inverse=True)
         successor = w[order][start]
-        del h, w, n, order
+        del h, w, n
         shares = np.zeros(len(at))
         if len(at):
             # Words whose codes are equal are one word here.
             codes, of = np.unique(np.concatenate([x[0] for x in counts]) & RELATIVE, return_inverse=True)
             shares = (np.bincount(of, np.concatenate([x[1] for x in counts]) + 1.0) / (n_train + n_words + 1))[np.searchsorted(codes, successor)]
         trie = Trie(contexts, np.bincount(at, count, len(contexts)), (at, successor, count), shares)
-        del successor, at, shares, counts
+        value, _ = search_once(trie, contexts[at], successor, order, times)
+        del contexts, successor, at, shares, counts, order, times
         sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        lo = 0
         for chunk, blob in learned:
-            h, per, code, doc, count = unpack(blob)
-            value, _ = trie.score(np.repeat(h, per), from_low_bytes(code, RELATIVE_BITS // 8))
-            own, (total,) = _per_doc(doc, value * count)
+            _, _, _, doc, count = unpack(blob)
+            own, (total,) = _per_doc(doc, value[lo : lo + len(doc)] * count)
+            lo += len(doc)
             sums.setdefault(chunk, []).append((own, total))
         rest: list[tuple[np.ndarray, ...]] = []
+        h_all, w_all = [], []
+        for _, blob in asked:
+            h, per, w, _, _ = unpack(blob)
+            h_all.append(np.repeat(h, per))
+            w_all.append(w & RELATIVE)
+        if asked:
+            h, w = np.concatenate(h_all), np.concatenate(w_all)
+            del h_all, w_all
+            order, start, times = _runs(h, w)
+            of = order[start]
+            values, all_seen = search_once(trie, h[of], w[of], order, times)
+            del h, w, order, start, times, of
+        lo = 0
         for chunk, blob in asked:
-            h, per, w, doc, count = unpack(blob)
-            value, seen = trie.score(np.repeat(h, per), w & RELATIVE)
+            _, _, w, doc, count = unpack(blob)
+            value, seen = values[lo : lo + len(doc)], all_seen[lo : lo + len(doc)]
+            lo += len(doc)
             own, (total,) = _per_doc(doc, value * count)
             sums.setdefault(chunk, []).append((own, total))
             order, start, _ = _runs(w[~seen], doc[~seen])

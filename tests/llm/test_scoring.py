@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+import cachelake.llm.language_model as language_model
 from cachelake.llm import quality as quality_parts
 from cachelake.llm.language_model import EliasFano, pack, score_documents, unpack
 from cachelake.llm.quality import quality
@@ -26,6 +27,24 @@ def test_elias_fano_round_trip():
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, unpack(pack(*arrays)), strict=True))
 
 
+def test_each_pair_is_searched_once(monkeypatch):
+    monkeypatch.setattr(language_model, "SEARCHED", 7)
+    rng, asked = np.random.default_rng(3), []
+    context, successor = (rng.integers(0, n, 400).astype(np.uint64) for n in (9, 5))
+
+    class Counting:
+        def score(self, c, s):
+            asked.extend(zip(c.tolist(), s.tolist(), strict=True))
+            return c * 10.0 + s, s > 2
+
+    order, start, times = language_model._runs(context, successor)
+    value, seen = language_model.search_once(Counting(), context[order][start], successor[order][start], order, times)
+    assert value.tolist() == (context * 10.0 + successor).tolist() and seen.tolist() == (successor > 2).tolist()
+    assert sorted(asked) == sorted(set(zip(context.tolist(), successor.tolist(), strict=True)))
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in language_model.search_once(Counting(), none, none, none, none)] == [0, 0]
+
+
 def plain_scores(rows):
     seqs = [words(t) + [None] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
