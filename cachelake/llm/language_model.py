@@ -42,6 +42,8 @@ RELATIVE_BITS = 40
 GROUP = 256
 #: Pairs that are searched at once.
 SEARCHED = 1 << 14
+#: A level is read in order where it has at most so many values for each that is looked up.
+DENSE = 64
 RELATIVE = np.uint64((1 << RELATIVE_BITS) - 1)
 
 
@@ -117,6 +119,11 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""
         i = i.astype(np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        first, last = int(i.min()), int(i.max()) + 1
+        if last - first <= DENSE * len(i):
+            return self.stretch(first, last)[i - first]
         block = np.searchsorted(self.ranks, i, "right") - 1
         rest = i - self.ranks[block]
         # The word of the block in which the bit is, then the byte, then the bit.
@@ -127,7 +134,19 @@ class EliasFano:
         kth = rest - before
         lanes = np.cumsum(np.unpackbits(np.take_along_axis(bytes_, byte[:, None], 1), axis=1, bitorder="little"), 1)
         bit = (lanes <= kth[:, None]).sum(1)
-        high = (block * 512 + byte * 8 + bit - i).astype(np.uint64)
+        return self._with_low((block * 512 + byte * 8 + bit - i).astype(np.uint64), i)
+
+    def stretch(self, first: int, last: int) -> np.ndarray:
+        """The values at positions [first, last), read in order."""
+        if first >= last:
+            return np.zeros(0, np.uint64)
+        block, end = np.searchsorted(self.ranks, [first, last - 1], "right").tolist()
+        ones = np.flatnonzero(np.unpackbits(self.unary[(block - 1) * 64 : end * 64], bitorder="little"))
+        skip = first - int(self.ranks[block - 1])
+        i = np.arange(first, last)
+        return self._with_low(((block - 1) * 512 + ones[skip : skip + last - first] - i).astype(np.uint64), i)
+
+    def _with_low(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return high
         at = i * self.width
@@ -137,8 +156,21 @@ class EliasFano:
         return (high << np.uint64(self.width)) | ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1))
 
     def successor(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The first positions in [lo, hi) whose value isn't smaller; else hi."""
-        lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
+        """The first positions in [lo, hi) whose value isn't smaller; else hi.
+
+        Of values that lie close together, the stretch that they are in is read
+        once; others are searched one by one."""
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        if not len(values):
+            return lo
+        ends = self._halve(np.array([values.min(), values.max()]), np.full(2, lo.min()), np.full(2, hi.max()))
+        first, last = ends.tolist()
+        if last - first <= DENSE * len(values):
+            return np.clip(first + np.searchsorted(self.stretch(first, last), values), lo, hi)
+        return self._halve(values, lo, hi)
+
+    def _halve(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        lo, hi = lo.copy(), hi.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):

@@ -27,6 +27,22 @@ def test_elias_fano_round_trip():
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, unpack(pack(*arrays)), strict=True))
 
 
+def test_close_values_are_read_in_order(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.integers(0, 1 << 50, 20_000, dtype=np.uint64))
+    e, read = EliasFano(memoryview(EliasFano.build(x, 1 << 50))), []
+    with_low = e._with_low
+    monkeypatch.setattr(e, "_with_low", lambda high, i: (read.append(len(i)), with_low(high, i))[1])
+    lo = np.arange(0, 20_000, 2) // 100 * 100
+    assert (e.successor(x[::2], lo, lo + 100) == np.arange(0, 20_000, 2)).all() and (e.get(np.arange(9000, 1000, -1)) == x[9000:1000:-1]).all()
+    assert sum(read) < 2 * len(x)  # halving each one's range reads 7 values of it
+    for k in (1, 5, 4000):
+        probe, lo = rng.integers(0, 1 << 50, k, dtype=np.uint64), rng.integers(0, 20_001, k)
+        hi = np.minimum(lo + rng.integers(0, 300, k), 20_000)
+        want = [a + np.searchsorted(x[a:b], p) for p, a, b in zip(probe, lo, hi, strict=True)]
+        assert e.successor(probe, lo, hi).tolist() == want
+
+
 def test_each_pair_is_searched_once(monkeypatch):
     monkeypatch.setattr(language_model, "SEARCHED", 7)
     rng, asked = np.random.default_rng(3), []
