@@ -12,6 +12,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cachelake.sources.storage import remove
+
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 1 << 14
 HASH_WINDOW = 1 << 20
 LEAST_BITMAP, MOST_BITMAP = 20, 28
+#: Whether Spark removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths that were staged on the way to a table of ``stage_last``.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 # ---------------------------------------------------------------- staging
@@ -52,13 +59,38 @@ def staged_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends
-    there and survives lost executors."""
+    there and survives lost executors.  The write's shuffle files go with it;
+    else they stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = staged_path(spark, name)
-    df.write.parquet(path)
+    own = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if own is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, own)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_last(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stage what ``make`` returns; what was staged on the way to it goes."""
+    passing: list[str] = []
+    mark = _PASSING.set(passing)
+    try:
+        made = make()
+    finally:
+        _PASSING.reset(mark)
+    last = stage(made, name)
+    for path in passing:
+        remove(spark, path)
+    return last
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Have Arrow batches of at most ``rows`` rows in this session, unless it
     has set a number of its own: batches of long texts are held several times,
@@ -339,10 +371,17 @@ def may_be_among(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
 def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """``df`` left joined with the staged ``few`` on ``key``, a hash; rows that
     a bitmap of its keys rules out stay where they are, without a shuffle."""
+    away, near = few_and_others(df, few, key)
+    return away.union(near)
+
+
+def few_and_others(df: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``join_few``: rows that stay where they are, and those
+    that are looked up."""
     one, may = _one_bitmap(df, few, key)
     other = few.drop(key).schema
     away = df.join(one, ~may, "left_semi").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
-    return away.union(df.join(one, may, "left_semi").join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names))
+    return away, df.join(one, may, "left_semi").join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names)
 
 
 # ---------------------------------------------------------------- graphs

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import hash_words, join_few, shingle_hashes, stage, unused
+from cachelake.llm.common import hash_words, join_few, shingle_hashes, stage, stage_last, unused
 from cachelake.llm.similarity import PrefixKeys, Units, distinct_sets, find_links, link_counts
 
 
@@ -64,17 +64,20 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> D
     other columns are.  Columns of any names are kept as they are; an empty
     table stays empty.
     """
-    rows = class_rows(docs, shingle, num, den, "text", "doc_id").where("n > 0")
-    place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rk")
-    firsts = rows.groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.rk").alias("rk"), F.lit(True).alias("first"))
-    copies = rows.groupBy("rk").agg(F.count("*").alias("copies")).join(firsts, "rk", "left")
-    # Only rows that go, or of which there are several, are looked up.
     key, first, many = unused(docs, "key", "first", "copies")
-    few = copies.where("first is null or copies > 1").select(F.col("rk").alias(key), F.coalesce("first", F.lit(False)).alias(first), F.col("copies").alias(many))
+
+    def few() -> DataFrame:
+        rows = class_rows(docs, shingle, num, den, "text", "doc_id").where("n > 0")
+        place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rk")
+        firsts = rows.groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.rk").alias("rk"), F.lit(True).alias("first"))
+        copies = rows.groupBy("rk").agg(F.count("*").alias("copies")).join(firsts, "rk", "left")
+        # Only rows that go, or of which there are several, are looked up.
+        return copies.where("first is null or copies > 1").select(F.col("rk").alias(key), F.coalesce("first", F.lit(False)).alias(first), F.col("copies").alias(many))
+
     text = F.col("text").cast("string")
     wordless = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     own = docs.where(~wordless).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
-    looked = join_few(own, stage(few, "near-copies"), key).where(F.coalesce(first, F.lit(True)))
+    looked = join_few(own, stage_last(docs.sparkSession, few, "near-copies"), key).where(F.coalesce(first, F.lit(True)))
     again = F.coalesce(many, F.lit(1)) > 1
     kept = looked.where(~again).union(looked.where(again).dropDuplicates([key]))
     return kept.drop(key, first, many).union(docs.where(wordless))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelake.llm.common import hash_words, join_few, mix, shingle_hashes, stage, unused
+from cachelake.llm.common import few_and_others, hash_words, join_few, mix, shingle_hashes, stage, stage_last, unused
 from cachelake.llm.repeated_runs import SPANS, cut_runs, repeated_runs
 from cachelake.llm.similarity import BandKeys, Units, distinct_sets, find_links
 
@@ -82,12 +82,17 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, shingle: int = 5, num:
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("rk"))
-    gone = near_passages(source, min_words, shingle, BandKeys(bands, rows, num, den))
-    gone = stage(gone, "near-passages")
-    runs = repeated_runs(join_few(source, gone.withColumnRenamed("passages", "gone"), "rk"), min_words)
+    spark = docs.sparkSession
+    gone = stage_last(spark, lambda: near_passages(source, min_words, shingle, BandKeys(bands, rows, num, den)), "near-passages")
     at, near, exact, cut = unused(docs, "at", "near", "exact", "cut")
-    edits = gone.select(F.col("rk").alias(at), F.col("passages").alias(near)).join(runs.select(F.col("rk").alias(at), F.col("passages").alias(exact)), at, "full")
-    kept = join_few(docs.withColumn(at, key), stage(edits, "repeated-edits"), at)
+
+    def edits() -> DataFrame:
+        # Texts are read twice; those that were moved to their passages are kept.
+        away, moved = few_and_others(source, gone.withColumnRenamed("passages", "gone"), "rk")
+        runs = repeated_runs(away.union(stage(moved, "near-texts")), min_words)
+        return gone.select(F.col("rk").alias(at), F.col("passages").alias(near)).join(runs.select(F.col("rk").alias(at), F.col("passages").alias(exact)), at, "full")
+
+    kept = join_few(docs.withColumn(at, key), stage_last(spark, edits, "repeated-edits"), at)
     has = F.coalesce(near, exact).isNotNull()
     # Only texts with passages go to Python.
     rewrite = F.arrow_udf(cut_runs, f"text string, passages {SPANS}")

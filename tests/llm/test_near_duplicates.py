@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import cachelake.llm.common as common
 import cachelake.llm.similarity as similarity
 from cachelake.llm.common import connected_components, hash_words, shingle_hashes
 from cachelake.llm.ngram_join import keep_one, ngram_join
@@ -175,6 +176,25 @@ def test_texts_that_share_a_passage_by_chance_are_not_fetched(spark):
         assert sets.count() == 2 and found.select("component").distinct().count() == 1 and found.count() == 2
 
 
+def test_what_was_staged_on_the_way_goes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(k, f"a{k // 3} " + " ".join(f"w{k // 3}x{i}" for i in range(90)), 9) for k in range(30)], "doc_id long, text string, n_chars int")
+    kept = keep_one(docs)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["near-copies"] and kept.count() == 10
+    cut = substring_dedup(docs)
+    assert sorted(p.name.rpartition("-")[0] for p in tmp_path.iterdir()) == ["near-copies", "near-passages", "repeated-edits"]
+    assert cut.where("size(passages) > 0").count() == 20
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    before = spark.conf.get(common.CLEANUP, None)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    known = tracker.shuffleStatuses().size()
+    staged = common.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "cleanup")
+    assert tracker.shuffleStatuses().size() <= known
+    assert staged.count() == 7 and spark.conf.get(common.CLEANUP, None) == before
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 30)] + [(100, 5), (101, 5), (5, 101), (7, 7), (None, 3)]
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
