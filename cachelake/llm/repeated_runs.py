@@ -45,7 +45,8 @@ def _windows(batch: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray, np.
     while span * 2 <= m - k + 1:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    least = np.minimum(least[:n], least[m - k + 1 - span :][:n])
+    # Least hashes are small numbers; shards and bitmaps go by the top bits.
+    least = mix(np.minimum(least[:n], least[m - k + 1 - span :][:n]))
     hashes = mix(rolled[:n] * np.uint64(0x9FB21C651E98DF25) + mix(rolled[m - k :]))
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     whole = row[:n] == row[m - 1 :]

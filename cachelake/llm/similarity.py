@@ -36,6 +36,7 @@ LINK_PART = 512
 #: Groups of up to so many sets are cut by their signatures.
 SIGNED_GROUP = 8192
 LEAST_SIGN, MOST_SIGN = 64, 1 << 14
+BLOCK_SIGN = 256
 SHARD_KEYS = 1 << 21
 LEAST_BITS, MOST_BITS, SKETCH_PARTS = 16, 23, 64
 #: Bits of a packed key that number its set; no chunk has more.
@@ -95,6 +96,13 @@ def signatures(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [flat[a // 8 : b // 8] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _equal_signatures(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Such bitmaps of ``BLOCK_SIGN`` bits for all sets, a row of words each."""
+    slot = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * BLOCK_SIGN + (tokens & np.uint64(BLOCK_SIGN - 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=(len(offsets) - 1) * BLOCK_SIGN) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(-1, BLOCK_SIGN // 64)
+
+
 def able_classes(sizes: list[int], signs: list[bytes], num: int, den: int) -> np.ndarray:
     """Classes of sets, as the position of one of each, that no two sets with
     Jaccard similarity of ``num / den`` or more are in different ones of."""
@@ -195,12 +203,17 @@ class BandKeys:
         if right is None and len(sets) == 2:  # a pivot and the only set that collided with it
             linked = overlap(*sets) * (self.num + self.den) >= self.num * size.sum()
             return [(0, 1)] if linked and forest.union(0, 1) else []
-        bands = self.table(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+        flat, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+        bands, signs = self.table(flat, offsets), _equal_signatures(flat, offsets)
         to = left if right is None else right
         found = []
         for i in left.tolist():
-            near = (bands[:, [i]] == bands[:, to]).any(0) & (np.minimum(size[i], size[to]) * self.den >= self.num * np.maximum(size[i], size[to]))
-            for j in to[near].tolist():
+            near = to[(bands[:, [i]] == bands[:, to]).any(0)]
+            # Only sets whose signatures don't rule a link out are compared.
+            differ = np.bitwise_count(signs[near] ^ signs[i]).sum(1, dtype=np.int64)
+            near = near[differ * (self.num + self.den) <= (size[i] + size[near]) * (self.den - self.num)]
+            near = near[np.minimum(size[i], size[near]) * self.den >= self.num * np.maximum(size[i], size[near])]
+            for j in near.tolist():
                 if forest.find(i) != forest.find(j) and overlap(sets[i], sets[j]) * (self.num + self.den) >= self.num * (size[i] + size[j]):
                     forest.union(i, j)
                     found.append((i, j))

@@ -10,7 +10,7 @@ import cachelake.llm.common as common
 import cachelake.llm.similarity as similarity
 from cachelake.llm.common import connected_components, hash_words, shingle_hashes
 from cachelake.llm.ngram_join import keep_one, ngram_join
-from cachelake.llm.repeated_runs import repeated_runs
+from cachelake.llm.repeated_runs import _windows, repeated_runs
 from cachelake.llm.signature_tree import Forest, linked_pairs, overlap
 from cachelake.llm.similarity import BandKeys, PrefixKeys, distinct_sets
 from cachelake.llm.substring_dedup import near_passages, read_paragraphs, substring_dedup
@@ -176,6 +176,25 @@ def test_texts_that_share_a_passage_by_chance_are_not_fetched(spark):
         assert sets.count() == 2 and found.select("component").distinct().count() == 1 and found.count() == 2
 
 
+def test_only_sets_that_signatures_allow_are_compared(monkeypatch):
+    rng, compared = np.random.default_rng(8), []
+    end = rng.integers(0, 1 << 62, 12, dtype=np.uint64)
+    sets = [np.unique(np.append(end, rng.integers(0, 1 << 62, 12, dtype=np.uint64))) for _ in range(120)]
+    sets += [s[:-1] for s in sets[::6]]
+    monkeypatch.setattr(similarity, "overlap", lambda a, b: (compared.append(1), overlap(a, b))[1])
+    found = BandKeys(9, 1, 4, 5).join(sets, np.arange(len(sets)), None, Forest(len(sets)))
+    assert sorted(found) == [(6 * k, 120 + k) for k in range(20)]
+    assert len(compared) < 100  # 9 bands of 1 let thousands of pairs meet
+
+
+def test_anchors_are_spread_over_shards():
+    text = pa.array([" ".join(f"w{i}" for i in range(20_000))])
+    batch = pa.RecordBatch.from_arrays([text, pa.nulls(1, pa.list_(pa.int64()))], names=["text", "gone"])
+    anchors = np.unique(_windows(batch, 50)[2])
+    share = np.bincount((anchors >> np.uint64(61)).astype(np.int64), minlength=8) / len(anchors)
+    assert share.min() > 0.08 and share.max() < 0.17
+
+
 def test_what_was_staged_on_the_way_goes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
     docs = spark.createDataFrame([(k, f"a{k // 3} " + " ".join(f"w{k // 3}x{i}" for i in range(90)), 9) for k in range(30)], "doc_id long, text string, n_chars int")
