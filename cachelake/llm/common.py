@@ -26,7 +26,7 @@ from cachelake.sources.storage import remove
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 1 << 14
 HASH_WINDOW = 1 << 20
-LEAST_BITMAP, MOST_BITMAP = 20, 28
+LEAST_BITMAP, MOST_BITMAP, PART_BITMAP = 20, 28, 24
 #: Whether Spark removes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths that were staged on the way to a table of ``stage_last``.
@@ -313,26 +313,49 @@ def grouped_arrow(df: DataFrame, keys: list[str], work: Callable[[dict], pa.Reco
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def key_mask(df: DataFrame, key: str) -> tuple[np.ndarray, int]:
+def key_mask(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     """A bitmap of the top bits of the keys, and how many bits those are: about
-    a sixteenth of it is set, until it is as large as it may get."""
+    a sixteenth of it is set, until it is as large as it may get.  Tasks make
+    it, as ``part, words``: rows of 2^``PART_BITMAP`` bits at most; parts
+    without keys have none."""
     bits = min(max((16 * df.count()).bit_length(), LEAST_BITMAP), MOST_BITMAP)
+    wide = min(bits, PART_BITMAP)
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, slot = (np.asarray(batch.column(k)) for k in (0, 1))
+            for p in np.unique(part).tolist():
+                own = slot[part == p]
+                np.bitwise_or.at(masks.setdefault(p, np.zeros(1 << (wide - 6), np.int64)), own >> 6, np.left_shift(1, own & 63))
+        for p, mask in masks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.ListArray.from_arrays(np.array([0, len(mask)], np.int32), mask)], names=["part", "words"])
+        masks.clear()
+        release()
+
     slot = F.shiftrightunsigned(key, 64 - bits)
-    words = df.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    mask = np.zeros(1 << (bits - 6), np.int64)
-    mask[np.asarray(words["word"])] = np.asarray(words["bits"])
-    return mask, bits
+    dealt = df.select(F.shiftright(slot, wide).cast("int").alias("part"), slot.bitwiseAND(F.lit((1 << wide) - 1)).alias("slot"))
+    return dealt.repartition("part").mapInArrow(fill, "part int, words array<bigint>"), bits
 
 
 def bitmap(df: DataFrame, key: str) -> tuple:
-    """A broadcast ``key_mask``, for tasks in Python."""
-    mask, bits = key_mask(df, key)
-    return df.sparkSession.sparkContext.broadcast(mask.view(np.uint64)), bits
+    """A broadcast ``key_mask`` by part, for tasks in Python."""
+    parts, bits = key_mask(df, key)
+    masks = {}
+    for batch in parts.toArrow().to_batches():
+        masks |= {p: words.values.to_numpy().view(np.uint64) for p, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
+    return df.sparkSession.sparkContext.broadcast(masks), bits
 
 
-def in_bitmap(mask: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+def in_bitmap(masks: dict[int, np.ndarray], bits: int, keys: np.ndarray) -> np.ndarray:
     slot = keys >> np.uint64(64 - bits)
-    return ((mask[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+    found = np.zeros(len(keys), bool)
+    for p, mask in masks.items():
+        wide = np.uint64((64 * len(mask)).bit_length() - 1)
+        at = np.flatnonzero(slot >> wide == np.uint64(p))
+        own = slot[at] & ((np.uint64(1) << wide) - np.uint64(1))
+        found[at] = (mask[own >> np.uint64(6)] >> (own & np.uint64(63))) & np.uint64(1)
+    return found
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -348,24 +371,24 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _one_bitmap(df: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, F.Column]:
-    """A table of one row with a bitmap of ``few``'s keys, and the condition by
-    which a row of ``df`` may have one of them."""
+def _bitmap_parts(df: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, F.Column]:
+    """A bitmap of ``few``'s keys, and the condition by which a row of ``df``
+    meets the part that says it may have one of them."""
     mask, bits = key_mask(few, key)
-    (name,) = unused(df, "bits")
-    # One row, whose size is bounded by MOST_BITMAP.
-    one = F.broadcast(df.sparkSession.createDataFrame(pa.table({name: pa.array([mask], pa.list_(pa.int64()))})))
+    part, words = unused(df, "part", "words")
+    wide = min(bits, PART_BITMAP)
     slot = F.shiftrightunsigned(key, 64 - bits)
-    word = F.element_at(name, F.shiftright(slot, 6).cast("int") + 1)
-    may = F.expr(f"shiftrightunsigned(`{key}`, {64 - bits}) & 63").cast("int")
-    return one, F.call_function("shiftrightunsigned", word, may).bitwiseAND(F.lit(1)) == 1
+    word = F.element_at(words, F.shiftright(slot.bitwiseAND(F.lit((1 << wide) - 1)), 6).cast("int") + 1)
+    bit = F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    # A few rows, whose size is bounded by MOST_BITMAP.
+    return F.broadcast(mask.toDF(part, words)), (F.shiftright(slot, wide).cast("int") == F.col(part)) & (bit == 1)
 
 
 def may_be_among(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """``df`` without the rows that a bitmap of the staged ``few``'s keys rules
     out; nothing is shuffled."""
-    one, may = _one_bitmap(df, few, key)
-    return df.join(one, may, "left_semi")
+    parts, may = _bitmap_parts(df, few, key)
+    return df.join(parts, may, "left_semi")
 
 
 def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
@@ -378,10 +401,10 @@ def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
 def few_and_others(df: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The two parts of ``join_few``: rows that stay where they are, and those
     that are looked up."""
-    one, may = _one_bitmap(df, few, key)
+    parts, may = _bitmap_parts(df, few, key)
     other = few.drop(key).schema
-    away = df.join(one, ~may, "left_semi").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
-    return away, df.join(one, may, "left_semi").join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names)
+    away = df.join(parts, may, "left_anti").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other])
+    return away, df.join(parts, may, "left_semi").join(few, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *other.names)
 
 
 # ---------------------------------------------------------------- graphs

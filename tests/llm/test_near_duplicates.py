@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -195,6 +196,36 @@ def test_anchors_are_spread_over_shards():
     assert share.min() > 0.08 and share.max() < 0.17
 
 
+@pytest.mark.parametrize("part", [24, 14])
+def test_bitmaps_are_made_in_tasks(spark, monkeypatch, part):
+    monkeypatch.setattr(common, "LEAST_BITMAP", 27 if part == 24 else 18)
+    monkeypatch.setattr(common, "PART_BITMAP", part)
+    key = F.xxhash64("id").alias("key")
+    few = common.stage(spark.range(0, 3000, 3).select(key, F.col("id").alias("own")), "few")
+    rows = spark.range(4000).select("id", key)
+    want = {i: i if i < 3000 and i % 3 == 0 else None for i in range(4000)}
+    tracemalloc.start()
+    joined, among = common.join_few(rows, few, "key"), common.may_be_among(rows, few, "key")
+    # The driver's Python has no bitmap, and neither has the plan.
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    assert "LocalRelation" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.own for r in joined.collect()} == want
+    found = {r.id for r in among.collect()}
+    assert {i for i, own in want.items() if own is not None} <= found and len(found) < 1100
+    masks, bits = common.bitmap(few, "key")
+    keys = np.array([r.key for r in rows.orderBy("id").collect()]).view(np.uint64)
+    assert set(np.flatnonzero(common.in_bitmap(masks.value, bits, keys)).tolist()) == found
+    assert len(masks.value) == 1 << bits - part and not common.in_bitmap({}, bits, keys).any()
+
+
+def test_no_keys_make_an_empty_bitmap(spark):
+    rows = spark.range(5).select("id", F.xxhash64("id").alias("key"))
+    none = common.stage(rows.where("id < 0").withColumnRenamed("id", "own"), "few")
+    assert [(r.id, r.own) for r in common.join_few(rows, none, "key").orderBy("id").collect()] == [(i, None) for i in range(5)]
+    assert not common.may_be_among(rows, none, "key").take(1) and common.bitmap(none, "key")[0].value == {}
+
+
 def test_what_was_staged_on_the_way_goes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
     docs = spark.createDataFrame([(k, f"a{k // 3} " + " ".join(f"w{k // 3}x{i}" for i in range(90)), 9) for k in range(30)], "doc_id long, text string, n_chars int")
