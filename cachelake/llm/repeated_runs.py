@@ -176,7 +176,9 @@ def repeated_runs(docs: DataFrame, m: int) -> DataFrame:
 
     met = docs.mapInArrow(places, "key_shard int, heads binary, words binary, hashes binary").repartitionById(shards, F.col("key_shard"))
     met = met.mapInArrow(meet, "rk long, kept_doc_id long, words binary").groupBy("rk").agg(F.collect_list(F.struct("kept_doc_id", "words")).alias("parts"))
-    return stage(met.mapInArrow(spans, f"rk long, passages {SPANS}"), "run-spans")
+    found = stage(met.mapInArrow(spans, f"rk long, passages {SPANS}"), "run-spans")
+    shared.destroy()
+    return found
 
 
 def cut_runs(text: pa.Array, near: pa.Array, exact: pa.Array) -> pa.Array:

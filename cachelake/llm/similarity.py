@@ -324,6 +324,7 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
         release()
 
     met = stage(docs.mapInArrow(deal, _KEYS).repartitionById(shards, F.col("shard")).mapInArrow(meet, _MET), "similar-keys")
+    sketch.destroy()
     hot = met.where("hot is not null").select("hot", "head").distinct()
     pivots = hot.groupBy("hot").agg(F.min("head").alias("pivot"))
     hot_pairs = hot.join(pivots, "hot").where("head <> pivot").select("head", "pivot")
@@ -348,6 +349,7 @@ def find_links(docs: DataFrame, text: str, read: Callable[[pa.RecordBatch], Unit
 
     first = [F.first(c).alias(c) for c in ("head", "tokens", "ordered")]
     sets = stage(docs.mapInArrow(fetch, _SETS).groupBy("fp").agg(F.min("member").alias("member"), *first), "similar-sets")
+    wanted.destroy()
     found = connected_components(_group_edges(sets, pairs, keys), "similar-links")
     return units, sets.select("fp", F.col("member").alias("node")).join(found, "node").select("fp", "component"), sets.select("fp", "tokens", "ordered")
 
@@ -485,7 +487,9 @@ def _group_edges(sets: DataFrame, pairs: DataFrame, keys: PrefixKeys | BandKeys)
         return _pairs(rows["member"], keys.join(tokens, np.flatnonzero(moves), np.flatnonzero(~moves), forest))
 
     second = grouped_arrow(both.join(sets.select("member", "tokens"), "member"), ["pivot", "part"], across, "src long, dst long")
-    return first.unionByName(stage(second, "similar-across"))
+    # The parts' components stand for their links.
+    joined = joined.select(F.col("member").alias("src"), F.col("component").alias("dst")).where("src <> dst")
+    return joined.unionByName(stage(second, "similar-across"))
 
 
 def link_counts(sets: DataFrame, found: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
